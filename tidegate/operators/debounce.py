@@ -303,7 +303,7 @@ def stress_block(
     """Per (passing quote, policy): does it lie in a stress block?"""
     check_policies(policies)
     layout = Layout(bits=resolve_bits(gated, bits))
-    rows = layout.assign(gated.withColumn("mid", q.mid_price()))
+    rows = layout.start(gated.withColumn("mid", q.mid_price()))
     rows = mark_blocked(rows, policies, layout).where(passing())
     flags = F.array(
         *[
@@ -321,6 +321,6 @@ def debounce(gated: DataFrame, policies: list[Policy], bits: int | str | None =
     """Apply every policy to the same gated quotes; one row per (quote, policy)."""
     check_policies(policies)
     layout = Layout(bits=resolve_bits(gated, bits))
-    rows = layout.assign(gated.withColumn("mid", q.mid_price()))
+    rows = layout.start(gated.withColumn("mid", q.mid_price()))
     rows = mark_accepted(mark_blocked(rows, policies, layout), policies, layout)
     return explode_policies(rows.drop("mid", BUCKET), policies)

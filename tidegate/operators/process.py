@@ -72,7 +72,7 @@ def evaluate(
     if has_orders:
         rows = with_orders(rows, orders)
         scans.update(order_scan())
-    rows = running(layout.assign(rows), layout, scans)
+    rows = running(layout.start(rows), layout, scans)
     if has_orders:
         rows = rows.where(F.col("_rank") == 1).drop("_registered")
     rows = mark_gate(rows, layout, max_age_ns, max_skew_ns)
@@ -124,10 +124,10 @@ def raw_signals(
     )
     rows = ticks.where(lenient_valid()).withColumn("mid", q.mid_price())
     if has_orders:
-        rows = layout.assign(with_orders(rows, orders))
+        rows = layout.start(with_orders(rows, orders))
         rows = running(rows, layout, order_scan())
         rows = rows.where(F.col("_rank") == 1).drop("_registered")
     else:
-        rows = layout.assign(rows)
+        rows = layout.start(rows)
     rows = rows.withColumn("gate_reason", F.lit(PASS))
     return _signals(rows, policies, layout, has_orders).drop("_rank", "mid", BUCKET)

@@ -98,7 +98,7 @@ def quality_gate(
     """Add `gate_reason` to valid quotes: duplicate, late, stale, future or pass."""
     check_bounds(max_age_ns, max_skew_ns)
     layout = Layout(bits=resolve_bits(ticks, bits))
-    rows = running(layout.assign(ticks), layout, sequence_scan())
+    rows = running(layout.start(ticks), layout, sequence_scan())
     return mark_gate(rows, layout, max_age_ns, max_skew_ns).drop(BUCKET)
 
 

@@ -8,10 +8,12 @@ rows than that, whatever share of the data one key has:
 2. scan these few rows per key, which gives the value carried into each bucket;
 3. run the window inside each bucket and merge the carried value into it.
 
-Rows are shuffled and sorted by (key, bucket, order) once; later scans over the same
-layout use that partitioning and ordering again.  The carried values are joined with a
-shuffled hash join because it keeps the order of the big side, and because the carried
-side, one row per (key, bucket), is hashed over the cluster instead of broadcast.
+Rows are shuffled and sorted by (key, bucket, order) once and checkpointed (`start`), so
+every later scan over the same layout is one pass without shuffle or sort.  The carried
+values are joined with a shuffled hash join because it keeps the order of the big side,
+and because the carried side, one row per (key, bucket), is hashed over the cluster
+instead of broadcast.  They are checkpointed too: a later scan reads them instead of
+planning the earlier scans again.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.session import cut, cut_arranged
+
 BUCKET = "_bucket"
 DEFAULT_BITS = 18
 AUTO = "auto"
@@ -68,6 +72,18 @@ class Layout:
             cell = F.shiftright(F.col(self.order[0]), self.bits)
         return df.withColumn(BUCKET, cell)
 
+    def start(self, df: DataFrame) -> DataFrame:
+        """Bucketed rows, ready for several scans.
+
+        Later windows and joins reuse the partitioning and order of the checkpoint.
+        """
+        rows = self.assign(df)
+        if self.bits is None:
+            return rows
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, *self.cells)
+        return cut_arranged(rows.sortWithinPartitions(*self.cells, *self.order))
+
 
 def choose_bits(df: DataFrame, order: str = "arrival", bits: int = DEFAULT_BITS) -> int | None:
     """Check the extent of the order column: None if one bucket holds all of it.
@@ -119,7 +135,7 @@ class Running:
 
 
 def join_carried(rows: DataFrame, carried: DataFrame, layout: Layout) -> DataFrame:
-    return rows.join(carried.hint("shuffle_hash"), layout.cells, "left")
+    return rows.join(cut(carried).hint("shuffle_hash"), layout.cells, "left")
 
 
 def running(df: DataFrame, layout: Layout, specs: dict[str, Running]) -> DataFrame:
