@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from tidegate.operators.scan import (
     running,
 )
 from tidegate.schema import ACCEPTED, DEBOUNCED, PASS, Policy, check_policies
+from tidegate.session import cut
 
 GROUP_BITS = 8  # buckets per group when step functions are composed
 
@@ -31,253 +32,302 @@ def passing() -> Column:
 def with_previous_mid(gated: DataFrame, bits: int | str | None = AUTO) -> DataFrame:
     """Add the mid of the previous passing quote and the move against it."""
     layout = Layout(bits=resolve_bits(gated, bits))
-    rows = layout.assign(gated.withColumn("mid", q.mid_price()))
-    mid = F.when(passing(), F.col("mid"))
-    rows = running(rows, layout, {"previous_mid": Running("last", mid)})
+    rows = _previous_mid(layout.assign(gated.withColumn("mid", q.mid_price())), layout)
     return rows.withColumn("move_bps", q.move_bps(F.col("mid"), F.col("previous_mid"))).drop(BUCKET)
 
 
+def _previous_mid(rows: DataFrame, layout: Layout) -> DataFrame:
+    mid = F.when(passing(), F.col("mid"))
+    return running(rows, layout, {"previous_mid": Running("last", mid)})
+
+
 def with_cooldown(gated: DataFrame, policy: Policy, bits: int | str | None = AUTO) -> DataFrame:
     rows = with_previous_mid(gated, bits)
     return rows.withColumn("cooldown_ns", q.cooldown_ns(policy, F.col("move_bps")))
 
 
-def mark_blocked(
-    rows: DataFrame,
-    policies: list[Policy],
-    layout: Layout,
-    extra: dict[str, Running] | None = None,
+def stress_block(
+    gated: DataFrame, policies: list[Policy], bits: int | str | None = AUTO
 ) -> DataFrame:
-    """Add `_blocked_<i>` per policy: the quote lies in a stress block.
+    """Per (passing quote, policy): does it lie in a stress block?
 
-    Needs `mid`, `gate_reason` and the bucket column.  Both the previous mid and the
-    block end are carried between buckets in one step: a bucket's summary holds its
-    first and last passing quote and the latest deadline set by moves inside it; the
-    move into its first quote is added once the previous bucket's last mid is known.
-    `extra` running values ride along.
+    The end of the block in force is the running maximum of the deadlines set by sharp
+    moves, the current quote's own included.
     """
-    extra = extra or {}
+    check_policies(policies)
+    layout = Layout(bits=resolve_bits(gated, bits))
+    rows = _previous_mid(layout.start(gated.withColumn("mid", q.mid_price())), layout)
     active = [(i, p) for i, p in enumerate(policies) if not p.passthrough]
-    ts, mid = F.col("timestamp_ns"), F.col("mid")
-    pass_mid = F.when(passing(), mid)
-    local = rows.select(
-        "*",
-        F.last(pass_mid, ignorenulls=True).over(layout.before()).alias("_previous_mid"),
-        *[spec.local(layout).alias(name) for name, spec in extra.items()],
-    )
-
-    def deadlines(previous: Column) -> dict[str, Column]:
-        return {
-            f"_deadline_{i}": F.when(passing(), q.stress_deadline(p, ts, mid, previous))
-            for i, p in active
-        }
-
-    carried_end = {i: F.lit(0) for i, _ in active}
-    if layout.bits is not None:
-        place = F.when(passing(), layout.position)
-        totals = (
-            local.withColumns(deadlines(F.col("_previous_mid")))
-            .groupBy(*layout.cells)
-            .agg(
-                F.min_by(F.struct("mid", "timestamp_ns"), place).alias("_first"),
-                F.max_by("mid", place).alias("_last_mid"),
-                *[F.max(f"_deadline_{i}").alias(f"_deadline_{i}") for i, _ in active],
-                *[spec.total(layout).alias(name) for name, spec in extra.items()],
-            )
-        )
-        earlier = layout.earlier_buckets()
-        carried = totals.select(
-            "*",
-            F.last("_last_mid", ignorenulls=True).over(earlier).alias("_carried_mid"),
-            *[
-                spec.scan(F.col(name)).over(earlier).alias(f"_carried_{name}")
-                for name, spec in extra.items()
-            ],
-        ).select(
-            "*",
-            *[
-                F.greatest(
-                    F.col(f"_deadline_{i}"),
-                    q.stress_deadline(
-                        p,
-                        F.col("_first.timestamp_ns"),
-                        F.col("_first.mid"),
-                        F.col("_carried_mid"),
-                    ),
-                ).alias(f"_end_{i}")
-                for i, p in active
-            ],
-        )
-        carried = carried.select(
-            *layout.cells,
-            "_carried_mid",
-            *[f"_carried_{name}" for name in extra],
-            *[F.max(f"_end_{i}").over(earlier).alias(f"_carried_end_{i}") for i, _ in active],
-        )
-        joined = join_carried(local, carried, layout)
-        local = joined.select(
-            *rows.columns,
-            F.coalesce(F.col("_previous_mid"), F.col("_carried_mid")).alias("_previous_mid"),
-            *[f"_carried_end_{i}" for i, _ in active],
-            *[
-                spec.merge(F.col(name), F.col(f"_carried_{name}")).alias(name)
-                for name, spec in extra.items()
-            ],
+    ts = F.col("timestamp_ns")
+    ends = {
+        f"_end_{i}": Running(
+            "max",
+            F.when(passing(), q.stress_deadline(p, ts, F.col("mid"), F.col("previous_mid"))),
+            inclusive=True,
         )
-        carried_end = {i: F.coalesce(F.col(f"_carried_end_{i}"), F.lit(0)) for i, _ in active}
-
-    out = local.withColumns(deadlines(F.col("_previous_mid")))
-    out = out.withColumns(
-        {
-            f"_blocked_{i}": ts
-            < F.greatest(
-                carried_end[i],
-                F.coalesce(F.max(f"_deadline_{i}").over(layout.upto()), F.lit(0)),
+        for i, p in active
+    }
+    rows = running(rows, layout, ends).where(passing())
+    flags = F.array(
+        *[
+            F.struct(
+                F.lit(p.name).alias("policy"),
+                F.lit(False).alias("blocked")
+                if p.passthrough
+                else F.coalesce(ts < F.col(f"_end_{i}"), F.lit(False)).alias("blocked"),
             )
-            for i, _ in active
-        }
+            for i, p in enumerate(policies)
+        ]
     )
-    keep = [*rows.columns, *extra, *[f"_blocked_{i}" for i, _ in active]]
-    return out.select(*keep)
+    return rows.select(*gated.columns, F.inline(flags))
 
 
-def _open_times(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and times of the unblocked passing quotes of one bucket, in order."""
-    arrival = table.column("arrival").to_numpy()
-    ts = table.column("timestamp_ns").to_numpy()
-    open_ = table.column(f"_open_{i}").to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero(open_)
-    place = arrival[rows]
+def _passing_quotes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, times and mids of the passing quotes of one bucket in arrival order."""
+    rows = np.flatnonzero(table.column("_pass").to_numpy(zero_copy_only=False))
+    place = table.column("arrival").to_numpy()[rows]
     if len(place) > 1 and not (place[1:] > place[:-1]).all():
         rows = rows[np.argsort(place, kind="stable")]
-    return rows, ts[rows]
+    ts = table.column("timestamp_ns").to_numpy()[rows]
+    return rows, ts, table.column("mid").to_numpy()[rows]
+
+
+def _hits(table: pa.Table) -> np.ndarray:
+    """Registration of the order a quote hits, NEVER where it hits none."""
+    return table.column("_hit").fill_null(spacing.NEVER).to_numpy()
+
+
+def _ends(p: Policy, ts: np.ndarray, mid: np.ndarray, before: float | None) -> np.ndarray:
+    return spacing.block_ends(ts, mid, p.base_ns, p.max_ns, p.stress_bps, before)
+
+
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    return pa.string() if isinstance(kind, T.StringType) else pa.int64()
+
+
+def _table(fields: list[tuple[str, pa.DataType]], records: list[list]) -> pa.Table:
+    columns = list(zip(*records)) if records else [() for _ in fields]
+    return pa.table({n: pa.array(list(c), type=t) for (n, t), c in zip(fields, columns)})
+
+
+def _bucket_summaries(
+    rows: DataFrame, active: list[tuple[int, Policy]], layout: Layout
+) -> DataFrame:
+    """One row per (key, bucket): first and last passing quote, latest hit and block end,
+    and per policy the step function of its accepted signals."""
+    longs, long, double = T.ArrayType(T.LongType()), T.LongType(), T.DoubleType()
+    key_fields = [rows.schema[k] for k in layout.cells]
+    schema = T.StructType(
+        [
+            *key_fields,
+            T.StructField("first_ts", long),
+            T.StructField("first_mid", double),
+            T.StructField("last_mid", double),
+            T.StructField("hit", long),
+            T.StructField("ends", longs),
+            T.StructField("upto", T.ArrayType(longs)),
+            T.StructField("exits", T.ArrayType(longs)),
+        ]
+    )
+    ints = pa.list_(pa.int64())
+    fields = [(f.name, _arrow_type(f.dataType)) for f in key_fields] + [
+        ("first_ts", pa.int64()),
+        ("first_mid", pa.float64()),
+        ("last_mid", pa.float64()),
+        ("hit", pa.int64()),
+        ("ends", ints),
+        ("upto", pa.list_(ints)),
+        ("exits", pa.list_(ints)),
+    ]
+    settings = [p for _, p in active]
 
+    def summarise(key, table):
+        _, ts, mid = _passing_quotes(table)
+        if len(ts) == 0:
+            return _table(fields, [])
+        ends, upto, exits = [], [], []
+        for p in settings:
+            end = _ends(p, ts, mid, None)
+            steps = spacing.threshold_steps(ts[ts >= end], p.base_ns)
+            ends.append(int(end[-1]))
+            upto.append(steps[0])
+            exits.append(steps[1])
+        first = [k.as_py() for k in key] + [int(ts[0]), float(mid[0]), float(mid[-1])]
+        return _table(fields, [[*first, int(_hits(table).max()), ends, upto, exits]])
+
+    needed = rows.select(*layout.cells, "arrival", "timestamp_ns", "mid", "_pass", "_hit")
+    return cut(needed.groupBy(*layout.cells).applyInArrow(summarise, schema))
+
+
+def _carried_state(
+    rows: DataFrame, active: list[tuple[int, Policy]], layout: Layout
+) -> DataFrame:
+    """State in front of each (key, bucket): mid, latest hit, block ends, last signals."""
+    summaries = _bucket_summaries(rows, active, layout)
+    earlier = layout.earlier_buckets()
+    state = summaries.select(
+        "*",
+        F.last("last_mid", ignorenulls=True).over(earlier).alias("mid_in"),
+        F.max("hit").over(earlier).alias("hit_in"),
+    )
+    moves = [
+        q.stress_deadline(p, F.col("first_ts"), F.col("first_mid"), F.col("mid_in"))
+        for _, p in active
+    ]
+    state = state.select(
+        "*", *[F.coalesce(m, F.lit(0)).alias(f"_move_{i}") for (i, _), m in zip(active, moves)]
+    )
+    state = state.select(
+        "*",
+        *[
+            F.coalesce(
+                F.max(F.greatest(F.col("ends")[at], F.col(f"_move_{i}"))).over(earlier), F.lit(0)
+            ).alias(f"end_in_{i}")
+            for at, (i, _) in enumerate(active)
+        ],
+    )
+    signals = _carried_signals(state, active, layout)
+    kept = state.select(
+        *layout.cells, "mid_in", "hit_in", *[f"end_in_{i}" for i, _ in active]
+    )
+    # A bucket without passing quotes has no summary and needs no state.
+    return kept.join(signals, layout.cells, "left")
 
-def _carried_signals(rows: DataFrame, spaced: list[tuple[int, Policy]], layout: Layout) -> DataFrame:
+
+def _carried_signals(
+    state: DataFrame, active: list[tuple[int, Policy]], layout: Layout
+) -> DataFrame:
     """Time of the last accepted signal before each (key, bucket), per policy."""
-    key_fields = [rows.schema[k] for k in layout.keys]
-    names = [*layout.keys, BUCKET, "_policy", "upto", "exits"]
+    steps = cut(
+        state.select(
+            *layout.cells,
+            F.shiftright(F.col(BUCKET), GROUP_BITS).alias("_group"),
+            "first_ts",
+            F.posexplode(
+                F.arrays_zip(
+                    F.array(*[F.greatest(f"end_in_{i}", f"_move_{i}") for i, _ in active]).alias("end"),
+                    F.col("upto"),
+                    F.col("exits"),
+                )
+            ).alias("_policy", "_step"),
+        ).select(*layout.cells, "_group", "first_ts", "_policy", "_step.*")
+    )
+    key_fields = [state.schema[k] for k in layout.keys]
+    key_types = [(f.name, _arrow_type(f.dataType)) for f in key_fields]
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    steps_schema = T.StructType(
+    group_schema = T.StructType(
         [
             *key_fields,
-            T.StructField(BUCKET, long),
             T.StructField("_policy", long),
+            T.StructField("_group", long),
             T.StructField("upto", longs),
             T.StructField("exits", longs),
         ]
     )
-    entry_schema = T.StructType([*steps_schema.fields[:-2], T.StructField("entry", long)])
-    int_list = pa.list_(pa.int64())
+    ints = pa.list_(pa.int64())
+    group_fields = [*key_types, ("_policy", pa.int64()), ("_group", pa.int64()), ("upto", ints), ("exits", ints)]
+    bases = [p.base_ns for _, p in active]
 
-    def table_of(records: list[list], schema: list[str], types: list[pa.DataType]) -> pa.Table:
-        columns = list(zip(*records)) if records else [[] for _ in schema]
-        return pa.table(
-            {n: pa.array(list(c), type=t) for n, c, t in zip(schema, columns, types)}
-        )
+    def in_order(table, place):
+        table = table.take(pa.array(np.argsort(table.column(place).to_numpy(), kind="stable")))
+        return table.to_pylist()
 
-    key_types = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in key_fields]
-    step_types = [*key_types, pa.int64(), pa.int64(), int_list, int_list]
-    entry_types = [*key_types, pa.int64(), pa.int64(), pa.int64()]
-    entry_names = [*names[:-2], "entry"]
-    settings = [(i, p.base_ns) for i, p in spaced]
-
-    def summarise(key, table):
-        key = [k.as_py() for k in key]
-        out = []
-        for i, base in settings:
-            _, ts = _open_times(table, i)
-            if len(ts):
-                out.append([*key, i, *spacing.bucket_steps(ts, base)])
-        return table_of(out, names, step_types)
-
-    def sorted_steps(table):
-        order = np.argsort(table.column(BUCKET).to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        return zip(
-            table.column(BUCKET).to_pylist(),
-            table.column("upto").to_pylist(),
-            table.column("exits").to_pylist(),
+    def bucket_steps(row):
+        return spacing.signal_steps(
+            (row["upto"], row["exits"]), bases[row["_policy"]], row["end"], row["first_ts"]
         )
 
     def compose(key, table):
-        key = [k.as_py() for k in key]
-        total: tuple[list[int], list[int]] = ([], [])
-        for _, upto, exits in sorted_steps(table):
-            total = spacing.compose_steps(total, (upto, exits))
-        return table_of([[*key[:-2], key[-1], key[-2], *total]], names, step_types)
-
-    def walk(key, table):
-        # Grouped by (key..., policy) or (key..., group, policy); emits one entry per bucket.
-        key = [k.as_py() for k in key]
-        symbol, policy = key[: len(key_types)], key[-1]
-        value = table.column("entry")[0].as_py() if "entry" in table.column_names else spacing.NEVER
-        out = []
-        for bucket, upto, exits in sorted_steps(table):
-            out.append([*symbol, bucket, policy, value])
-            value = spacing.apply_steps(upto, exits, value)
-        return table_of(out, entry_names, entry_types)
-
-    steps = (
-        rows.select(
-            *layout.cells, "arrival", "timestamp_ns", *[f"_open_{i}" for i, _ in spaced]
+        total = ([], [])
+        for row in in_order(table, BUCKET):
+            total = spacing.compose_steps(total, bucket_steps(row))
+        return _table(group_fields, [[*[k.as_py() for k in key], *total]])
+
+    def entries_of(place):
+        fields = [*key_types, ("_policy", pa.int64()), (place, pa.int64()), ("entry", pa.int64())]
+
+        def walk(key, table):
+            value = table.column("entry")[0].as_py() if "entry" in table.column_names else spacing.NEVER
+            out = []
+            names = [n for n, _ in fields[:-1]]
+            for row in in_order(table, place):
+                out.append([*[row[n] for n in names], value])
+                found = bucket_steps(row) if place == BUCKET else (row["upto"], row["exits"])
+                value = spacing.apply_steps(found, value)
+            return _table(fields, out)
+
+        schema = T.StructType(
+            [*key_fields, T.StructField("_policy", long), T.StructField(place, long), T.StructField("entry", long)]
         )
-        .groupBy(*layout.cells)
-        .applyInArrow(summarise, steps_schema)
-        .withColumn("_group", F.shiftright(F.col(BUCKET), GROUP_BITS))
-    )
-    groups = steps.groupBy(*layout.keys, "_policy", "_group").applyInArrow(compose, steps_schema)
-    group_entries = (
-        groups.groupBy(*layout.keys, "_policy")
-        .applyInArrow(walk, entry_schema)
-        .withColumnRenamed(BUCKET, "_group")
-    )
+        return walk, schema
+
+    by_group = [*layout.keys, "_policy", "_group"]
+    groups = steps.groupBy(*by_group).applyInArrow(compose, group_schema)
+    group_entries = groups.groupBy(*layout.keys, "_policy").applyInArrow(*entries_of("_group"))
     entries = (
-        steps.join(group_entries.hint("shuffle_hash"), [*layout.keys, "_policy", "_group"])
-        .groupBy(*layout.keys, "_group", "_policy")
-        .applyInArrow(walk, entry_schema)
+        steps.join(group_entries.hint("shuffle_hash"), by_group)
+        .groupBy(*by_group)
+        .applyInArrow(*entries_of(BUCKET))
     )
     return entries.groupBy(*layout.cells).agg(
         *[
-            F.max(F.when(F.col("_policy") == i, F.col("entry"))).alias(f"_entry_{i}")
-            for i, _ in spaced
+            F.max(F.when(F.col("_policy") == at, F.col("entry"))).alias(f"entry_{i}")
+            for at, (i, _) in enumerate(active)
         ]
     )
 
 
-def mark_accepted(rows: DataFrame, policies: list[Policy], layout: Layout) -> DataFrame:
-    """Replace `_blocked_<i>` by `_accepted_<i>` (false on rejected quotes)."""
-    open_ = {
-        f"_open_{i}": F.lit(True) if p.passthrough else ~F.col(f"_blocked_{i}")
-        for i, p in enumerate(policies)
-    }
-    rows = rows.withColumns({n: F.coalesce(passing() & c, F.lit(False)) for n, c in open_.items()})
-    rows = rows.drop(*[f"_blocked_{i}" for i in range(len(policies))])
-    spaced = [(i, p) for i, p in enumerate(policies) if not p.passthrough and p.base_ns > 0]
-    names = {f"_open_{i}": f"_accepted_{i}" for i in range(len(policies))}
-    if not spaced:
-        return rows.withColumnsRenamed(names)
-
-    plain = list(rows.columns)
-    settings = [(i, p.base_ns) for i, p in spaced]
-    if layout.bits is not None:
-        rows = join_carried(rows, _carried_signals(rows, spaced, layout), layout)
-        rows = rows.fillna(spacing.NEVER, [f"_entry_{i}" for i, _ in spaced])
+def decide(rows: DataFrame, policies: list[Policy], layout: Layout) -> DataFrame:
+    """Add `_accepted_<i>` per policy and `_first_hit` to gated rows.
 
-    def thin(key, table):
-        for i, base in settings:
-            entry = f"_entry_{i}"
-            last = table.column(entry)[0].as_py() if entry in table.column_names else spacing.NEVER
-            numbers, ts = _open_times(table, i)
-            flags = np.zeros(table.num_rows, dtype=bool)
-            flags[numbers[spacing.accepted_mask(ts, base, last)]] = True
-            at = table.column_names.index(f"_open_{i}")
-            table = table.set_column(at, f"_open_{i}", pa.array(flags))
-        return table.select(plain)
+    Needs `gate_reason`, `mid`, the bucket column and `_hit`, the registration of the
+    order the quote hits (null for none).  `mid` and `_hit` are dropped.
+    """
+    active = [(i, p) for i, p in enumerate(policies) if not p.passthrough]
+    rows = rows.withColumn("_pass", F.coalesce(passing(), F.lit(False)))
+    kept = [c for c in rows.columns if c not in ("mid", "_hit", "_pass")]
+    if layout.bits is not None:
+        rows = join_carried(rows, _carried_state(rows, active, layout), layout)
+    flags = [f"_accepted_{i}" for i in range(len(policies))] + ["_first_hit"]
+    schema = T.StructType(
+        [rows.schema[c] for c in kept] + [T.StructField(c, T.BooleanType()) for c in flags]
+    )
 
-    schema = T.StructType([rows.schema[c] for c in plain])
-    out = rows.groupBy(*layout.cells).applyInArrow(thin, schema)
-    return out.withColumnsRenamed(names)
+    def run(key, table):
+        names = set(table.column_names)
+
+        def carried(name, default):
+            value = table.column(name)[0].as_py() if name in names else None
+            return default if value is None else value
+
+        numbers, ts, mid = _passing_quotes(table)
+        marks = {}
+        for i, p in enumerate(policies):
+            mark = np.zeros(table.num_rows, dtype=bool)
+            if p.passthrough:
+                mark[numbers] = True
+            else:
+                before = carried(f"end_in_{i}", 0)
+                end = np.maximum(_ends(p, ts, mid, carried("mid_in", None)), before)
+                open_ = np.flatnonzero(ts >= end)
+                threshold = spacing.entry_threshold(
+                    carried(f"entry_{i}", spacing.NEVER), p.base_ns, before
+                )
+                mark[numbers[open_[spacing.accepted_rows(ts[open_], p.base_ns, threshold)]]] = True
+            marks[f"_accepted_{i}"] = mark
+        hits = _hits(table)[numbers]
+        seen = np.maximum.accumulate(
+            np.concatenate(([carried("hit_in", spacing.NEVER)], hits[:-1]))
+        )[: len(hits)]
+        first = np.zeros(table.num_rows, dtype=bool)
+        first[numbers] = hits > seen
+        marks["_first_hit"] = first
+        out = table.select(kept)
+        for name in flags:
+            out = out.append_column(name, pa.array(marks[name]))
+        return out
+
+    return rows.groupBy(*layout.cells).applyInArrow(run, schema)
 
 
 def explode_policies(rows: DataFrame, policies: list[Policy]) -> DataFrame:
@@ -297,30 +347,10 @@ def explode_policies(rows: DataFrame, policies: list[Policy]) -> DataFrame:
     return rows.select(*plain, F.inline(flags)).withColumn("reason", reason)
 
 
-def stress_block(
-    gated: DataFrame, policies: list[Policy], bits: int | str | None = AUTO
-) -> DataFrame:
-    """Per (passing quote, policy): does it lie in a stress block?"""
-    check_policies(policies)
-    layout = Layout(bits=resolve_bits(gated, bits))
-    rows = layout.start(gated.withColumn("mid", q.mid_price()))
-    rows = mark_blocked(rows, policies, layout).where(passing())
-    flags = F.array(
-        *[
-            F.struct(
-                F.lit(p.name).alias("policy"),
-                (F.lit(False) if p.passthrough else F.col(f"_blocked_{i}")).alias("blocked"),
-            )
-            for i, p in enumerate(policies)
-        ]
-    )
-    return rows.select(*gated.columns, F.inline(flags))
-
-
 def debounce(gated: DataFrame, policies: list[Policy], bits: int | str | None = AUTO) -> DataFrame:
     """Apply every policy to the same gated quotes; one row per (quote, policy)."""
     check_policies(policies)
     layout = Layout(bits=resolve_bits(gated, bits))
-    rows = layout.start(gated.withColumn("mid", q.mid_price()))
-    rows = mark_accepted(mark_blocked(rows, policies, layout), policies, layout)
-    return explode_policies(rows.drop("mid", BUCKET), policies)
+    rows = gated.withColumns({"mid": q.mid_price(), "_hit": F.lit(None).cast("bigint")})
+    rows = decide(layout.start(rows), policies, layout)
+    return explode_policies(rows.drop("_first_hit", BUCKET), policies)

@@ -6,15 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import quotes as q
-from tidegate.operators.debounce import explode_policies, mark_accepted, mark_blocked
+from tidegate.operators.debounce import decide, explode_policies
 from tidegate.operators.quality import lenient_valid, mark_gate, sequence_scan, validate_quotes
-from tidegate.operators.risk import (
-    first_hit,
-    hit_scan,
-    order_scan,
-    risk_event,
-    with_orders,
-)
+from tidegate.operators.risk import mark_hits, order_scan, with_orders
 from tidegate.operators.scan import AUTO, BUCKET, Layout, resolve_bits, running
 from tidegate.schema import (
     MAX_FUTURE_SKEW_NS,
@@ -34,15 +28,26 @@ def _with_receive(ticks: DataFrame) -> DataFrame:
 
 
 def _signals(
-    rows: DataFrame, policies: list[Policy], layout: Layout, has_orders: bool
+    rows: DataFrame,
+    policies: list[Policy],
+    layout: Layout,
+    has_orders: bool,
+    keep: list[str] | None,
 ) -> DataFrame:
     """Risk events and accepted flags for rows with `gate_reason` and `mid`."""
-    rows = mark_blocked(rows, policies, layout, hit_scan() if has_orders else None)
-    event = F.lit(None).cast(RISK_EVENT_TYPE)
     if has_orders:
-        event = F.when(first_hit(), risk_event(F.col("_order"), F.col("mid")))
-    rows = rows.withColumn("risk_event", event)
-    return mark_accepted(rows.drop("_order", "_hit_before"), policies, layout)
+        rows = mark_hits(rows)
+    else:
+        none = F.lit(None)
+        rows = rows.withColumns(
+            {"_hit": none.cast("bigint"), "_event": none.cast(RISK_EVENT_TYPE)}
+        )
+    if keep is not None:
+        needed = ["arrival", "timestamp_ns", "mid", "gate_reason", "_hit", "_event"]
+        rows = rows.select(*dict.fromkeys([*layout.cells, *needed, *keep]))
+    rows = decide(rows.drop("_rank"), policies, layout)
+    event = F.when(F.col("_first_hit"), F.col("_event"))
+    return rows.withColumn("risk_event", event).drop("_first_hit", "_event", BUCKET)
 
 
 def evaluate(
@@ -52,11 +57,13 @@ def evaluate(
     max_age_ns: int = MAX_QUOTE_AGE_NS,
     max_skew_ns: int = MAX_FUTURE_SKEW_NS,
     bits: int | str | None = AUTO,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per valid quote with `gate_reason`, `risk_event` and `_accepted_<i>`.
 
     All policies see the same gated quotes, so the stream is shuffled and gated once
-    however many policies are compared.
+    however many policies are compared.  `keep` names the quote columns the caller reads
+    (all by default); the others stay out of the Python step.
     """
     check_policies(policies)
     check_bounds(max_age_ns, max_skew_ns)
@@ -76,8 +83,7 @@ def evaluate(
     if has_orders:
         rows = rows.where(F.col("_rank") == 1).drop("_registered")
     rows = mark_gate(rows, layout, max_age_ns, max_skew_ns)
-    rows = _signals(rows, policies, layout, has_orders)
-    return rows.drop("_rank", "mid", BUCKET)
+    return _signals(rows, policies, layout, has_orders, keep)
 
 
 def compare(
@@ -111,6 +117,7 @@ def raw_signals(
     orders: DataFrame | None,
     policies: list[Policy],
     bits: int | str | None = AUTO,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Signals without the gate: every usable quote counts as passing.
 
@@ -130,4 +137,4 @@ def raw_signals(
     else:
         rows = layout.start(rows)
     rows = rows.withColumn("gate_reason", F.lit(PASS))
-    return _signals(rows, policies, layout, has_orders).drop("_rank", "mid", BUCKET)
+    return _signals(rows, policies, layout, has_orders, keep)

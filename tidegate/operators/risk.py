@@ -61,17 +61,6 @@ def hit() -> Column:
     return F.coalesce(passing() & touched, F.lit(False))
 
 
-def hit_scan() -> dict[str, Running]:
-    """Registration of the latest order hit so far; it only ever grows."""
-    return {"_hit_before": Running("max", F.when(hit(), F.col("_order.registered_arrival")))}
-
-
-def first_hit() -> Column:
-    """The hit is the first one of the order in force."""
-    seen = F.col("_hit_before") >= F.col("_order.registered_arrival")
-    return hit() & ~F.coalesce(seen, F.lit(False))
-
-
 def risk_event(order: Column, mid: Column) -> Column:
     """Event of a hit; the stop is tested first."""
     stop = F.struct(
@@ -92,6 +81,16 @@ def risk_event(order: Column, mid: Column) -> Column:
     return event.cast(RISK_EVENT_TYPE)
 
 
+def mark_hits(rows: DataFrame) -> DataFrame:
+    """Turn `_order` into `_hit`, the registration of the order the quote hits, and the
+    event this hit would raise; both null on the many quotes that hit nothing."""
+    registered = F.col("_order.registered_arrival")
+    event = risk_event(F.col("_order"), F.col("mid"))
+    return rows.withColumns(
+        {"_hit": F.when(hit(), registered), "_event": F.when(hit(), event)}
+    ).drop("_order")
+
+
 def orders_in_force(
     gated: DataFrame, orders: DataFrame, bits: int | str | None = AUTO
 ) -> DataFrame:

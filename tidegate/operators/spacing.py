@@ -1,19 +1,14 @@
-"""Minimum spacing between accepted signals, the one truly recursive rule.
+"""Signal decisions inside one bucket of passing quotes, and what it hands on.
 
-A quote is accepted if it lies at least `base` ns after the last accepted quote.  Which
-quotes of a bucket are accepted depends on the earlier buckets through one number, the
-time of the last accepted quote.  So each bucket is summarised by a step function that
-maps this number from before the bucket to after it:
+A quote is accepted if it lies outside every stress block and at least `base` ns after
+the last accepted quote.  The second rule is truly recursive, but the past acts on a
+bucket only through a threshold: the first accepted quote of the bucket is the first
+unblocked one at or after max(end of earlier blocks, last accepted + base), and from there
+the bucket alone decides.  So a bucket is summarised by a step function from the last
+accepted time before the bucket to the one after it.  Step functions compose, so groups of
+buckets are reduced in parallel and only their composition is walked per symbol.
 
-* `upto` ascending, `exits` not descending: a value v <= upto[j] (smallest such j)
-  leaves the bucket as exits[j]; a value above the last `upto` leaves unchanged, as
-  nothing in the bucket is accepted.
-
-Step functions compose, so groups of buckets are reduced in parallel first and only
-their composition is walked per symbol.  A function has at most as many steps as there
-are distinct quote times within one `base` period.
-
-The helpers here work on numpy arrays of one bucket (at most 2**bits rows).
+Everything here works on numpy arrays of one bucket (at most 2**bits rows).
 """
 
 from __future__ import annotations
@@ -26,37 +21,47 @@ import numpy as np
 NEVER = -(2**63)
 ALWAYS = 2**63 - 1
 
+Steps = tuple[list[int], list[int]]  # (upto, exits), both ascending
+
 
-def _shift(last: int, base: int) -> int:
-    return min(last + base, ALWAYS)
+def block_ends(
+    ts: np.ndarray, mid: np.ndarray, base: int, longest: int, stress: float, before: float | None
+) -> np.ndarray:
+    """End of the stress block in force at each quote, from the moves up to it."""
+    previous = np.empty_like(mid)
+    previous[1:] = mid[:-1]
+    previous[:1] = np.nan if before is None else before
+    move = np.abs(mid - previous) / previous * 10_000.0
+    scaled = base * (1.0 + move / stress)
+    sharp = move >= stress
+    rest = np.where(sharp & (scaled < longest), scaled, 0.0).astype(np.int64)
+    cooldown = np.where(scaled >= longest, np.int64(longest), rest)
+    end = np.where(ts > ALWAYS - cooldown, ALWAYS, ts + cooldown)
+    return np.maximum.accumulate(np.where(sharp, end, 0)) if len(ts) else ts
 
 
-def _successors(ts: np.ndarray, base: int) -> np.ndarray:
+def _successors(ts: np.ndarray, base: int) -> list[int]:
     """Index of the first quote at least `base` after each quote (len(ts) if none)."""
+    if len(ts) == 0:
+        return []
     since_first = ts - ts[0]
-    return np.searchsorted(since_first, since_first + base, side="left")
+    return np.searchsorted(since_first, since_first + base, side="left").tolist()
 
 
-def accepted_mask(ts: np.ndarray, base: int, last: int = NEVER) -> np.ndarray:
-    """Accepted quotes of one bucket; `ts` ascending, equal times in arrival order."""
-    n = len(ts)
-    mask = np.zeros(n, dtype=bool)
-    if n == 0:
-        return mask
+def accepted_rows(ts: np.ndarray, base: int, threshold: int = NEVER) -> list[int]:
+    """Positions accepted among unblocked quotes in order; equal times: first arrival wins."""
+    at = int(np.searchsorted(ts, threshold, side="left"))
     if base == 0:
-        mask[:] = True
-        return mask
-    at = 0 if last == NEVER else int(np.searchsorted(ts, _shift(last, base), side="left"))
-    following = _successors(ts, base).tolist()
+        return list(range(at, len(ts)))
+    following = _successors(ts, base)
     chain = []
-    while at < n:
+    while at < len(ts):
         chain.append(at)
         at = following[at]
-    mask[chain] = True
-    return mask
+    return chain
 
 
-def _merge_steps(upto: list[int], exits: list[int]) -> tuple[list[int], list[int]]:
+def _merged(upto: list[int], exits: list[int]) -> Steps:
     out_upto: list[int] = []
     out_exits: list[int] = []
     for bound, value in zip(upto, exits):
@@ -68,37 +73,53 @@ def _merge_steps(upto: list[int], exits: list[int]) -> tuple[list[int], list[int
     return out_upto, out_exits
 
 
-def bucket_steps(ts: np.ndarray, base: int) -> tuple[list[int], list[int]]:
-    """Step function of one bucket of quotes with ascending times."""
-    n = len(ts)
-    following = _successors(ts, base).tolist()
+def threshold_steps(ts: np.ndarray, base: int) -> Steps:
+    """Last accepted time of the bucket as a function of the entry threshold."""
+    following = _successors(ts, base)
     times = ts.tolist()
-    exits = [0] * n
-    for i in range(n - 1, -1, -1):
-        exits[i] = times[i] if following[i] >= n else exits[following[i]]
-    # Any carried value is at most the first time, so entries past it + base are unreachable.
-    reach = following[0]
-    upto = [t - base for t in times[: reach + 1]]
-    exits = exits[: reach + 1]
-    if reach < n:
-        upto[-1] = ALWAYS
-    return _merge_steps(upto, exits)
-
-
-def apply_steps(upto: list[int], exits: list[int], value: int) -> int:
+    exits = times[:]
+    for i in range(len(times) - 1, -1, -1):
+        if following[i] < len(times):
+            exits[i] = exits[following[i]]
+    return _merged(times, exits)
+
+
+def signal_steps(steps: Steps, base: int, blocked_until: int, first_ts: int) -> Steps:
+    """The same as a function of the last accepted time before the bucket.
+
+    Thresholds below `blocked_until` cannot occur.  No earlier signal is later than the
+    first quote of the bucket, so the step that covers `first_ts` covers all the rest.
+    """
+    upto, exits = [], []
+    for bound, value in zip(*steps):
+        if bound < blocked_until:
+            continue
+        exits.append(value)
+        if bound - base >= first_ts:
+            upto.append(ALWAYS)
+            break
+        upto.append(bound - base)
+    return _merged(upto, exits)
+
+
+def apply_steps(steps: Steps, value: int) -> int:
+    upto, exits = steps
     j = bisect_left(upto, value)
     return exits[j] if j < len(upto) else value
 
 
-def compose_steps(
-    first: tuple[list[int], list[int]], second: tuple[list[int], list[int]]
-) -> tuple[list[int], list[int]]:
+def compose_steps(first: Steps, second: Steps) -> Steps:
     """The step function of `first` followed by `second`."""
     upto = list(first[0])
-    exits = [apply_steps(*second, value) for value in first[1]]
+    exits = [apply_steps(second, value) for value in first[1]]
     edge = upto[-1] if upto else NEVER - 1
     for bound, value in zip(*second):
         if bound > edge:
             upto.append(bound)
             exits.append(value)
-    return _merge_steps(upto, exits)
+    return _merged(upto, exits)
+
+
+def entry_threshold(last: int, base: int, blocked_until: int) -> int:
+    after = NEVER if last == NEVER else min(last + base, ALWAYS)
+    return max(after, blocked_until)

@@ -45,7 +45,8 @@ def compare_policies(
     bits: int | str | None = AUTO,
 ) -> DataFrame:
     """One report row per policy over the same stream."""
-    rows = evaluate(ticks, orders, policies, max_age_ns, max_skew_ns, bits)
+    keep = ["sequence", *(by or [])]
+    rows = evaluate(ticks, orders, policies, max_age_ns, max_skew_ns, bits, keep)
     return policy_metrics(rows, policies, window, by, probe_mid)
 
 
@@ -56,7 +57,7 @@ def raw_pipeline(
     bits: int | str | None = AUTO,
 ) -> DataFrame:
     """Counts of the ungated pipeline; unusable quotes are counted and skipped."""
-    rows = raw_signals(ticks, orders, [policy], bits)
+    rows = raw_signals(ticks, orders, [policy], bits, ["bid", "ask"])
     event = F.col("risk_event")
     mid = q.mid_price()
     fillable = F.when(
