@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from tidegate.session import cut, cut_arranged
 
 BUCKET = "_bucket"
-DEFAULT_BITS = 18
+DEFAULT_BITS = 16
+SINGLE_BITS = 18  # up to this extent one bucket per key is used
 AUTO = "auto"
 
 
@@ -86,13 +87,13 @@ class Layout:
 
 
 def choose_bits(df: DataFrame, order: str = "arrival", bits: int = DEFAULT_BITS) -> int | None:
-    """Check the extent of the order column: None if one bucket holds all of it.
+    """Check the extent of the order column: None if one small bucket holds all of it.
 
-    The bound on rows per task is the same either way; a table that fits one bucket
-    just needs no carried values.
+    Such a table needs no carried values; its windows hold at most 2**SINGLE_BITS rows.
     """
     low, high = df.agg(F.min(order), F.max(order)).first()
-    return None if low is None or low >> bits == high >> bits else bits
+    single = low is None or low >> SINGLE_BITS == high >> SINGLE_BITS
+    return None if single else bits
 
 
 def resolve_bits(df: DataFrame, bits: int | str | None, order: str = "arrival") -> int | None:
