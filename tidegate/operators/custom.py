@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions import quotes as q
-from tidegate.operators.debounce import passing, with_previous_mid
-from tidegate.operators.scan import AUTO
+from tidegate.operators.debounce import (
+    GROUP_BITS,
+    arrow_table,
+    arrow_type,
+    passing,
+    passing_quotes,
+    with_previous_mid,
+)
+from tidegate.operators.scan import AUTO, BUCKET, Layout, join_carried, resolve_bits
 from tidegate.schema import ACCEPTED, DEBOUNCED
+from tidegate.session import cut
+
+
+class ScanPolicy(Protocol):
+    """A rate limit whose memory of many quotes is a short list of floats.
+
+    `accept` gets the passing quotes of one symbol in one bucket, in order, and the
+    memory of all earlier ones (None if there were none).  `merge` must be associative.
+    """
+
+    def summarise(self, ts: np.ndarray, mid: np.ndarray) -> list[float]: ...
+
+    def merge(self, first: list[float], second: list[float]) -> list[float]: ...
+
+    def accept(
+        self, ts: np.ndarray, mid: np.ndarray, before: list[float] | None
+    ) -> np.ndarray: ...
 
 
 def _with_reason(rows: DataFrame) -> DataFrame:
@@ -27,37 +53,87 @@ def _with_reason(rows: DataFrame) -> DataFrame:
 def debounce_by_column(
     gated: DataFrame, accept: Callable[[], Column], bits: int | str | None = AUTO
 ) -> DataFrame:
-    """Policy given as a column over `mid`, `previous_mid` and `move_bps`.
-
-    Runs in the balanced scan; prefer it wherever the rule needs no memory of its own
-    decisions.
-    """
+    """Policy given as a column over `mid`, `previous_mid` and `move_bps`."""
     rows = with_previous_mid(gated, bits)
     flag = F.coalesce(passing() & accept(), F.lit(False))
     return _with_reason(rows.select(*gated.columns, flag.alias("accepted_signal")))
 
 
-def debounce_by_object(gated: DataFrame, make_policy: Callable[[], object]) -> DataFrame:
-    """Policy given as an object with `accept(symbol, timestamp_ns, mid) -> bool`.
+def _memories(rows: DataFrame, policy: ScanPolicy, layout: Layout) -> DataFrame:
+    """Memory in front of each (key, bucket): groups of buckets are merged first, then
+    walked per key, then each group is walked with what came before it."""
+    floats = T.ArrayType(T.DoubleType())
+    keys = [rows.schema[k] for k in layout.keys]
+    memory = T.StructField("_memory", floats)
+    bucket, group = T.StructField(BUCKET, T.LongType()), T.StructField("_group", T.LongType())
 
-    `make_policy` is called once per symbol.  The object's memory is opaque, so the quotes
-    of a symbol must pass through it one after the other; they are streamed in Arrow-sized
-    batches sorted by Spark, never held as a whole.  Rules that can be written as a column
-    or a `Policy` scale over a hot symbol and should be.
-    """
+    def fields(schema):
+        return [(f.name, arrow_type(f.dataType)) for f in schema.fields]
+
+    def summarise(key, table):
+        _, ts, mid = passing_quotes(table)
+        key = [k.as_py() for k in key]
+        found = [[*key, list(policy.summarise(ts, mid))]] if len(ts) else []
+        return arrow_table(fields(per_bucket), found)
+
+    def ordered(table, place):
+        return table.take(
+            pa.array(np.argsort(table.column(place).to_numpy(), kind="stable"))
+        ).to_pylist()
+
+    def step(before, row):
+        return row["_memory"] if before is None else list(policy.merge(before, row["_memory"]))
+
+    def total(key, table):
+        before = None
+        for row in ordered(table, BUCKET):
+            before = step(before, row)
+        return arrow_table(fields(per_group), [[*[k.as_py() for k in key], before]])
+
+    def walk(place, schema):
+        def run(key, table):
+            before = table.column("_before")[0].as_py() if "_before" in table.column_names else None
+            out = []
+            for row in ordered(table, place):
+                out.append([*[row[n] for n in schema.names[:-1]], before])
+                before = step(before, row)
+            return arrow_table(fields(schema), out)
+
+        return run
+
+    per_bucket = T.StructType([*keys, bucket, memory])
+    per_group = T.StructType([*keys, group, memory])
+    needed = rows.select(*layout.cells, "arrival", "timestamp_ns", "mid", "_pass")
+    summaries = cut(needed.groupBy(*layout.cells).applyInArrow(summarise, per_bucket))
+    summaries = summaries.withColumn("_group", F.shiftright(F.col(BUCKET), GROUP_BITS))
+    in_group = [*layout.keys, "_group"]
+    groups = summaries.groupBy(*in_group).applyInArrow(total, per_group)
+    before_group = T.StructType([*keys, group, T.StructField("_before", floats)])
+    before_bucket = T.StructType([*keys, bucket, T.StructField("_before", floats)])
+    starts = groups.groupBy(*layout.keys).applyInArrow(walk("_group", before_group), before_group)
+    return (
+        summaries.join(starts.hint("shuffle_hash"), in_group)
+        .groupBy(*in_group)
+        .applyInArrow(walk(BUCKET, before_bucket), before_bucket)
+    )
+
+
+def debounce_by_scan(
+    gated: DataFrame, policy: ScanPolicy, bits: int | str | None = AUTO
+) -> DataFrame:
+    """Policy given as an object; a symbol of any size is cut into buckets."""
+    layout = Layout(bits=resolve_bits(gated, bits))
+    rows = layout.start(gated.withColumns({"mid": q.mid_price(), "_pass": passing()}))
+    if layout.bits is not None:
+        rows = join_carried(rows, _memories(rows, policy, layout), layout)
     schema = T.StructType([*gated.schema.fields, T.StructField("accepted_signal", T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, policy = None, None
-        for batch in batches:
-            flags = []
-            quotes = zip(batch["symbol"], batch["timestamp_ns"], batch["_mid"], batch["_pass"])
-            for name, ts, mid, ok in quotes:
-                if policy is None or name != symbol:
-                    symbol, policy = name, make_policy()
-                flags.append(bool(ok) and bool(policy.accept(name, int(ts), float(mid))))
-            yield batch.drop(columns=["_mid", "_pass"]).assign(accepted_signal=flags)
-
-    rows = gated.withColumns({"_mid": q.mid_price(), "_pass": passing()})
-    streamed = rows.repartition("symbol").sortWithinPartitions("symbol", "arrival")
-    return _with_reason(streamed.mapInPandas(run, schema))
+    def run(key, table):
+        before = table.column("_before")[0].as_py() if "_before" in table.column_names else None
+        numbers, ts, mid = passing_quotes(table)
+        flags = np.zeros(table.num_rows, dtype=bool)
+        if len(numbers):
+            flags[numbers] = policy.accept(ts, mid, before)
+        return table.select(gated.columns).append_column("accepted_signal", pa.array(flags))
+
+    return _with_reason(rows.groupBy(*layout.cells).applyInArrow(run, schema))

@@ -82,7 +82,7 @@ def stress_block(
     return rows.select(*gated.columns, F.inline(flags))
 
 
-def _passing_quotes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def passing_quotes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, times and mids of the passing quotes of one bucket in arrival order."""
     rows = np.flatnonzero(table.column("_pass").to_numpy(zero_copy_only=False))
     place = table.column("arrival").to_numpy()[rows]
@@ -101,11 +101,15 @@ def _ends(p: Policy, ts: np.ndarray, mid: np.ndarray, before: float | None) -> n
     return spacing.block_ends(ts, mid, p.base_ns, p.max_ns, p.stress_bps, before)
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(arrow_type(kind.elementType))
+    if isinstance(kind, T.DoubleType):
+        return pa.float64()
     return pa.string() if isinstance(kind, T.StringType) else pa.int64()
 
 
-def _table(fields: list[tuple[str, pa.DataType]], records: list[list]) -> pa.Table:
+def arrow_table(fields: list[tuple[str, pa.DataType]], records: list[list]) -> pa.Table:
     columns = list(zip(*records)) if records else [() for _ in fields]
     return pa.table({n: pa.array(list(c), type=t) for (n, t), c in zip(fields, columns)})
 
@@ -129,31 +133,23 @@ def _bucket_summaries(
             T.StructField("exits", T.ArrayType(longs)),
         ]
     )
-    ints = pa.list_(pa.int64())
-    fields = [(f.name, _arrow_type(f.dataType)) for f in key_fields] + [
-        ("first_ts", pa.int64()),
-        ("first_mid", pa.float64()),
-        ("last_mid", pa.float64()),
-        ("hit", pa.int64()),
-        ("ends", ints),
-        ("upto", pa.list_(ints)),
-        ("exits", pa.list_(ints)),
-    ]
+    fields = [(f.name, arrow_type(f.dataType)) for f in schema.fields]
     settings = [p for _, p in active]
 
     def summarise(key, table):
-        _, ts, mid = _passing_quotes(table)
+        _, ts, mid = passing_quotes(table)
         if len(ts) == 0:
-            return _table(fields, [])
+            return arrow_table(fields, [])
         ends, upto, exits = [], [], []
         for p in settings:
             end = _ends(p, ts, mid, None)
-            steps = spacing.threshold_steps(ts[ts >= end], p.base_ns)
+            reach = min(int(ts[0]) + max(p.base_ns, p.max_ns), spacing.ALWAYS)
+            steps = spacing.threshold_steps(ts[ts >= end], p.base_ns, reach)
             ends.append(int(end[-1]))
             upto.append(steps[0])
             exits.append(steps[1])
         first = [k.as_py() for k in key] + [int(ts[0]), float(mid[0]), float(mid[-1])]
-        return _table(fields, [[*first, int(_hits(table).max()), ends, upto, exits]])
+        return arrow_table(fields, [[*first, int(_hits(table).max()), ends, upto, exits]])
 
     needed = rows.select(*layout.cells, "arrival", "timestamp_ns", "mid", "_pass", "_hit")
     return cut(needed.groupBy(*layout.cells).applyInArrow(summarise, schema))
@@ -213,7 +209,6 @@ def _carried_signals(
         ).select(*layout.cells, "_group", "first_ts", "_policy", "_step.*")
     )
     key_fields = [state.schema[k] for k in layout.keys]
-    key_types = [(f.name, _arrow_type(f.dataType)) for f in key_fields]
     long, longs = T.LongType(), T.ArrayType(T.LongType())
     group_schema = T.StructType(
         [
@@ -224,8 +219,7 @@ def _carried_signals(
             T.StructField("exits", longs),
         ]
     )
-    ints = pa.list_(pa.int64())
-    group_fields = [*key_types, ("_policy", pa.int64()), ("_group", pa.int64()), ("upto", ints), ("exits", ints)]
+    group_fields = [(f.name, arrow_type(f.dataType)) for f in group_schema.fields]
     bases = [p.base_ns for _, p in active]
 
     def in_order(table, place):
@@ -241,24 +235,28 @@ def _carried_signals(
         total = ([], [])
         for row in in_order(table, BUCKET):
             total = spacing.compose_steps(total, bucket_steps(row))
-        return _table(group_fields, [[*[k.as_py() for k in key], *total]])
+        return arrow_table(group_fields, [[*[k.as_py() for k in key], *total]])
 
     def entries_of(place):
-        fields = [*key_types, ("_policy", pa.int64()), (place, pa.int64()), ("entry", pa.int64())]
+        schema = T.StructType(
+            [
+                *key_fields,
+                T.StructField("_policy", long),
+                T.StructField(place, long),
+                T.StructField("entry", long),
+            ]
+        )
+        fields = [(f.name, arrow_type(f.dataType)) for f in schema.fields]
 
         def walk(key, table):
             value = table.column("entry")[0].as_py() if "entry" in table.column_names else spacing.NEVER
             out = []
-            names = [n for n, _ in fields[:-1]]
             for row in in_order(table, place):
-                out.append([*[row[n] for n in names], value])
+                out.append([*[row[n] for n, _ in fields[:-1]], value])
                 found = bucket_steps(row) if place == BUCKET else (row["upto"], row["exits"])
                 value = spacing.apply_steps(found, value)
-            return _table(fields, out)
+            return arrow_table(fields, out)
 
-        schema = T.StructType(
-            [*key_fields, T.StructField("_policy", long), T.StructField(place, long), T.StructField("entry", long)]
-        )
         return walk, schema
 
     by_group = [*layout.keys, "_policy", "_group"]
@@ -300,7 +298,7 @@ def decide(rows: DataFrame, policies: list[Policy], layout: Layout) -> DataFrame
             value = table.column(name)[0].as_py() if name in names else None
             return default if value is None else value
 
-        numbers, ts, mid = _passing_quotes(table)
+        numbers, ts, mid = passing_quotes(table)
         marks = {}
         for i, p in enumerate(policies):
             mark = np.zeros(table.num_rows, dtype=bool)

@@ -161,29 +161,3 @@ def running(df: DataFrame, layout: Layout, specs: dict[str, Running]) -> DataFra
             for name, spec in specs.items()
         ],
     )
-
-
-def as_of(
-    left: DataFrame,
-    right: DataFrame,
-    value: str,
-    layout: Layout,
-    right_order: str,
-) -> DataFrame:
-    """Latest `right.value` per key at or before each left row.
-
-    The right rows travel in the same ordered stream as the left rows, so the join
-    needs no range condition, no pairs, and no broadcast.
-    """
-    order = layout.order[0]
-    stream = Layout(layout.keys, (order, "_rank"), layout.bits)
-    marks = right.select(
-        *layout.keys, F.col(right_order).alias(order), F.lit(0).alias("_rank"), F.col(value)
-    )
-    rows = left.withColumn("_rank", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    out = running(stream.assign(rows), stream, {"_latest": Running("last", F.col(value), True)})
-    return (
-        out.where(F.col("_rank") == 1)
-        .drop(value, "_rank", BUCKET)
-        .withColumnRenamed("_latest", value)
-    )

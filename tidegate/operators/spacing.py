@@ -21,7 +21,7 @@ import numpy as np
 NEVER = -(2**63)
 ALWAYS = 2**63 - 1
 
-Steps = tuple[list[int], list[int]]  # (upto, exits), both ascending
+Steps = tuple[list[int], list[int]]  # (upto, exits): values up to upto[j] lead to exits[j]
 
 
 def block_ends(
@@ -73,15 +73,21 @@ def _merged(upto: list[int], exits: list[int]) -> Steps:
     return out_upto, out_exits
 
 
-def threshold_steps(ts: np.ndarray, base: int) -> Steps:
-    """Last accepted time of the bucket as a function of the entry threshold."""
+def threshold_steps(ts: np.ndarray, base: int, reach: int) -> Steps:
+    """Last accepted time of the bucket as a function of the entry threshold.
+
+    No threshold lies above `reach`: earlier signals and blocks are no later than the
+    first quote of the bucket plus the longest quiet period.  So the function has at most
+    one step per quote of that period, however many quotes the bucket holds.
+    """
     following = _successors(ts, base)
     times = ts.tolist()
     exits = times[:]
     for i in range(len(times) - 1, -1, -1):
         if following[i] < len(times):
             exits[i] = exits[following[i]]
-    return _merged(times, exits)
+    entries = int(np.searchsorted(ts, reach, side="left")) + 1
+    return _merged(times[:entries], exits[:entries])
 
 
 def signal_steps(steps: Steps, base: int, blocked_until: int, first_ts: int) -> Steps:

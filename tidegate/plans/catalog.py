@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,21 +181,23 @@ def custom_column_policy(spark, sf):
     return rows.select("arrival", "symbol", "accepted_signal", "reason")
 
 
-class _MoveOnly:
+class MoveOnly:
     """Accepts quotes that moved 5 bps against the one before."""
 
-    def __init__(self):
-        self.mid = None
+    def summarise(self, ts, mid):
+        return [float(mid[-1])]
 
-    def accept(self, symbol, timestamp_ns, mid):
-        moved = self.mid is not None and abs(mid - self.mid) / self.mid * 10_000.0 >= 5.0
-        self.mid = mid
-        return moved
+    def merge(self, first, second):
+        return second
 
+    def accept(self, ts, mid, before):
+        previous = np.concatenate(([np.nan if before is None else before[0]], mid[:-1]))
+        return np.abs(mid - previous) / previous * 10_000.0 >= 5.0
 
-@query("custom_object_policy", _CUSTOM)
-def custom_object_policy(spark, sf):
-    rows = custom.debounce_by_object(gated(spark, sf), _MoveOnly)
+
+@query("custom_scan_policy", _CUSTOM)
+def custom_scan_policy(spark, sf):
+    rows = custom.debounce_by_scan(gated(spark, sf), MoveOnly(), SMALL_BUCKETS)
     return rows.select("arrival", "symbol", "accepted_signal", "reason")
 
 
@@ -998,20 +1001,13 @@ def summary_rows(spark, sf) -> DataFrame:
     report = _report(spark, sf, window=window, probe_mid=98.2)
     return report.withColumns(
         {
-            "base_tick_count": F.max("input_events").over(_everything()),
-            "input_event_count": F.max("input_events").over(_everything()),
+            "base_tick_count": F.col("input_events"),
+            "input_event_count": F.col("input_events"),
             "window_ticks": F.lit(WINDOW_TICKS).cast("bigint"),
         }
     )
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    # One row per policy: the report is small by construction.
-    return Window.partitionBy(F.lit(0))
-
-
 @query(
     "report_checks",
     f"""SELECT 'events_accounted' AS "check", policy AS subject, TRUE AS passed FROM (SELECT DISTINCT policy FROM outcomes)
