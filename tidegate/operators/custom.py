@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions import quotes as q
-from tidegate.operators.debounce import (
-    GROUP_BITS,
+from tidegate.operators.buckets import (
     arrow_table,
-    arrow_type,
+    each_bucket,
+    flag_arrays,
+    flags_type,
+    in_order,
+    pack,
     passing,
-    passing_quotes,
-    with_previous_mid,
+    quotes,
+    unpack,
 )
+from tidegate.operators.debounce import GROUP_BITS, with_previous_mid
 from tidegate.operators.scan import AUTO, BUCKET, Layout, join_carried, resolve_bits
 from tidegate.schema import ACCEPTED, DEBOUNCED
 from tidegate.session import cut
@@ -59,63 +63,51 @@ def debounce_by_column(
     return _with_reason(rows.select(*gated.columns, flag.alias("accepted_signal")))
 
 
-def _memories(rows: DataFrame, policy: ScanPolicy, layout: Layout) -> DataFrame:
+def _memories(packed: DataFrame, policy: ScanPolicy, layout: Layout) -> DataFrame:
     """Memory in front of each (key, bucket): groups of buckets are merged first, then
     walked per key, then each group is walked with what came before it."""
     floats = T.ArrayType(T.DoubleType())
-    keys = [rows.schema[k] for k in layout.keys]
-    memory = T.StructField("_memory", floats)
-    bucket, group = T.StructField(BUCKET, T.LongType()), T.StructField("_group", T.LongType())
+    keys = [packed.schema[k] for k in layout.keys]
+    group, before = T.StructField("_group", T.LongType()), T.StructField("_before", floats)
+    per_group = T.StructType([*keys, group, T.StructField("_memory", floats)])
 
-    def fields(schema):
-        return [(f.name, arrow_type(f.dataType)) for f in schema.fields]
+    @F.arrow_udf(floats)
+    def summary(packed: pa.Array) -> pa.Array:
+        found = [
+            list(policy.summarise(b.ts, b.mid)) if len(b.ts) else None for b in each_bucket(packed)
+        ]
+        return pa.array(found, type=pa.list_(pa.float64()))
 
-    def summarise(key, table):
-        _, ts, mid = passing_quotes(table)
-        key = [k.as_py() for k in key]
-        found = [[*key, list(policy.summarise(ts, mid))]] if len(ts) else []
-        return arrow_table(fields(per_bucket), found)
-
-    def ordered(table, place):
-        return table.take(
-            pa.array(np.argsort(table.column(place).to_numpy(), kind="stable"))
-        ).to_pylist()
-
-    def step(before, row):
-        return row["_memory"] if before is None else list(policy.merge(before, row["_memory"]))
+    def step(memory, row):
+        return row["_memory"] if memory is None else list(policy.merge(memory, row["_memory"]))
 
     def total(key, table):
-        before = None
-        for row in ordered(table, BUCKET):
-            before = step(before, row)
-        return arrow_table(fields(per_group), [[*[k.as_py() for k in key], before]])
+        memory = None
+        for row in in_order(table, BUCKET):
+            memory = step(memory, row)
+        return arrow_table(per_group, [[*[k.as_py() for k in key], memory]])
+
+    def walk(place):
+        schema = T.StructType([*keys, T.StructField(place, T.LongType()), before])
 
-    def walk(place, schema):
         def run(key, table):
-            before = table.column("_before")[0].as_py() if "_before" in table.column_names else None
+            memory = table.column("_before")[0].as_py() if "_before" in table.column_names else None
             out = []
-            for row in ordered(table, place):
-                out.append([*[row[n] for n in schema.names[:-1]], before])
-                before = step(before, row)
-            return arrow_table(fields(schema), out)
+            for row in in_order(table, place):
+                out.append([*[row[n] for n in schema.names[:-1]], memory])
+                memory = step(memory, row)
+            return arrow_table(schema, out)
 
-        return run
+        return run, schema
 
-    per_bucket = T.StructType([*keys, bucket, memory])
-    per_group = T.StructType([*keys, group, memory])
-    needed = rows.select(*layout.cells, "arrival", "timestamp_ns", "mid", "_pass")
-    summaries = cut(needed.groupBy(*layout.cells).applyInArrow(summarise, per_bucket))
+    rows = packed.select(*layout.cells, summary(quotes()).alias("_memory"))
+    summaries = cut(rows.where(F.col("_memory").isNotNull()))
     summaries = summaries.withColumn("_group", F.shiftright(F.col(BUCKET), GROUP_BITS))
     in_group = [*layout.keys, "_group"]
     groups = summaries.groupBy(*in_group).applyInArrow(total, per_group)
-    before_group = T.StructType([*keys, group, T.StructField("_before", floats)])
-    before_bucket = T.StructType([*keys, bucket, T.StructField("_before", floats)])
-    starts = groups.groupBy(*layout.keys).applyInArrow(walk("_group", before_group), before_group)
-    return (
-        summaries.join(starts.hint("shuffle_hash"), in_group)
-        .groupBy(*in_group)
-        .applyInArrow(walk(BUCKET, before_bucket), before_bucket)
-    )
+    starts = groups.groupBy(*layout.keys).applyInArrow(*walk("_group"))
+    joined = summaries.join(starts.hint("shuffle_hash"), in_group)
+    return joined.groupBy(*in_group).applyInArrow(*walk(BUCKET))
 
 
 def debounce_by_scan(
@@ -123,17 +115,19 @@ def debounce_by_scan(
 ) -> DataFrame:
     """Policy given as an object; a symbol of any size is cut into buckets."""
     layout = Layout(bits=resolve_bits(gated, bits))
-    rows = layout.start(gated.withColumns({"mid": q.mid_price(), "_pass": passing()}))
-    if layout.bits is not None:
-        rows = join_carried(rows, _memories(rows, policy, layout), layout)
-    schema = T.StructType([*gated.schema.fields, T.StructField("accepted_signal", T.BooleanType())])
-
-    def run(key, table):
-        before = table.column("_before")[0].as_py() if "_before" in table.column_names else None
-        numbers, ts, mid = passing_quotes(table)
-        flags = np.zeros(table.num_rows, dtype=bool)
-        if len(numbers):
-            flags[numbers] = policy.accept(ts, mid, before)
-        return table.select(gated.columns).append_column("accepted_signal", pa.array(flags))
-
-    return _with_reason(rows.groupBy(*layout.cells).applyInArrow(run, schema))
+    packed = pack(layout.assign(gated.withColumn("mid", q.mid_price())), layout)
+    if layout.bits is None:
+        packed = packed.withColumn("_before", F.lit(None).cast("array<double>"))
+    else:
+        packed = join_carried(packed, _memories(packed, policy, layout), layout)
+
+    @F.arrow_udf(flags_type(["accepted_signal"]))
+    def flags(packed: pa.Array, memories: pa.Array) -> pa.Array:
+        marks = [
+            b.mark(np.flatnonzero(policy.accept(b.ts, b.mid, before))) if len(b.ts) else b.mark([])
+            for b, before in zip(each_bucket(packed), memories.to_pylist())
+        ]
+        return flag_arrays(packed, {"accepted_signal": marks})
+
+    decided = flags(quotes(), F.col("_before"))
+    return _with_reason(unpack(packed, list(layout.keys), decided, gated.columns))

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions import quotes as q
 from tidegate.operators import spacing
+from tidegate.operators.buckets import (
+    arrow_table,
+    arrow_type,
+    each_bucket,
+    flag_arrays,
+    flags_type,
+    in_order,
+    pack,
+    passing,
+    quotes,
+    unpack,
+)
 from tidegate.operators.scan import (
     AUTO,
     BUCKET,
@@ -19,16 +31,12 @@ from tidegate.operators.scan import (
     resolve_bits,
     running,
 )
-from tidegate.schema import ACCEPTED, DEBOUNCED, PASS, Policy, check_policies
+from tidegate.schema import ACCEPTED, DEBOUNCED, Policy, check_policies
 from tidegate.session import cut
 
 GROUP_BITS = 8  # buckets per group when step functions are composed
 
 
-def passing() -> Column:
-    return F.col("gate_reason") == PASS
-
-
 def with_previous_mid(gated: DataFrame, bits: int | str | None = AUTO) -> DataFrame:
     """Add the mid of the previous passing quote and the move against it."""
     layout = Layout(bits=resolve_bits(gated, bits))
@@ -82,48 +90,18 @@ def stress_block(
     return rows.select(*gated.columns, F.inline(flags))
 
 
-def passing_quotes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, times and mids of the passing quotes of one bucket in arrival order."""
-    rows = np.flatnonzero(table.column("_pass").to_numpy(zero_copy_only=False))
-    place = table.column("arrival").to_numpy()[rows]
-    if len(place) > 1 and not (place[1:] > place[:-1]).all():
-        rows = rows[np.argsort(place, kind="stable")]
-    ts = table.column("timestamp_ns").to_numpy()[rows]
-    return rows, ts, table.column("mid").to_numpy()[rows]
-
-
-def _hits(table: pa.Table) -> np.ndarray:
-    """Registration of the order a quote hits, NEVER where it hits none."""
-    return table.column("_hit").fill_null(spacing.NEVER).to_numpy()
-
-
 def _ends(p: Policy, ts: np.ndarray, mid: np.ndarray, before: float | None) -> np.ndarray:
     return spacing.block_ends(ts, mid, p.base_ns, p.max_ns, p.stress_bps, before)
 
 
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    if isinstance(kind, T.ArrayType):
-        return pa.list_(arrow_type(kind.elementType))
-    if isinstance(kind, T.DoubleType):
-        return pa.float64()
-    return pa.string() if isinstance(kind, T.StringType) else pa.int64()
-
-
-def arrow_table(fields: list[tuple[str, pa.DataType]], records: list[list]) -> pa.Table:
-    columns = list(zip(*records)) if records else [() for _ in fields]
-    return pa.table({n: pa.array(list(c), type=t) for (n, t), c in zip(fields, columns)})
-
-
 def _bucket_summaries(
-    rows: DataFrame, active: list[tuple[int, Policy]], layout: Layout
+    packed: DataFrame, active: list[tuple[int, Policy]], layout: Layout
 ) -> DataFrame:
     """One row per (key, bucket): first and last passing quote, latest hit and block end,
     and per policy the step function of its accepted signals."""
     longs, long, double = T.ArrayType(T.LongType()), T.LongType(), T.DoubleType()
-    key_fields = [rows.schema[k] for k in layout.cells]
     schema = T.StructType(
         [
-            *key_fields,
             T.StructField("first_ts", long),
             T.StructField("first_mid", double),
             T.StructField("last_mid", double),
@@ -133,33 +111,46 @@ def _bucket_summaries(
             T.StructField("exits", T.ArrayType(longs)),
         ]
     )
-    fields = [(f.name, arrow_type(f.dataType)) for f in schema.fields]
     settings = [p for _, p in active]
+    returned = arrow_type(schema)
+
+    @F.arrow_udf(schema)
+    def summary(packed: pa.Array) -> pa.Array:
+        found = []
+        for b in each_bucket(packed):
+            if len(b.ts) == 0:
+                found.append(None)
+                continue
+            ends, upto, exits = [], [], []
+            for p in settings:
+                end = _ends(p, b.ts, b.mid, None)
+                reach = min(int(b.ts[0]) + max(p.base_ns, p.max_ns), spacing.ALWAYS)
+                steps = spacing.threshold_steps(b.ts[b.ts >= end], p.base_ns, reach)
+                ends.append(int(end[-1]))
+                upto.append(steps[0])
+                exits.append(steps[1])
+            found.append(
+                {
+                    "first_ts": int(b.ts[0]),
+                    "first_mid": float(b.mid[0]),
+                    "last_mid": float(b.mid[-1]),
+                    "hit": int(b.hit.max()),
+                    "ends": ends,
+                    "upto": upto,
+                    "exits": exits,
+                }
+            )
+        return pa.array(found, type=returned)
 
-    def summarise(key, table):
-        _, ts, mid = passing_quotes(table)
-        if len(ts) == 0:
-            return arrow_table(fields, [])
-        ends, upto, exits = [], [], []
-        for p in settings:
-            end = _ends(p, ts, mid, None)
-            reach = min(int(ts[0]) + max(p.base_ns, p.max_ns), spacing.ALWAYS)
-            steps = spacing.threshold_steps(ts[ts >= end], p.base_ns, reach)
-            ends.append(int(end[-1]))
-            upto.append(steps[0])
-            exits.append(steps[1])
-        first = [k.as_py() for k in key] + [int(ts[0]), float(mid[0]), float(mid[-1])]
-        return arrow_table(fields, [[*first, int(_hits(table).max()), ends, upto, exits]])
-
-    needed = rows.select(*layout.cells, "arrival", "timestamp_ns", "mid", "_pass", "_hit")
-    return cut(needed.groupBy(*layout.cells).applyInArrow(summarise, schema))
+    rows = packed.select(*layout.cells, summary(quotes()).alias("s"))
+    return cut(rows.where(F.col("s.first_ts").isNotNull()).select(*layout.cells, "s.*"))
 
 
 def _carried_state(
-    rows: DataFrame, active: list[tuple[int, Policy]], layout: Layout
+    packed: DataFrame, active: list[tuple[int, Policy]], layout: Layout
 ) -> DataFrame:
     """State in front of each (key, bucket): mid, latest hit, block ends, last signals."""
-    summaries = _bucket_summaries(rows, active, layout)
+    summaries = _bucket_summaries(packed, active, layout)
     earlier = layout.earlier_buckets()
     state = summaries.select(
         "*",
@@ -219,13 +210,8 @@ def _carried_signals(
             T.StructField("exits", longs),
         ]
     )
-    group_fields = [(f.name, arrow_type(f.dataType)) for f in group_schema.fields]
     bases = [p.base_ns for _, p in active]
 
-    def in_order(table, place):
-        table = table.take(pa.array(np.argsort(table.column(place).to_numpy(), kind="stable")))
-        return table.to_pylist()
-
     def bucket_steps(row):
         return spacing.signal_steps(
             (row["upto"], row["exits"]), bases[row["_policy"]], row["end"], row["first_ts"]
@@ -235,7 +221,7 @@ def _carried_signals(
         total = ([], [])
         for row in in_order(table, BUCKET):
             total = spacing.compose_steps(total, bucket_steps(row))
-        return arrow_table(group_fields, [[*[k.as_py() for k in key], *total]])
+        return arrow_table(group_schema, [[*[k.as_py() for k in key], *total]])
 
     def entries_of(place):
         schema = T.StructType(
@@ -246,16 +232,15 @@ def _carried_signals(
                 T.StructField("entry", long),
             ]
         )
-        fields = [(f.name, arrow_type(f.dataType)) for f in schema.fields]
 
         def walk(key, table):
             value = table.column("entry")[0].as_py() if "entry" in table.column_names else spacing.NEVER
             out = []
             for row in in_order(table, place):
-                out.append([*[row[n] for n, _ in fields[:-1]], value])
+                out.append([*[row[n] for n in schema.names[:-1]], value])
                 found = bucket_steps(row) if place == BUCKET else (row["upto"], row["exits"])
                 value = spacing.apply_steps(found, value)
-            return arrow_table(fields, out)
+            return arrow_table(schema, out)
 
         return walk, schema
 
@@ -282,50 +267,40 @@ def decide(rows: DataFrame, policies: list[Policy], layout: Layout) -> DataFrame
     order the quote hits (null for none).  `mid` and `_hit` are dropped.
     """
     active = [(i, p) for i, p in enumerate(policies) if not p.passthrough]
-    rows = rows.withColumn("_pass", F.coalesce(passing(), F.lit(False)))
-    kept = [c for c in rows.columns if c not in ("mid", "_hit", "_pass")]
+    columns = [c for c in rows.columns if c not in ("mid", "_hit", BUCKET)]
+    packed = pack(rows, layout, F.col("_hit"))
+    state_schema = ["mid_in double", "hit_in bigint"]
+    for i, _ in active:
+        state_schema += [f"end_in_{i} bigint", f"entry_{i} bigint"]
+    names = [field.split()[0] for field in state_schema]
     if layout.bits is not None:
-        rows = join_carried(rows, _carried_state(rows, active, layout), layout)
-    flags = [f"_accepted_{i}" for i in range(len(policies))] + ["_first_hit"]
-    schema = T.StructType(
-        [rows.schema[c] for c in kept] + [T.StructField(c, T.BooleanType()) for c in flags]
-    )
-
-    def run(key, table):
-        names = set(table.column_names)
-
-        def carried(name, default):
-            value = table.column(name)[0].as_py() if name in names else None
-            return default if value is None else value
-
-        numbers, ts, mid = passing_quotes(table)
-        marks = {}
-        for i, p in enumerate(policies):
-            mark = np.zeros(table.num_rows, dtype=bool)
-            if p.passthrough:
-                mark[numbers] = True
-            else:
-                before = carried(f"end_in_{i}", 0)
-                end = np.maximum(_ends(p, ts, mid, carried("mid_in", None)), before)
-                open_ = np.flatnonzero(ts >= end)
-                threshold = spacing.entry_threshold(
-                    carried(f"entry_{i}", spacing.NEVER), p.base_ns, before
-                )
-                mark[numbers[open_[spacing.accepted_rows(ts[open_], p.base_ns, threshold)]]] = True
-            marks[f"_accepted_{i}"] = mark
-        hits = _hits(table)[numbers]
-        seen = np.maximum.accumulate(
-            np.concatenate(([carried("hit_in", spacing.NEVER)], hits[:-1]))
-        )[: len(hits)]
-        first = np.zeros(table.num_rows, dtype=bool)
-        first[numbers] = hits > seen
-        marks["_first_hit"] = first
-        out = table.select(kept)
-        for name in flags:
-            out = out.append_column(name, pa.array(marks[name]))
-        return out
-
-    return rows.groupBy(*layout.cells).applyInArrow(run, schema)
+        packed = join_carried(packed, _carried_state(packed, active, layout), layout)
+    else:
+        nothing = {field.split()[0]: F.lit(None).cast(field.split()[1]) for field in state_schema}
+        packed = packed.withColumns(nothing)
+
+    @F.arrow_udf(flags_type([*[f"_accepted_{i}" for i in range(len(policies))], "_first_hit"]))
+    def flags(packed: pa.Array, state: pa.Array) -> pa.Array:
+        marks = {f"_accepted_{i}": [] for i in range(len(policies))} | {"_first_hit": []}
+        for b, carried in zip(each_bucket(packed), state.to_pylist()):
+            for i, p in enumerate(policies):
+                chosen = np.arange(len(b.rows))
+                if not p.passthrough:
+                    blocked = carried[f"end_in_{i}"] or 0
+                    entry = carried[f"entry_{i}"]
+                    end = np.maximum(_ends(p, b.ts, b.mid, carried["mid_in"]), blocked)
+                    open_ = np.flatnonzero(b.ts >= end)
+                    threshold = spacing.entry_threshold(
+                        spacing.NEVER if entry is None else entry, p.base_ns, blocked
+                    )
+                    chosen = open_[spacing.accepted_rows(b.ts[open_], p.base_ns, threshold)]
+                marks[f"_accepted_{i}"].append(b.mark(chosen))
+            before = spacing.NEVER if carried["hit_in"] is None else carried["hit_in"]
+            seen = np.maximum.accumulate(np.concatenate(([before], b.hit)))[:-1]
+            marks["_first_hit"].append(b.mark(b.hit > seen))
+        return flag_arrays(packed, marks)
+
+    return unpack(packed, list(layout.keys), flags(quotes(), F.struct(*names)), columns)
 
 
 def explode_policies(rows: DataFrame, policies: list[Policy]) -> DataFrame:
@@ -351,4 +326,4 @@ def debounce(gated: DataFrame, policies: list[Policy], bits: int | str | None =
     layout = Layout(bits=resolve_bits(gated, bits))
     rows = gated.withColumns({"mid": q.mid_price(), "_hit": F.lit(None).cast("bigint")})
     rows = decide(layout.start(rows), policies, layout)
-    return explode_policies(rows.drop("_first_hit", BUCKET), policies)
+    return explode_policies(rows.drop("_first_hit"), policies)

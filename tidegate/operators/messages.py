@@ -19,7 +19,7 @@ def sequence_continuity(
     bits: int | str | None = AUTO,
 ) -> DataFrame:
     """Add the expected sequence and flags for wrong sequences and impossible times."""
-    layout = Layout(tuple(keys), (order,), resolve_bits(messages, bits, order))
+    layout = Layout(tuple(keys), (order,), resolve_bits(messages, bits, order, tuple(keys)))
     one = {"expected_sequence": Running("sum", F.lit(1).cast("bigint"))}
     rows = running(layout.assign(messages), layout, one).drop(BUCKET)
     sent, received = F.col("sent_ns"), F.col("received_ns")

@@ -47,7 +47,7 @@ def _signals(
         rows = rows.select(*dict.fromkeys([*layout.cells, *needed, *keep]))
     rows = decide(rows.drop("_rank"), policies, layout)
     event = F.when(F.col("_first_hit"), F.col("_event"))
-    return rows.withColumn("risk_event", event).drop("_first_hit", "_event", BUCKET)
+    return rows.withColumn("risk_event", event).drop("_first_hit", "_event")
 
 
 def evaluate(

@@ -18,6 +18,7 @@ planning the earlier scans again.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from tidegate.session import cut, cut_arranged
 
 BUCKET = "_bucket"
+SINGLE_BITS = 20  # up to this extent one bucket per key is used
+CELL_BITS = 14  # intended rows of the busiest key in one bucket
+MAX_BITS = 20  # hard bound on the rows of any bucket
 DEFAULT_BITS = 16
-SINGLE_BITS = 18  # up to this extent one bucket per key is used
 AUTO = "auto"
 
 
@@ -86,18 +89,26 @@ class Layout:
         return cut_arranged(rows.sortWithinPartitions(*self.cells, *self.order))
 
 
-def choose_bits(df: DataFrame, order: str = "arrival", bits: int = DEFAULT_BITS) -> int | None:
-    """Check the extent of the order column: None if one small bucket holds all of it.
+def choose_bits(df: DataFrame, keys: list[str], order: str) -> int | None:
+    """Bucket size from a look at the table; None if one small bucket holds all of it.
 
-    Such a table needs no carried values; its windows hold at most 2**SINGLE_BITS rows.
+    Buckets are wide enough that carried values stay few against the rows, and narrow
+    enough that the busiest key has about 2**CELL_BITS rows in one.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    single = low is None or low >> SINGLE_BITS == high >> SINGLE_BITS
-    return None if single else bits
+    per_key = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")
+    )
+    low, high, busiest = per_key.agg(F.min("low"), F.max("high"), F.max("n")).first()
+    if low is None or low >> SINGLE_BITS == high >> SINGLE_BITS:
+        return None
+    positions_per_row = (high - low + 1) / busiest
+    return max(CELL_BITS, min(MAX_BITS, round(CELL_BITS + math.log2(positions_per_row))))
 
 
-def resolve_bits(df: DataFrame, bits: int | str | None, order: str = "arrival") -> int | None:
-    return choose_bits(df, order) if bits == AUTO else bits
+def resolve_bits(
+    df: DataFrame, bits: int | str | None, order: str = "arrival", keys: tuple[str, ...] = ("symbol",)
+) -> int | None:
+    return choose_bits(df, list(keys), order) if bits == AUTO else bits
 
 
 @dataclass(frozen=True)
