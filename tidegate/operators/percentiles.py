@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIFTS = (40, 20, 0)
 
@@ -39,7 +40,7 @@ def select_ranks(
         .agg(F.count("*").alias("_n"))
     )
 
-    def cells(shift: int, *outer: str) -> DataFrame:
+    def cells(shift: int) -> DataFrame:
         return counts.groupBy(*keys, F.shiftright("_v", shift).alias("_cell")).agg(
             F.sum("_n").alias("_n")
         )
@@ -108,7 +109,7 @@ def spread(selected: DataFrame, keys: list[str], value: str, names: list[str]) -
     )
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def double_to_ordered(x: pd.Series) -> pd.Series:
     """Integer with the same order as the double; -0.0 counts as 0.0."""
     bits = (x.to_numpy(dtype="float64") + 0.0).view("int64")
@@ -116,7 +117,7 @@ def double_to_ordered(x: pd.Series) -> pd.Series:
     return pd.Series(ordered).where(x.notna().to_numpy(), None).astype("Int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ordered_to_double(x: pd.Series) -> pd.Series:
     bits = x.to_numpy(dtype="int64")
     return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view("float64"))
