@@ -24,7 +24,7 @@ from tidegate.operators.buckets import (
     unpack,
 )
 from tidegate.operators.debounce import GROUP_BITS, with_previous_mid
-from tidegate.operators.scan import AUTO, BUCKET, Layout, join_carried, resolve_bits
+from tidegate.operators.scan import AUTO, BUCKET, Layout, join_carried, plan_layout
 from tidegate.schema import ACCEPTED, DEBOUNCED
 from tidegate.session import cut
 
@@ -114,7 +114,7 @@ def debounce_by_scan(
     gated: DataFrame, policy: ScanPolicy, bits: int | str | None = AUTO
 ) -> DataFrame:
     """Policy given as an object; a symbol of any size is cut into buckets."""
-    layout = Layout(bits=resolve_bits(gated, bits))
+    layout = plan_layout(gated, bits)
     packed = pack(layout.assign(gated.withColumn("mid", q.mid_price())), layout)
     if layout.bits is None:
         packed = packed.withColumn("_before", F.lit(None).cast("array<double>"))

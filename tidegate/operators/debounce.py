@@ -28,7 +28,7 @@ from tidegate.operators.scan import (
     Layout,
     Running,
     join_carried,
-    resolve_bits,
+    plan_layout,
     running,
 )
 from tidegate.schema import ACCEPTED, DEBOUNCED, Policy, check_policies
@@ -39,7 +39,7 @@ GROUP_BITS = 8  # buckets per group when step functions are composed
 
 def with_previous_mid(gated: DataFrame, bits: int | str | None = AUTO) -> DataFrame:
     """Add the mid of the previous passing quote and the move against it."""
-    layout = Layout(bits=resolve_bits(gated, bits))
+    layout = plan_layout(gated, bits)
     rows = _previous_mid(layout.assign(gated.withColumn("mid", q.mid_price())), layout)
     return rows.withColumn("move_bps", q.move_bps(F.col("mid"), F.col("previous_mid"))).drop(BUCKET)
 
@@ -63,7 +63,7 @@ def stress_block(
     moves, the current quote's own included.
     """
     check_policies(policies)
-    layout = Layout(bits=resolve_bits(gated, bits))
+    layout = plan_layout(gated, bits)
     rows = _previous_mid(layout.start(gated.withColumn("mid", q.mid_price())), layout)
     active = [(i, p) for i, p in enumerate(policies) if not p.passthrough]
     ts = F.col("timestamp_ns")
@@ -323,7 +323,7 @@ def explode_policies(rows: DataFrame, policies: list[Policy]) -> DataFrame:
 def debounce(gated: DataFrame, policies: list[Policy], bits: int | str | None = AUTO) -> DataFrame:
     """Apply every policy to the same gated quotes; one row per (quote, policy)."""
     check_policies(policies)
-    layout = Layout(bits=resolve_bits(gated, bits))
+    layout = plan_layout(gated, bits)
     rows = gated.withColumns({"mid": q.mid_price(), "_hit": F.lit(None).cast("bigint")})
     rows = decide(layout.start(rows), policies, layout)
     return explode_policies(rows.drop("_first_hit"), policies)

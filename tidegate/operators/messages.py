@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import quotes as q
 from tidegate.operators.percentiles import lower_rank_percentiles
-from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, resolve_bits, running
+from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, plan_layout, running
 
 _PROBABILITIES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -19,7 +19,7 @@ def sequence_continuity(
     bits: int | str | None = AUTO,
 ) -> DataFrame:
     """Add the expected sequence and flags for wrong sequences and impossible times."""
-    layout = Layout(tuple(keys), (order,), resolve_bits(messages, bits, order, tuple(keys)))
+    layout = plan_layout(messages, bits, (order,), tuple(keys))
     one = {"expected_sequence": Running("sum", F.lit(1).cast("bigint"))}
     rows = running(layout.assign(messages), layout, one).drop(BUCKET)
     sent, received = F.col("sent_ns"), F.col("received_ns")
@@ -34,17 +34,29 @@ def sequence_continuity(
 
 
 def payload_check(requests: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
-    """Match every request with its reply: ok, mismatch, missing_reply or unexpected_reply."""
-    sent = requests.select(*keys, "payload").withColumn("_sent", F.lit(True))
-    back = replies.select(*keys, "reply").withColumn("_back", F.lit(True))
+    """Per message key: requests, replies and status ok, mismatch, missing_reply or
+    unexpected_reply.
+
+    Equal texts are counted on both sides instead of joined, so a key that was sent many
+    times costs no pairs.
+    """
+    sent = requests.select(*keys, F.col("payload").alias("_text"), F.lit(1).alias("_sent"))
+    back = replies.select(*keys, F.col("reply").alias("_text"), F.lit(0).alias("_sent"))
+    texts = sent.unionByName(back).groupBy(*keys, "_text").agg(
+        F.sum("_sent").alias("sent"), (F.count("*") - F.sum("_sent")).alias("replies")
+    )
+    totals = texts.groupBy(*keys).agg(
+        F.sum("sent").alias("sent"),
+        F.sum("replies").alias("replies"),
+        F.every(F.col("sent") == F.col("replies")).alias("_same"),
+    )
     status = (
-        F.when(F.col("_back").isNull(), "missing_reply")
-        .when(F.col("_sent").isNull(), "unexpected_reply")
-        .when(F.col("payload").eqNullSafe(F.col("reply")), "ok")
+        F.when(F.col("_same"), "ok")
+        .when(F.col("replies") == 0, "missing_reply")
+        .when(F.col("sent") == 0, "unexpected_reply")
         .otherwise("mismatch")
     )
-    both = sent.join(back, keys, "full_outer")
-    return both.select(*keys, "payload", "reply", status.alias("status"))
+    return totals.select(*keys, "sent", "replies", status.alias("status"))
 
 
 def message_report(

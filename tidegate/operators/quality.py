@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import quotes as q
-from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, resolve_bits, running
+from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, plan_layout, running
 from tidegate.schema import (
     DUPLICATE,
     FUTURE,
@@ -30,6 +30,19 @@ def validate_quotes(ticks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, marked.where(F.col("invalid_reason").isNotNull())
 
 
+def validate_policies(policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split a table of rate limits (base_ns, max_ns, stress_bps) like `Policy` checks one."""
+    stress = F.col("stress_bps")
+    reason = (
+        F.when(F.coalesce(F.col("base_ns") < 0, F.lit(True)), "negative_base")
+        .when(F.coalesce(F.col("max_ns") < F.col("base_ns"), F.lit(True)), "max_below_base")
+        .when(~q.is_finite(stress) | (stress <= 0), "bad_stress")
+    )
+    marked = policies.withColumn("invalid_reason", reason)
+    valid = marked.where(F.col("invalid_reason").isNull()).drop("invalid_reason")
+    return valid, marked.where(F.col("invalid_reason").isNotNull())
+
+
 def invalid_counts(ticks: DataFrame) -> DataFrame:
     return (
         ticks.groupBy(F.coalesce(q.invalid_reason(), F.lit("valid")).alias("invalid_reason"))
@@ -97,7 +110,7 @@ def quality_gate(
 ) -> DataFrame:
     """Add `gate_reason` to valid quotes: duplicate, late, stale, future or pass."""
     check_bounds(max_age_ns, max_skew_ns)
-    layout = Layout(bits=resolve_bits(ticks, bits))
+    layout = plan_layout(ticks, bits)
     rows = running(layout.start(ticks), layout, sequence_scan())
     return mark_gate(rows, layout, max_age_ns, max_skew_ns).drop(BUCKET)
 
@@ -108,7 +121,7 @@ def monotonic_guard(
     """Flag (or fail on) quotes older than an earlier quote of the symbol."""
     if on_error not in ("flag", "fail"):
         raise ValueError("on_error must be 'flag' or 'fail'")
-    layout = Layout(bits=resolve_bits(ticks, bits))
+    layout = plan_layout(ticks, bits)
     rows = running(
         layout.assign(ticks), layout, {"_latest": Running("max", F.col("timestamp_ns"))}
     )

@@ -30,6 +30,7 @@ BUCKET = "_bucket"
 SINGLE_BITS = 20  # up to this extent one bucket per key is used
 CELL_BITS = 14  # intended rows of the busiest key in one bucket
 MAX_BITS = 20  # hard bound on the rows of any bucket
+PARTITION_ROWS = 4_000_000  # intended rows of one shuffle partition
 DEFAULT_BITS = 16
 AUTO = "auto"
 
@@ -39,12 +40,13 @@ class Layout:
     """Where scans run: key columns, order columns and bucket size.
 
     `bits=None` means one bucket per key and is only right if all positions of the
-    table are known to fit into one bucket; see `choose_bits`.
+    table are known to fit into one bucket; see `plan_layout`.
     """
 
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("arrival",)
     bits: int | None = DEFAULT_BITS
+    parts: int = 0  # least number of shuffle partitions
 
     @property
     def cells(self) -> list[str]:
@@ -85,30 +87,37 @@ class Layout:
         if self.bits is None:
             return rows
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(parts, *self.cells)
+        rows = rows.repartition(max(parts, self.parts), *self.cells)
         return cut_arranged(rows.sortWithinPartitions(*self.cells, *self.order))
 
 
-def choose_bits(df: DataFrame, keys: list[str], order: str) -> int | None:
-    """Bucket size from a look at the table; None if one small bucket holds all of it.
+def plan_layout(
+    df: DataFrame,
+    bits: int | str | None = AUTO,
+    order: tuple[str, ...] = ("arrival",),
+    keys: tuple[str, ...] = ("symbol",),
+) -> Layout:
+    """Layout with the given bucket size, or one chosen from a look at the table.
 
-    Buckets are wide enough that carried values stay few against the rows, and narrow
+    One small bucket is used if it holds the whole extent of the order column.  Otherwise
+    buckets are wide enough that carried values stay few against the rows, and narrow
     enough that the busiest key has about 2**CELL_BITS rows in one.
     """
+    if bits != AUTO:
+        return Layout(keys, order, bits)
+    place = order[0]
     per_key = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")
+        F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")
     )
-    low, high, busiest = per_key.agg(F.min("low"), F.max("high"), F.max("n")).first()
+    low, high, busiest, total = per_key.agg(
+        F.min("low"), F.max("high"), F.max("n"), F.sum("n")
+    ).first()
     if low is None or low >> SINGLE_BITS == high >> SINGLE_BITS:
-        return None
-    positions_per_row = (high - low + 1) / busiest
-    return max(CELL_BITS, min(MAX_BITS, round(CELL_BITS + math.log2(positions_per_row))))
-
-
-def resolve_bits(
-    df: DataFrame, bits: int | str | None, order: str = "arrival", keys: tuple[str, ...] = ("symbol",)
-) -> int | None:
-    return choose_bits(df, list(keys), order) if bits == AUTO else bits
+        return Layout(keys, order, None)
+    wide = CELL_BITS + round(math.log2((high - low + 1) / busiest))
+    return Layout(
+        keys, order, max(CELL_BITS, min(MAX_BITS, wide)), math.ceil(total / PARTITION_ROWS)
+    )
 
 
 @dataclass(frozen=True)

@@ -461,6 +461,29 @@ def stream_process(spark, sf):
 
 
 
+@query("csv_json_agree", """
+    SELECT 'csv_agrees_with_json' AS "check", pos || '.' || c AS subject, TRUE AS passed
+    FROM (SELECT unnest([0, 1, 2]) AS pos) CROSS JOIN
+         (SELECT unnest(['policy', 'input_events', 'accepted_signals']) AS c)
+    WHERE (SELECT count(*) FROM ticks) > 0""")
+def csv_json_agree(spark, sf):
+    """Policy report written as CSV and as nested JSON, read back and compared by row."""
+    report = _report(spark, sf)
+    nested = reports.nest(report, "policies", ["policy"])
+    document = reports.summary_document({"kind": F.lit("policy report")}, {"policies": nested})
+    json_path, csv_path = new_path(spark, "json"), new_path(spark, "csv")
+    reports.write_report(document, json_path, "json")
+    back = reports.inline_rows(
+        reports.read_json_report(spark, json_path, document.schema)[0], "policies"
+    )
+    columns = ["position", "policy", "input_events", "accepted_signals"]
+    reports.write_report(back, csv_path, "csv", columns)
+    flat = reports.read_csv_report(spark, csv_path, back.select(columns).schema)
+    return checks.same_report_check(flat, back, "position", columns[1:]).select(
+        "check", "subject", "passed"
+    )
+
+
 @query("raw_pipeline")
 def raw_pipeline(spark, sf):
     """No SQL: its own spacing walk; tests compare it with a plain loop."""
@@ -686,7 +709,8 @@ _REPLIES = "(SELECT * FROM messages WHERE arrival % 11 <> 0 UNION ALL SELECT cha
 
 @query(
     "payload_check",
-    f"""SELECT channel, arrival, m.payload, r.reply,
+    f"""SELECT channel, arrival, (m.channel IS NOT NULL)::INT AS sent,
+               (r.channel IS NOT NULL)::INT AS replies,
                CASE WHEN r.channel IS NULL THEN 'missing_reply'
                     WHEN m.channel IS NULL THEN 'unexpected_reply'
                     WHEN m.payload IS NOT DISTINCT FROM r.reply THEN 'ok' ELSE 'mismatch' END AS status
@@ -1056,6 +1080,41 @@ def message_checks(spark, sf):
     return checks.message_checks(message_report(spark, sf), F.col("channel"))
 
 
+@query("pipeline_checks")
+def pipeline_checks(spark, sf):
+    """No SQL: conditions over `raw_pipeline`."""
+    report = raw_pipeline(spark, sf).withColumn("run", F.lit("raw"))
+    return checks.pipeline_checks(report, "run").select("check", "subject", "passed")
+
+
+@query(
+    "ratio_check",
+    """SELECT 'ratio_recomputes' AS "check", symbol AS subject, TRUE AS passed FROM ticks GROUP BY symbol""",
+)
+def ratio_check(spark, sf):
+    found = checks.ratio_check(throughput_ratio(spark, sf), F.col("symbol"), "ratio")
+    return found.select("check", "subject", "passed")
+
+
+@query(
+    "policy_validate",
+    """SELECT o_orderkey::VARCHAR AS policy,
+              CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 THEN 'max_below_base'
+                   WHEN o_orderkey % 3 = 2 THEN 'bad_stress' END AS invalid_reason
+       FROM orders WHERE (o_orderkey % 3 = 1 AND o_orderkey % 2 = 0) OR o_orderkey % 3 = 2""",
+)
+def policy_validate(spark, sf):
+    """Rate limits read from a table: a third has no usable stress threshold."""
+    key = F.col("o_orderkey")
+    settings = ev.table(spark, sf, "orders").select(
+        key.cast("string").alias("policy"),
+        F.lit(10).cast("bigint").alias("base_ns"),
+        F.when((key % 3 == 1) & (key % 2 == 0), 9).otherwise(20).cast("bigint").alias("max_ns"),
+        F.when(key % 3 == 2, F.lit(float("nan"))).otherwise(F.lit(5.0)).alias("stress_bps"),
+    )
+    return quality.validate_policies(settings)[1].select("policy", "invalid_reason")
+
+
 @query(
     "sweep_checks",
     f"""SELECT 'settings_covered' AS "check", segment AS subject, count(*) = 4 AS passed FROM {_SWEEP} GROUP BY segment

@@ -74,6 +74,18 @@ def raw_pipeline(
     invalid = ticks.agg(
         F.count("*").alias("ticks"), F.count_if(~lenient_valid()).alias("invalid_ticks")
     )
+    # Timings leave out the warm-up and sample the rest at a fixed stride.
+    n = F.col("ticks")
+    warmup = F.least(F.expr("ticks div 10"), F.lit(10_000))
+    stride = F.greatest(F.expr("ticks div 20000"), F.lit(1))
+    sampled = lambda upto: F.floor((upto + stride - 1) / stride).cast("bigint")
+    invalid = invalid.withColumns(
+        {
+            "warmup_ticks": warmup,
+            "measured_ticks": n - warmup,
+            "latency_sample_count": sampled(n) - sampled(warmup),
+        }
+    )
     # Both sides are the single row of a global aggregate.
     return invalid.join(signals)
 
