@@ -484,9 +484,27 @@ def csv_json_agree(spark, sf):
     )
 
 
-@query("raw_pipeline")
+_RAW = """SELECT ticks, invalid_ticks, least(ticks // 10, 10000) AS warmup_ticks,
+                 ticks - least(ticks // 10, 10000) AS measured_ticks,
+                 (SELECT count(*) FROM clean
+                  WHERE sequence >= least(ticks // 10, 10000)
+                    AND sequence % greatest(ticks // 20000, 1) = 0) AS latency_sample_count,
+                 signals_accepted, usable - signals_accepted AS signals_debounced,
+                 stop_triggers, stop_limit_marketable_at_gap
+          FROM (SELECT (SELECT count(*) FROM clean) AS ticks,
+                       (SELECT count(*) FROM raw_gated) AS usable,
+                       (SELECT count(*) FROM clean) - (SELECT count(*) FROM raw_gated) AS invalid_ticks,
+                       (SELECT count(*) FROM raw_chain WHERE policy = 'dynamic') AS signals_accepted,
+                       (SELECT count(*) FROM raw_hits WHERE nth = 1 AND kind = 'stop_triggered')
+                           AS stop_triggers,
+                       coalesce((SELECT bool_or(CASE WHEN side = 'long' THEN mid >= limit_price
+                                                     ELSE mid <= limit_price END)
+                                 FROM raw_hits WHERE nth = 1 AND kind = 'stop_triggered'), FALSE)
+                           AS stop_limit_marketable_at_gap)"""
+
+
+@query("raw_pipeline", _RAW)
 def raw_pipeline(spark, sf):
-    """No SQL: its own spacing walk; tests compare it with a plain loop."""
     stream = ev.clean_ticks(spark, sf).withColumn("arrival", F.col("sequence"))
     return experiment.raw_pipeline(stream, ev.events_orders(spark), DYNAMIC, SMALL_BUCKETS)
 
@@ -1074,15 +1092,39 @@ def grid_checks(spark, sf):
     return found.select("check", "subject", "passed")
 
 
-@query("message_checks")
+@query(
+    "message_checks",
+    f"""SELECT unnest(['samples_match', 'payload_passed', 'no_bad_sequences', 'no_invalid_timestamps',
+                       'quantiles_ordered', 'rate_positive', 'target_flag_agrees']) AS "check",
+               channel::VARCHAR AS subject,
+               unnest([measured >= 1 AND timed = measured, bad = 0 AND replies = 0, bad = 0, impossible = 0,
+                       least_one_way >= 0, last > first, TRUE]) AS passed
+        FROM (SELECT channel, count(*) FILTER (idx >= {_WARMUP}) AS measured,
+                     count(*) FILTER (idx >= {_WARMUP} AND ok) AS timed,
+                     count(*) FILTER (sequence <> idx) AS bad, count(*) FILTER (NOT ok) AS impossible,
+                     count(*) FILTER (payload IS DISTINCT FROM reply) AS replies,
+                     min(received_ns - sent_ns) FILTER (idx >= {_WARMUP} AND ok) AS least_one_way,
+                     min(received_ns) FILTER (idx >= {_WARMUP} AND ok) AS first,
+                     max(received_ns) FILTER (idx >= {_WARMUP} AND ok) AS last
+              FROM (SELECT *, sent_ns > 0 AND received_ns >= sent_ns AS ok,
+                           row_number() OVER (PARTITION BY channel ORDER BY arrival) - 1 AS idx
+                    FROM messages)
+              GROUP BY channel)""",
+)
 def message_checks(spark, sf):
-    """No SQL: every condition is a column of `message_report`, which has one."""
-    return checks.message_checks(message_report(spark, sf), F.col("channel"))
+    found = checks.message_checks(message_report(spark, sf), F.col("channel"))
+    return found.select("check", "subject", "passed")
 
 
-@query("pipeline_checks")
+@query(
+    "pipeline_checks",
+    f"""SELECT unnest(['measured_count', 'warmup_rule', 'has_samples', 'no_invalid', 'signals_cover_ticks'])
+                   AS "check", 'raw' AS subject,
+               unnest([measured_ticks = ticks - warmup_ticks, ticks >= 1, latency_sample_count >= 1,
+                       invalid_ticks = 0, signals_accepted + signals_debounced = ticks]) AS passed
+        FROM ({_RAW})""",
+)
 def pipeline_checks(spark, sf):
-    """No SQL: conditions over `raw_pipeline`."""
     report = raw_pipeline(spark, sf).withColumn("run", F.lit("raw"))
     return checks.pipeline_checks(report, "run").select("check", "subject", "passed")
 

@@ -195,7 +195,16 @@ BLOCKS: dict[str, str] = {
         FROM events""",
 }
 
-# Which blocks each block reads, in the order they must be defined.
+# The same walk over the clean stream without the gate, for the raw pipeline.
+_WALK = ["gated", "moved", "cooled", "blocking", "unblocked", "firsts", "nexts", "chain", "hits"]
+BLOCKS["raw_gated"] = """
+    SELECT sequence AS arrival, symbol, sequence, timestamp_ns, bid, ask,
+           (bid + ask) / 2.0::DOUBLE AS mid, 'pass' AS gate_reason
+    FROM clean WHERE bid > 0 AND ask >= bid"""
+for _name in _WALK[1:]:
+    BLOCKS[f"raw_{_name}"] = re.sub(rf"\b({'|'.join(_WALK)})\b", r"raw_\1", BLOCKS[_name])
+
+# The order in which blocks must be defined.
 _ORDER = list(BLOCKS)
 
 
@@ -215,13 +224,13 @@ def sql(select: str) -> str:
     parts = []
     for name in _ORDER:
         if name in wanted:
-            columns = "(policy, symbol, rn)" if name == "chain" else ""
+            columns = "(policy, symbol, rn)" if name.endswith("chain") else ""
             # The walk joins this one once per step.
-            stored = "MATERIALIZED " if name == "nexts" else ""
+            stored = "MATERIALIZED " if name.endswith("nexts") else ""
             parts.append(f"{name}{columns} AS {stored}({BLOCKS[name]})")
     return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select
 
 
-def percentile(column: str, p: float, by: str = "") -> str:
+def percentile(column: str, p: float) -> str:
     """floor((n - 1) * p) rank of a column as an aggregate."""
     return f"list_sort(list({column}))[(trunc((count({column}) - 1) * {p}::DOUBLE))::BIGINT + 1]"

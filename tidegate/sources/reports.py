@@ -54,18 +54,20 @@ def read_csv_report(spark: SparkSession, path: str, schema: T.StructType | str)
 def read_json_report(
     spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, unreadable): text that is not one JSON object is set aside."""
+    """(documents, unreadable): text that is not one JSON object is set aside as `value`.
+
+    A file is one document, or one document per line without `multi_line`.
+    """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    rows = (
-        spark.read.schema(full)
-        .option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .json(path)
-    )
-    good = rows.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    return good, rows.where(F.col(_CORRUPT).isNotNull()).select(_CORRUPT)
+    text = spark.read.option("wholetext", multi_line).text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    rows = text.withColumn("_doc", F.from_json("value", full, options))
+    is_object = F.json_object_keys("value").isNotNull()
+    readable = F.coalesce(is_object & F.col(f"_doc.{_CORRUPT}").isNull(), F.lit(False))
+    good = rows.where(readable).select("_doc.*").drop(_CORRUPT)
+    return good, rows.where(~readable).select("value")
 
 
 def inline_rows(document: DataFrame, name: str) -> DataFrame:
