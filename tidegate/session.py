@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,16 +38,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def planned_with(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings for the one plan made inside, restored afterwards."""
+    names = {k: "spark.sql." + k.replace("__", ".") for k in settings}
+    before = {k: spark.conf.get(n) for k, n in names.items()}
+    try:
+        for k, value in settings.items():
+            spark.conf.set(names[k], value)
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.set(names[k], value)
+
+
 def cut_arranged(df: DataFrame) -> DataFrame:
     """Checkpoint that still knows how its rows are partitioned and sorted.
 
     An adaptive plan does not report its partitioning, so this one step, which shuffles
-    by an explicit partition count anyway, is planned without it.
+    by an explicit partition count anyway, is planned without it.  Aggregations in it get
+    their groups in order and keep one group at a time instead of a hash map of many.
     """
-    spark = df.sparkSession
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
+    settings = {"adaptive__enabled": "false", "execution__useObjectHashAggregateExec": "false"}
+    with planned_with(df.sparkSession, **settings):
         return cut(df)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
