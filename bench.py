@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators.metrics import EventWindow
 from tidegate.plans import catalog, experiment
-from tidegate.session import new_path
+from tidegate.session import RECOMMENDED, new_path
 from tidegate.sources import replay
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -37,15 +37,16 @@ HEADLINE = [
 
 
 def session() -> SparkSession:
-    spark = (
-        SparkSession.builder.master(f"local[{CPUS}]")
-        .appName("tidegate-bench")
-        .config("spark.sql.shuffle.partitions", CPUS)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false")
-        .getOrCreate()
-    )
+    builder = SparkSession.builder.master(f"local[{CPUS}]").appName("tidegate-bench")
+    settings = {
+        **RECOMMENDED,
+        "spark.sql.shuffle.partitions": CPUS,
+        "spark.driver.memory": "16g",
+        "spark.ui.enabled": "false",
+    }
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

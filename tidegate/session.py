@@ -10,6 +10,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Session settings that suit the operators: small checkpoints that go when unused, and
+# no call-site capture for each column expression while plans are built.
+RECOMMENDED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.checkpoint.compress": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by the cluster in spark.checkpoint.dir.
 
