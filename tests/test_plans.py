@@ -1,12 +1,11 @@
 """Published counts of the replay streams, and the plans behind them."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidegate.operators.metrics import EventWindow, policy_metrics
 from tidegate.operators.process import evaluate
 from tidegate.operators.quality import mark_gate, sequence_scan
-from tidegate.operators.scan import Layout, plan_layout, running
+from tidegate.operators.scan import Layout, bucket_bits, plan_layout, running
 from tidegate.plans import catalog, experiment
 from tidegate.schema import REPLAY_POLICIES
 from tidegate.sources import replay
@@ -82,12 +81,14 @@ def test_one_shuffle_when_the_table_fits_one_bucket(spark):
 
 def test_layout_follows_the_table(spark):
     small = replay_stream(spark, 20_000)
-    assert plan_layout(small).bits is None
-    wide = small.withColumn("arrival", F.col("arrival") * 1000)
-    assert plan_layout(wide).bits == 20
-    spread = small.withColumn("arrival", F.col("arrival") + (F.col("arrival") % 2) * 4_000_000)
-    assert 14 <= plan_layout(spread).bits <= 20
-    assert plan_layout(small, 7).bits == 7
+    assert plan_layout(small).bits is None and plan_layout(small, 7).bits == 7
+    million = 10**6
+    assert bucket_bits(million, million, million) is None
+    # One symbol only; a third in one symbol; ten thousand even symbols; sparse numbering.
+    assert bucket_bits(10 * million, 10 * million, 10 * million) == 14
+    assert bucket_bits(9 * million, 3 * million, 9 * million) == 16
+    assert bucket_bits(10**12, 10**8, 10**12) == 20
+    assert bucket_bits(10**9, 10**9, 10**12) == 24
 
 
 def test_scan_reads_only_needed_columns(spark):

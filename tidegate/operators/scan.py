@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from tidegate.session import cut, cut_arranged
 
 BUCKET = "_bucket"
-SINGLE_BITS = 20  # up to this extent one bucket per key is used
 CELL_BITS = 14  # intended rows of the busiest key in one bucket
-MAX_BITS = 20  # hard bound on the rows of any bucket
+MAX_BITS = 20  # bound on the rows of a bucket, and of a table taken as one bucket
+DEFAULT_BITS = 16
 PARTITION_ROWS = 4_000_000  # intended rows of one shuffle partition
 DEFAULT_BITS = 16
 AUTO = "auto"
@@ -91,18 +91,27 @@ class Layout:
         return cut_arranged(rows.sortWithinPartitions(*self.cells, *self.order))
 
 
+def bucket_bits(rows: int, busiest: int, extent: int) -> int | None:
+    """Bucket size for a table of `rows`, `busiest` of them with one key, whose order
+    column spans `extent` positions; None if one bucket per key will do.
+
+    Buckets are wide enough that carried values stay few against the rows, and narrow
+    enough that the busiest key has about 2**CELL_BITS rows in one.  All keys together
+    have at most 2**MAX_BITS rows in a bucket of a densely numbered table.
+    """
+    if rows <= 2**MAX_BITS:
+        return None
+    cap = MAX_BITS + max(0, math.floor(math.log2(extent / rows)))
+    return max(CELL_BITS, min(cap, CELL_BITS + round(math.log2(extent / busiest))))
+
+
 def plan_layout(
     df: DataFrame,
     bits: int | str | None = AUTO,
     order: tuple[str, ...] = ("arrival",),
     keys: tuple[str, ...] = ("symbol",),
 ) -> Layout:
-    """Layout with the given bucket size, or one chosen from a look at the table.
-
-    One small bucket is used if it holds the whole extent of the order column.  Otherwise
-    buckets are wide enough that carried values stay few against the rows, and narrow
-    enough that the busiest key has about 2**CELL_BITS rows in one.
-    """
+    """Layout with the given bucket size, or one chosen from a look at the table."""
     if bits != AUTO:
         return Layout(keys, order, bits)
     place = order[0]
@@ -112,12 +121,10 @@ def plan_layout(
     low, high, busiest, total = per_key.agg(
         F.min("low"), F.max("high"), F.max("n"), F.sum("n")
     ).first()
-    if low is None or low >> SINGLE_BITS == high >> SINGLE_BITS:
+    if low is None:
         return Layout(keys, order, None)
-    wide = CELL_BITS + round(math.log2((high - low + 1) / busiest))
-    return Layout(
-        keys, order, max(CELL_BITS, min(MAX_BITS, wide)), math.ceil(total / PARTITION_ROWS)
-    )
+    parts = math.ceil(total / PARTITION_ROWS)
+    return Layout(keys, order, bucket_bits(total, busiest, high - low + 1), parts)
 
 
 @dataclass(frozen=True)

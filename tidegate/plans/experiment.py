@@ -22,6 +22,7 @@ from tidegate.schema import (
     Policy,
 )
 from tidegate.sources.replay import SYMBOL
+from tidegate.sources.reports import one_row
 from tidegate.sources.ticks import DEFAULT_BATCH, append_ticks, scan_ticks
 
 # Rate limit of the raw pipeline.
@@ -86,8 +87,7 @@ def raw_pipeline(
             "latency_sample_count": sampled(n) - sampled(warmup),
         }
     )
-    # Both sides are the single row of a global aggregate.
-    return invalid.join(signals)
+    return one_row(invalid, signals)
 
 
 def store_and_audit(

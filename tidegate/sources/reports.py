@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +25,16 @@ def nest(rows: DataFrame, name: str, order: list[str], limit: int = 10_000) -> D
     return rows.agg(F.transform(cells, lambda c: c["row"]).alias(name))
 
 
+def one_row(*aggregates: DataFrame) -> DataFrame:
+    """Several single-row results with different columns as one row."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aggregates)
+    return rows.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in rows.columns])
+
+
 def summary_document(scalars: dict[str, Column], tables: dict[str, DataFrame]) -> DataFrame:
     """One row: scalar fields plus one array field per nested table (see `nest`)."""
-    names = list(tables)
-    document = tables[names[0]]
-    for name in names[1:]:
-        # Each side is the single row of an aggregate.
-        document = document.join(tables[name])
-    return document.select(*[c.alias(n) for n, c in scalars.items()], *names)
+    document = one_row(*tables.values())
+    return document.select(*[c.alias(n) for n, c in scalars.items()], *tables)
 
 
 def write_report(df: DataFrame, path: str, fmt: str, columns: list[str] | None = None,
