@@ -94,13 +94,19 @@ def message_report(
         F.count_if("invalid_timestamp").alias("invalid_timestamps"),
         F.count_if(~F.col("payload").eqNullSafe(F.col("reply"))).alias("bad_payloads"),
     )
-    out = totals
-    for name, column in (("one_way", "_one_way"), ("round_trip", "_round_trip")):
-        ranks = lower_rank_percentiles(rows, keys, column, _PROBABILITIES)
-        in_us = [(F.col(p) / F.lit(1000.0)).alias(f"{p}_{name}_us") for p in _PROBABILITIES]
-        out = out.join(ranks.select(*keys, *in_us), keys, "left")
-    wide = [f"{p}_{name}_us" for name in ("one_way", "round_trip") for p in _PROBABILITIES]
-    out = out.fillna(0.0, wide)
+    # Both latencies go through one rank selection, so the log is read and numbered once.
+    values = {"one_way": F.col("_one_way"), "round_trip": F.col("_round_trip")}
+    pairs = [F.struct(F.lit(m).alias("_metric"), v.alias("_ns")) for m, v in values.items()]
+    ranks = lower_rank_percentiles(
+        rows.select(*keys, F.inline(F.array(*pairs))), [*keys, "_metric"], "_ns", _PROBABILITIES
+    )
+    wide = {
+        f"{p}_{m}_us": F.max(F.when(F.col("_metric") == m, F.col(p) / F.lit(1000.0)))
+        for m in values
+        for p in _PROBABILITIES
+    }
+    ranks = ranks.groupBy(*keys).agg(*[c.alias(n) for n, c in wide.items()])
+    out = totals.join(ranks, keys, "left").fillna(0.0, list(wide))
     passed = (F.col("bad_payloads") == 0) & (F.col("bad_sequences") == 0)
     return out.withColumns(
         {
