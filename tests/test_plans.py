@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidegate.functions.quotes import sample_stride, warmup_rows
 from tidegate.operators.metrics import EventWindow, policy_metrics
 from tidegate.operators.process import evaluate
 from tidegate.operators.quality import mark_gate, sequence_scan
@@ -56,6 +57,19 @@ def test_replay_is_repeatable_and_rejects_nothing(spark):
     assert EventWindow.after_switch(100) == EventWindow(55, 45)
 
 
+def test_sampled_latency_after_warmup(spark):
+    n = 50_000
+    stride, warmup = sample_stride(n), warmup_rows(n)
+    assert (stride, warmup, sample_stride(10), warmup_rows(10**6)) == (2, 5_000, 1, 10_000)
+    stream = replay_stream(spark, n)
+    row = experiment.quote_latency(stream, ["symbol"], stride, warmup).first()
+    assert (row.p50_us, row.p95_us) == (1.0, 1.0)
+    late = experiment.quote_latency(stream.where("arrival % 997 = 0"), [], 1, warmup).first()
+    assert late.p50_us == 10_000.0
+    with pytest.raises(ValueError):
+        experiment.quote_latency(stream, [], 0)
+
+
 def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

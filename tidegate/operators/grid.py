@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions import quotes as q
-
 # Limit offsets and price gaps of the grid, in basis points.
 OFFSETS_BPS = [0.0, 5.0, 10.0]
 GAPS_BPS = [0.0, 1.0, 2.0, 5.0, 7.5, 10.0, 25.0, 50.0]
@@ -74,7 +72,3 @@ def grid_coverage(grid: DataFrame, keys: list[str]) -> DataFrame:
         F.countDistinct("offset_bps").alias("offsets"),
         F.countDistinct("gap_bps").alias("gaps"),
     )
-
-
-def recomputes(actual: str, expected: str, tolerance: float = 1e-6):
-    return q.within(F.col(actual), F.col(expected), tolerance)

@@ -111,11 +111,17 @@ def quote_latency(
     ticks: DataFrame,
     by: list[str],
     stride: int = 1,
+    warmup: int = 0,
     order: str = "arrival",
 ) -> DataFrame:
-    """Exact percentiles of receive time minus quote time, in microseconds."""
+    """Exact percentiles of receive time minus quote time, in microseconds.
+
+    Quotes before `warmup` are left out and every `stride`-th of the rest is taken; see
+    `warmup_rows` and `sample_stride` for the values the reports use.
+    """
     age = F.col("receive_ns") - F.col("timestamp_ns")
-    rows = ticks.where(q.sample_every(F.col(order), stride)).select(*by, age.alias("_age"))
+    place = F.col(order)
+    rows = ticks.where((place >= warmup) & q.sample_every(place, stride)).select(*by, age.alias("_age"))
     wide = lower_rank_percentiles(rows, by, "_age", {"p50": 0.50, "p95": 0.95, "p99": 0.99})
     return wide.select(
         *by, *[(F.col(p) / F.lit(1000.0)).alias(f"{p}_us") for p in ("p50", "p95", "p99")]
