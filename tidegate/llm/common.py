@@ -99,32 +99,17 @@ def arranged(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-class Forest:
-    """Disjoint sets over 0..n-1 whose roots are the smallest members."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-    def join_all(self, first: np.ndarray, second: np.ndarray) -> None:
-        for a, b in zip(first.tolist(), second.tolist()):
-            self.join(a, b)
-
-    def roots(self) -> list[int]:
-        return [self.root(x) for x in range(len(self.parent))]
+def merged(n: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Smallest reachable number for each of 0..n-1, given links between first and second."""
+    label = np.arange(n)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, first, label[second])
+        np.minimum.at(lower, second, label[first])
+        lower = lower[lower]
+        if np.array_equal(lower, label):
+            return label
+        label = lower
 
 
 # ------------------------------------------------------------------ connected components
@@ -138,11 +123,10 @@ def components(edges: DataFrame) -> DataFrame:
     round takes vertices in their own order, which ends stars at once; later ones in a
     fresh random order each, so that long chains shrink by a constant share per round.
     Each round is stored; nothing of it comes to the driver but whether edges are left.
-    Null and self edges link nothing; a vertex that has only such is its own component.
+    Null and self edges link nothing; vertices that have no other edges are left out.
     """
     spark = edges.sparkSession
     found = spark.createDataFrame([], "v bigint, root bigint")
-    alone = edges.where("a = b").select(F.col("a").alias("v")).distinct()
     rest = stored(
         edges.where("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -152,10 +136,10 @@ def components(edges: DataFrame) -> DataFrame:
     level = 0
     while not rest.isEmpty():
         ends = rest.select("a", "b").unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = (lambda c: F.struct(c)) if level == 0 else _shuffled(level)
+        order = _order(level)
         least = ends.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
         own = F.least(F.col("m"), order(F.col("a")))
-        step = stored(least.select(F.col("a").alias("v"), own.getField(_last(level)).alias("p")), "joined")
+        step = stored(least.select(F.col("a").alias("v"), own.getField("x").alias("p")), "joined")
         if level == 0:
             found = step.select("v", F.col("p").alias("root"))
         else:
@@ -170,14 +154,9 @@ def components(edges: DataFrame) -> DataFrame:
             "edges",
         )
         level += 1
-    known = found.select("v").withColumn("_known", F.lit(True))
-    lonely = alone.join(known, "v", "left").where("_known is null").select("v", F.col("v").alias("root"))
-    return found.unionByName(lonely)
-
-
-def _shuffled(level: int):
-    return lambda c: F.struct(F.xxhash64(c, F.lit(level)).alias("h"), c.alias("x"))
+    return found
 
 
-def _last(level: int) -> str:
-    return "col1" if level == 0 else "x"
+def _order(level: int):
+    """Vertices in their own order at first, in a fresh random one at every later level."""
+    return lambda c: F.struct((F.xxhash64(c, F.lit(level)) if level else F.lit(0)).alias("h"), c.alias("x"))

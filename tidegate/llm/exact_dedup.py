@@ -192,15 +192,29 @@ def _resolve(budget: int):
     return run
 
 
-def exact_groups(
-    documents: DataFrame, text: str = "text", doc_id: str = "doc_id", table_bytes: int = TABLE_BYTES
-) -> DataFrame:
+def exact_groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    clean = documents.select(
+    rows = documents.select(
         F.monotonically_increasing_id().alias("uid"),
         documents[doc_id].cast("bigint").alias("doc_id"),
-        normalised(documents[text]).alias("text"),
+        documents[text].alias("text"),
     )
+    return _grouped(rows, **settings).drop("uid")
+
+
+def without_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The rows of `documents` that stay, with all their columns."""
+    uid = fresh(documents, "uid")
+    kept = stored(documents.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    rows = kept.select(
+        F.col(uid).alias("uid"), kept[doc_id].cast("bigint").alias("doc_id"), kept[text].alias("text")
+    )
+    gone = stored(_grouped(rows, **settings).where("not kept").select(F.col("uid").alias(uid)), "gone")
+    return kept.join(gone, uid, "left_anti").select(*documents.columns)
+
+
+def _grouped(numbered: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    clean = numbered.withColumn("text", normalised(F.col("text")))
     hashed = clean.select("uid", "doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("hash"), "text")
     local = stored(hashed.mapInArrow(_combine(table_bytes), LOCAL), "runs", "kind")
 
@@ -208,7 +222,7 @@ def exact_groups(
     left = local.where("kind = 1").select(
         "head", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), "n", "hash", "text"
     )
-    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         size, records = left.agg(F.sum(F.length("text")), F.count("*")).first()
         if decided is not None and not records:
@@ -222,23 +236,10 @@ def exact_groups(
         level += 1
     rows = local.where("kind = 0").select("uid", "doc_id", "sha", "head")
     return rows.join(decided, "head").select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
-
-
-def without_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `documents` that stay, with all their columns.
-
-    A doc_id that occurs more than once is told apart by its text; repeated rows are one.
-    """
-    key, sha = fresh(documents, "key"), fresh(documents, "sha")
-    name = F.coalesce(F.col("keep_id").cast("string"), F.lit(""))
-    stays = exact_groups(documents, text, doc_id).where("kept")
-    stays = stays.select(name.alias(key), F.col("text_sha256").alias(sha))
-    marked = documents.withColumns(
-        {
-            key: F.coalesce(documents[doc_id].cast("bigint").cast("string"), F.lit("")),
-            sha: F.sha2(normalised(documents[text]), 256),
-        }
+        "uid",
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("uid") == F.col("keep_uid")).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
-    return marked.join(stays, [key, sha], "left_semi").dropDuplicates([key, sha]).select(*documents.columns)

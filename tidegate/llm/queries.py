@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.llm import exact_dedup, packing, token_files
+from tidegate.llm import exact_dedup, ngram_join, packing, token_files, toxicity
 from tidegate.llm.common import table
 from tidegate.session import new_path
 
@@ -21,11 +22,24 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces packed to sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, from labels outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    found = toxicity.scored(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+    held_out = (toxicity.fold(F.col("doc_id")) == 0).alias("held_out")
+    return found.select("doc_id", held_out, "score", "predicted", "offending")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -33,7 +47,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
