@@ -33,6 +33,7 @@ from tidegate.llm.tokenizer import ID_BYTES, encoder
 LENGTH = 1024
 QUADRATIC_AT = 512  # tokens at which the quadratic part equals the linear one
 GROUP_TOKENS = 2**21
+SLICE_ROWS = 64
 GROUP_BITS = 40  # sequences of one input split are numbered below 2**GROUP_BITS
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -132,6 +133,12 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
     return pieces
 
 
+def _coded(coder, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        some = batch.slice(at, SLICE_ROWS)
+        yield from zip(some.column("doc_id").to_pylist(), coder.encode_all(some.column("text").to_pylist()))
+
+
 def pack_documents(
     documents: DataFrame,
     tokenizer_path: str,
@@ -154,8 +161,7 @@ def pack_documents(
         coded: list[bytes] = []
         for batch in batches:
             split = batch.column("split")[0].as_py() if batch.num_rows else 0
-            for name, value in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = coder.encode(value.as_py())
+            for name, ids in _coded(coder, batch):
                 if names and total + len(ids) // ID_BYTES > group_tokens:
                     yield packed(names, coded, (split << GROUP_BITS) + used)
                     used += -(-total // length) + length.bit_length()

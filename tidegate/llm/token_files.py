@@ -28,6 +28,7 @@ from tidegate.llm.tokenizer import ID_BYTES, encoder
 ROW_GROUP_BYTES = 32 * 2**20
 PAGE_BYTES = 256 * 2**10
 PAGE_ROWS = 2_000
+MOST_BROADCAST = 100_000  # files whose totals, 16 bytes each, are sent to all executors
 SLICE_ROWS = 64  # documents encoded between two batches sent back
 
 OWN = ("doc_id", "part", "start_in_part", "n_tokens", "ids")
@@ -71,7 +72,7 @@ def write_tokens(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 some = batch.slice(at, SLICE_ROWS)
-                coded = [coder.encode(t) for t in some.column("_text").to_pylist()]
+                coded = coder.encode_all(some.column("_text").to_pylist())
                 counts = np.array([len(c) // ID_BYTES for c in coded], dtype=np.int64)
                 ends = np.cumsum(counts)
                 ids = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
@@ -129,7 +130,9 @@ def read_tokens(
     chosen = [start if c == "start" else F.col(c) for c in names]
     if "start" not in names:
         chosen.insert(1, start)
-    return rows.join(before, "part").select(*chosen)
+    # One row a file: as many as the folder lists, or else both sides are shuffled.
+    few = len(files.inputFiles()) <= MOST_BROADCAST
+    return rows.join(F.broadcast(before) if few else before, "part").select(*chosen)
 
 
 def with_crc32(rows: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:

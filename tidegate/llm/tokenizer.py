@@ -41,38 +41,37 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """All ids of the text, then the end id."""
-        parts = _PART.findall(text or "")
-        known = self.memo.get
-        found = [known(part) for part in parts]
-        if None in found:
-            self._learn({part for part, ids in zip(parts, found) if ids is None})
-            known = self.memo.__getitem__
-            found = [known(part) for part in parts]
-            if len(self.memo) > self.entries:
-                self.memo, self.older = {}, self.memo
-        found.append(END_ID.to_bytes(ID_BYTES, "little"))
-        return b"".join(found)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The same for several texts, whose unseen parts are encoded together."""
+        parts = [_PART.findall(text or "") for text in texts]
+        self._learn(set().union(*parts).difference(self.memo))
+        known, end = self.memo.__getitem__, END_ID.to_bytes(ID_BYTES, "little")
+        coded = [b"".join(map(known, p)) + end for p in parts]
+        if len(self.memo) > self.entries:
+            self.memo, self.older = {}, self.memo
+        return coded
 
     def _learn(self, parts: set[str]) -> None:
-        unseen = []
-        for part in parts:
-            ids = self.older.get(part)
-            if ids is None:
-                unseen.append(part)
-            else:
-                self.memo[part] = ids
+        old = {part for part in parts if part in self.older}
+        self.memo.update((part, self.older[part]) for part in old)
         # Parts that begin with white space can be coded in one go, one after the other.
-        joined = [part for part in unseen if part[0] in " \n" and not part[-1].isspace()]
-        chosen = set(joined)
-        for part in unseen:
-            if part not in chosen:
+        joined = []
+        for part in parts - old:
+            if part[0] in " \n" and not part[-1].isspace():
+                joined.append(part)
+            else:
                 self.memo[part] = self._ids(part).tobytes()
         if joined:
-            ids = self._ids("".join(joined))
-            ends = np.cumsum([len(part.encode()) for part in joined])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1).tolist()]
-            for part, start, end in zip(joined, cuts, cuts[1:]):
-                self.memo[part] = ids[start:end].tobytes()
+            text = "".join(joined)
+            ids = self._ids(text)
+            sizes = list(map(len, joined)) if text.isascii() else [len(part.encode()) for part in joined]
+            cuts = ID_BYTES * (np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(sizes)) + 1)
+            data, start = ids.tobytes(), 0
+            for part, end in zip(joined, cuts.tolist()):
+                self.memo[part] = data[start:end]
+                start = end
 
     def _ids(self, text: str) -> np.ndarray:
         coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
