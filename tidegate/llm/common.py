@@ -94,6 +94,50 @@ def block_pairs(rows: DataFrame, group: str, item: Column, block: int) -> DataFr
     )
 
 
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Rows (v, band) of bands with several members, one band for each set of members.
+
+    Members that meet in many bands are so compared once.  Bands are counted before they
+    are joined back, so rows of bands with one member are not dealt any further.
+    """
+    members = rows.groupBy("band").agg(
+        F.count("*").alias("n"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+        F.bit_xor(F.xxhash64("v")).alias("mark"),
+    )
+    unlike = members.where("n > 1").groupBy("n", "low", "high", "mark").agg(F.min("band").alias("band"))
+    return stored(rows.join(stored(unlike.select("band"), "unlike"), "band").select("band", "v"), "bands")
+
+
+def sides(rows: pa.Table, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions of the two blocks of a pair, and whether they are one block."""
+    block = rows.column("blk").to_numpy()
+    if bi == bj:
+        return np.arange(len(block)), np.arange(len(block)), True
+    return np.flatnonzero(block == bi), np.flatnonzero(block == bj), False
+
+
+class Gathered:
+    """Rows of whole numbers, gathered to batches of a fair size."""
+
+    def __init__(self, *names: str, rows: int = 8192):
+        self.names, self.rows = names, rows
+        self.columns: list[list] = [[] for _ in names]
+
+    def add(self, *columns) -> Iterator[pa.RecordBatch]:
+        for held, new in zip(self.columns, columns):
+            held.extend(new)
+        if len(self.columns[0]) >= self.rows:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.columns[0]:
+            arrays = [pa.array(c, pa.int64()) for c in self.columns]
+            self.columns = [[] for _ in self.names]
+            yield pa.RecordBatch.from_arrays(arrays, names=list(self.names))
+
+
 def arranged(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of equal keys together in one task, in order."""
     return rows.repartition(*keys).sortWithinPartitions(*keys)
