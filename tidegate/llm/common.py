@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidegate.session import new_path
 
 
+MOST_BROADCAST = 1_000_000  # rows of a few numbers, about 16 MB
+
+
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -79,6 +82,7 @@ def block_pairs(rows: DataFrame, group: str, item: Column, block: int) -> DataFr
     times.  Groups of one row go, as there is no pair in them.  Adds blk, bi, bj.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("_size")).where("_size > 1")
+    sizes = stored(sizes, "sizes")  # plain rows on both sides, so a large group's can be split
     blocks = F.ceil(F.col("_size") / block)
     dealt = (
         rows.join(sizes, group)
@@ -94,6 +98,14 @@ def block_pairs(rows: DataFrame, group: str, item: Column, block: int) -> DataFr
     )
 
 
+def few(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
+    """A stored table of ids, to be sent to all executors if it is counted to be small.
+
+    The count comes from the files' footers.  A larger one is shuffled in the join.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """Rows (v, band) of bands with several members, one band for each set of members.
 

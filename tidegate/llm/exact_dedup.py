@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import fresh, stored
+from tidegate.llm.common import few, fresh, stored
 
 TABLE_BYTES = 48 * 2**20  # contents held by one table
 SLICE_ROWS = 256
@@ -210,7 +210,7 @@ def without_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_
         F.col(uid).alias("uid"), kept[doc_id].cast("bigint").alias("doc_id"), kept[text].alias("text")
     )
     gone = stored(_grouped(rows, **settings).where("not kept").select(F.col("uid").alias(uid)), "gone")
-    return kept.join(gone, uid, "left_anti").select(*documents.columns)
+    return kept.join(few(gone), uid, "left_anti").select(*documents.columns)
 
 
 def _grouped(numbered: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:

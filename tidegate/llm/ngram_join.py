@@ -34,7 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import arranged, block_pairs, components, fresh, in_groups, merged, stored
+from tidegate.llm.common import (
+    Gathered,
+    arranged,
+    block_pairs,
+    components,
+    few,
+    fresh,
+    in_groups,
+    merged,
+    shared_buckets,
+    sides,
+    stored,
+)
 from tidegate.llm.shingles import WORDS, MinHash, set_digest, shingle_sets
 
 SIMILARITY = 0.8
@@ -109,42 +121,15 @@ def _sketch(words: int):
     return run
 
 
-def _sides(rows: pa.Table, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Positions of the two blocks of a pair; the same ones within a block."""
-    block = rows.column("blk").to_numpy()
-    if bi == bj:
-        return np.arange(len(block)), np.arange(len(block)), True
-    return np.flatnonzero(block == bi), np.flatnonzero(block == bj), False
-
-
-class _Output:
-    """Rows gathered to batches of a fair size."""
-
-    def __init__(self, names: list[str], rows: int = 8192):
-        self.names, self.rows = names, rows
-        self.columns: list[list] = [[] for _ in names]
-
-    def add(self, *columns) -> Iterator[pa.RecordBatch]:
-        for held, new in zip(self.columns, columns):
-            held.extend(new)
-        if len(self.columns[0]) >= self.rows:
-            yield from self.rest()
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in self.columns], names=self.names)
-            self.columns = [[] for _ in self.names]
-
-
 def _prune(similarity: float, tolerance: float):
     """Forest of the pairs of a band that may be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Output(["a", "b"])
+        out = Gathered("a", "b")
         for (_, bi, bj), rows in in_groups(batches, ["band", "bi", "bj"]):
             v = rows.column("v").to_numpy()
             values = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
-            left, right, same = _sides(rows, bi, bj)
+            left, right, same = sides(rows, bi, bj)
             a, b = surviving(values[left], values[right], same, similarity, tolerance)
             root = merged(len(v), left[a], right[b])
             joined = np.flatnonzero(root != np.arange(len(v)))
@@ -196,12 +181,12 @@ def _verify(similarity: float):
     """Number of links of every class of a group, and a forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Output(["v", "links", "tree"])
+        out = Gathered("v", "links", "tree")
         for (_, bi, bj), rows in in_groups(batches, ["root", "bi", "bj"]):
             v, weight = rows.column("v").to_numpy(), rows.column("weight").to_numpy()
             sets = [np.frombuffer(s, dtype=np.uint64) for s in rows.column("shingles").to_pylist()]
             sizes = np.array([len(s) for s in sets], dtype=np.float64)
-            left, right, same = _sides(rows, bi, bj)
+            left, right, same = sides(rows, bi, bj)
             shared = shared_counts(sets, left, right).astype(np.float64)
             union = sizes[left][:, None] + sizes[right][None, :] - shared
             linked = shared >= similarity * union - 1e-9
@@ -241,7 +226,7 @@ def one_of_each(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
         F.col(uid).alias("uid"), kept[doc_id].cast("bigint").alias("doc_id"), kept[text].alias("text")
     )
     gone = stored(_grouped(rows, **settings).where("not kept").select(F.col("uid").alias(uid)), "gone")
-    return kept.join(gone, uid, "left_anti").select(*documents.columns)
+    return kept.join(few(gone), uid, "left_anti").select(*documents.columns)
 
 
 def _grouped(
@@ -265,19 +250,13 @@ def _grouped(
     width = 2 * BAND_VALUES
     keys = [F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)]
     bands = signed.select("v", F.explode(F.array(*keys)).alias("band"))
-    members = bands.groupBy("band").agg(
-        F.count("*").alias("n"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        F.bit_xor(F.xxhash64("v")).alias("mark"),
-    )
-    unlike = members.where("n > 1").groupBy("n", "low", "high", "mark").agg(F.min("band").alias("band"))
-    chosen = stored(bands.join(stored(unlike.select("band"), "unlike"), "band").select("band", "v"), "bands")
+    chosen = shared_buckets(bands)
     dealt = arranged(block_pairs(chosen.join(signed, "v"), "band", F.col("v"), block), "band", "bi", "bj")
     possible = components(dealt.mapInArrow(_prune(similarity, tolerance), "a bigint, b bigint"))
 
     texts = numbered.select(F.col("uid").alias("v"), "text")
-    sets = texts.join(possible, "v").join(whole, "v").mapInArrow(
+    wanted = stored(possible.join(whole, "v"), "wanted")
+    sets = texts.join(few(wanted), "v").mapInArrow(
         _set_rows(words), "v bigint, root bigint, weight bigint, shingles binary"
     )
     compared = arranged(block_pairs(stored(sets, "sets"), "root", F.col("v"), block), "root", "bi", "bj")
@@ -302,7 +281,7 @@ def _grouped(
         "found",
     )
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    heads = found.groupBy("root").agg(F.min(first).alias("head"))
+    heads = stored(found.groupBy("root").agg(F.min(first).alias("head")), "heads")
     return found.join(heads, "root").select(
         "uid",
         "doc_id",

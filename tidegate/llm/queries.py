@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import exact_dedup, ngram_join, packing, token_files, toxicity
+from tidegate.llm import (
+    exact_dedup,
+    licenses,
+    mixing,
+    ngram_join,
+    packing,
+    sanitise,
+    token_files,
+    toxicity,
+    vectors,
+)
 from tidegate.llm.common import table
 from tidegate.session import new_path
 
@@ -40,17 +50,51 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", "predicted", "offending")
 
 
+def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, and all spans with those of disclosing terms."""
+    found = sanitise.find_personal(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in sanitise.KINDS],
+        F.sha2(sanitise.joined(F.col("base")), 256).alias("base_sha256"),
+        sanitise.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated weight, probability and draw of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component and number of links of every vector."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_sanitise": op5_sanitise,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_licenses": op8_licenses,
+    "op9_mixing": op9_mixing,
+    "op10_vectors": op10_vectors,
 }
 
 ORACLES = {

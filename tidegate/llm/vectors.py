@@ -246,7 +246,7 @@ def near_vectors(
         found.select("vec_id", F.coalesce("root", "uid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "found",
     )
-    heads = found.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    heads = stored(found.groupBy("root").agg(F.min("vec_id").alias("component_id")), "heads")
     return found.join(heads, "root").select(
         "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
