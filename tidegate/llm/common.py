@@ -46,32 +46,52 @@ def fresh(df: DataFrame, name: str) -> str:
 # ------------------------------------------------------------------ groups in Arrow tasks
 
 
-def in_groups(
-    batches: Iterator[pa.RecordBatch], keys: list[str]
-) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive rows with equal `keys`, from batches sorted by them.
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of at least `least` rows that end where a group of equal `keys` does.
 
-    A group may span batches; one group is held at a time.
+    The batches are sorted by the keys.  With each table come the starts of its groups.
     """
     held: list[pa.RecordBatch] = []
-    current = None
+    rows = 0
     for batch in batches:
-        if not batch.num_rows:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for column in columns:
-            change[1:] |= column[1:] != column[:-1]
-        starts = np.flatnonzero(change)
-        for start, end in zip([0, *starts], [*starts, batch.num_rows]):
-            key = tuple(column[start] for column in columns)
-            if current is not None and key != current:
-                yield current, pa.Table.from_batches(held)
-                held = []
-            current = key
-            held.append(batch.slice(start, end - start))
-    if held:
-        yield current, pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        starts = _group_starts(table, keys)
+        if len(starts) < 2:
+            continue
+        # The last group may go on in the next batch.
+        yield table.slice(0, starts[-1]), starts[:-1]
+        held = table.slice(starts[-1]).combine_chunks().to_batches()
+        rows = sum(b.num_rows for b in held)
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield table, _group_starts(table, keys)
+
+
+def _group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(table.num_rows, dtype=bool)
+    change[:1] = True
+    for key in keys:
+        column = table.column(key).to_numpy()
+        change[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(change)
+
+
+def in_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096
+) -> Iterator[tuple[tuple, pa.Table]]:
+    """Key and rows of every group of at least two rows; a few batches are held at a time."""
+    for table, starts in whole_groups(batches, keys, least):
+        table = table.combine_chunks()
+        columns = [table.column(k).to_numpy() for k in keys]
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+            if end - start > 1:
+                yield tuple(column[start] for column in columns), table.slice(start, end - start)
 
 
 def block_pairs(rows: DataFrame, group: str, item: Column, block: int) -> DataFrame:
@@ -85,7 +105,7 @@ def block_pairs(rows: DataFrame, group: str, item: Column, block: int) -> DataFr
     sizes = stored(sizes, "sizes")  # plain rows on both sides, so a large group's can be split
     blocks = F.ceil(F.col("_size") / block)
     dealt = (
-        rows.join(sizes, group)
+        rows.join(few(sizes), group)
         .withColumn("_blocks", blocks)
         .withColumn("blk", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
     )
@@ -155,6 +175,27 @@ def arranged(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
+class Forest:
+    """Disjoint sets over 0..n-1 whose roots are their smallest members."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+    def roots(self) -> list[int]:
+        return [self.root(x) for x in range(len(self.parent))]
+
+
 def merged(n: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Smallest reachable number for each of 0..n-1, given links between first and second."""
     label = np.arange(n)

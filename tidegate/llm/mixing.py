@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidegate.llm.common import fresh, stored
 
 MARGINS = ("source", "lang", "topic")
-FLATTEN = 0.7
+FLATTEN = 0.9
 ROUNDS = 25  # at most
 TOLERANCE = 1e-6  # largest relative miss of any target
 BYTES_PER_TOKEN = 4

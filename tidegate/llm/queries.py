@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import (
     exact_dedup,
     licenses,
+    line_dedup,
     mixing,
     ngram_join,
     packing,
@@ -70,6 +71,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, with the line that is kept for it."""
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -92,6 +98,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_sanitise": op5_sanitise,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_vectors": op10_vectors,

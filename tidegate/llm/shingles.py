@@ -30,7 +30,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _scramble(x: np.ndarray) -> np.ndarray:
+def scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -51,7 +51,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     starts, ends = edges[0::2], edges[1::2]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_MIX[data] * power[: len(data)], out=sums[1:])
-    hashes = _scramble((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashes = scramble((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     limits = np.cumsum([len(c) + 1 for c in coded])
     return hashes, np.searchsorted(limits, starts, side="right"), starts
 
@@ -82,7 +82,7 @@ def _some_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     for k in range(1, words):
         rolled *= factor
         rolled += hashes[k : k + n]
-    rolled = _scramble(rolled)
+    rolled = scramble(rolled)
     found = []
     for start, end in zip(bounds, bounds[1:]):
         if end - start >= words:
@@ -91,7 +91,7 @@ def _some_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
             value = np.array([end - start], dtype=np.uint64)
             for k in range(start, end):
                 value = value * factor + hashes[k : k + 1]
-            found.append(_scramble(value))
+            found.append(scramble(value))
         else:
             found.append(np.zeros(0, dtype=np.uint64))
     return found
