@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 import model
 from test_process import POLICIES, random_stream
 from tidegate.schema import ARRIVAL_SCHEMA, ORDER_SCHEMA, TICK_COLUMNS
-from tidegate.sources import frames
+from tidegate.operators.compare import same_rows
+from tidegate.operators.process import process
+from tidegate.plans import experiment
+from tidegate.sources import frames, replay
 from tidegate.streaming.demo import replay_as_stream
 from tidegate.streaming.process import process_stream
 from tidegate.streaming.sinks import append_stream, count_reasons, reason_totals
@@ -18,13 +21,14 @@ def test_stream_equals_plain_loop(spark, policy):
     for o in orders:
         first.setdefault(o["symbol"], {**o, "registered_arrival": 0})
     orders = list(first.values())
-    rows = replay_as_stream(
+    path = replay_as_stream(
         spark.createDataFrame(ticks, ARRIVAL_SCHEMA),
         spark.createDataFrame(orders, ORDER_SCHEMA),
         policy,
         100,
         20,
-    ).collect()
+    )
+    rows = spark.read.parquet(path).collect()
     found = {
         r.arrival: (
             r.accepted_signal,
@@ -36,6 +40,20 @@ def test_stream_equals_plain_loop(spark, policy):
     assert found == model.run(ticks, orders, policy, 100, 20)
 
 
+def test_stream_equals_batch_on_real_times(spark):
+    """Nanoseconds since 1970, some receive times unknown, an order in many small triggers."""
+    ticks = replay.inject_faults(replay.replay_ticks(spark, 3000))
+    unknown = F.when(F.col("arrival") % 7 != 0, F.col("receive_ns"))
+    ticks = ticks.withColumn("receive_ns", unknown).select(*ARRIVAL_SCHEMA.names)
+    orders, policy = experiment.replay_orders(spark), POLICIES[1]
+    path = replay_as_stream(ticks, orders, policy, 5_000_000, 1_000_000, slices=20)
+    columns = ["arrival", "timestamp_ns", "receive_ns", "reason", "accepted_signal", "risk_event"]
+    streamed = spark.read.parquet(path).select(*columns)
+    batch = process(ticks, orders, policy, 5_000_000, 1_000_000).select(*columns)
+    assert streamed.where("timestamp_ns > 1e18").count() == batch.count() > 3000
+    assert same_rows(streamed, batch).count() == 0
+
+
 def test_orders_registered_while_running(spark, tmp_path):
     ticks, orders = random_stream(6)
     paths = [str(tmp_path / n) for n in ("ticks", "orders", "out", "state")]

@@ -67,11 +67,18 @@ def parity_summary(parity: DataFrame, by: list[str]) -> DataFrame:
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows on one side only (with repeats), tagged by side; empty if the tables agree."""
-    return (
-        left.exceptAll(right)
-        .withColumn("side", F.lit("left"))
-        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
-    )
+    tally = fresh_name(left.columns, "_tally")
+    signed = left.withColumn(tally, F.lit(1)).unionByName(right.withColumn(tally, F.lit(-1)))
+    rest = signed.groupBy(*left.columns).agg(F.sum(tally).alias(tally)).where(F.col(tally) != 0)
+    side = F.when(F.col(tally) > 0, "left").otherwise("right")
+    repeats = F.explode(F.sequence(F.lit(1), F.abs(F.col(tally)))).alias("_nth")
+    return rest.select(*left.columns, side.alias("side"), repeats).drop("_nth")
+
+
+def fresh_name(taken: list[str], name: str) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def positional_reconcile(

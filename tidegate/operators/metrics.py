@@ -66,8 +66,7 @@ def policy_metrics(
             for i in range(len(policies))
         ]
     if probe_mid is not None:
-        side = F.when(event["limit_price"] > event["trigger_price"], "short").otherwise("long")
-        fillable = o.limit_reached(side, F.lit(probe_mid), event["limit_price"])
+        fillable = o.limit_reached(F.col("risk_side"), F.lit(probe_mid), event["limit_price"])
         counts.append(
             F.coalesce(F.bool_or((event["kind"] == STOP) & fillable), F.lit(False)).alias("_fill")
         )
@@ -101,6 +100,16 @@ def policy_metrics(
     return totals.select(*by, F.inline(F.array(*[report(i, p) for i, p in enumerate(policies)])))
 
 
+def marketable_stops(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Stop events of evaluated quotes, and how many could be filled at their own mid."""
+    event = F.col("risk_event")
+    stop = event["kind"] == STOP
+    fillable = o.limit_reached(F.col("risk_side"), q.mid_price(), event["limit_price"])
+    return rows.groupBy(*by).agg(
+        F.count_if(stop).alias("stop_triggers"), F.count_if(stop & fillable).alias("marketable_stops")
+    )
+
+
 def reason_counts(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(F.count("*").alias("quotes"))
 
@@ -136,6 +145,19 @@ def best_setting(results: DataFrame, setting: str, p50: str, ordinal: str, by: l
     )
 
 
+def rate_share(rows: DataFrame, condition: Column, by: list[str], time_ns: str = "timestamp_ns") -> DataFrame:
+    """Rate of all rows over the rate of those that meet a condition, in one pass."""
+    some = F.when(condition, F.col(time_ns))
+    spans = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.min(time_ns).alias("_a"), F.max(time_ns).alias("_b"),
+        F.count(some).alias("_some_n"), F.min(some).alias("_some_a"), F.max(some).alias("_some_b"),
+    )
+    rate = lambda p: q.rate_per_second(F.col(f"{p}n"), F.col(f"{p}a"), F.col(f"{p}b"))
+    both = spans.select(*by, rate("_").alias("numerator_rate"), rate("_some_").alias("denominator_rate"))
+    safe = F.when(F.col("denominator_rate") > 0, F.col("denominator_rate"))
+    return both.withColumn("ratio", F.col("numerator_rate") / safe)
+
+
 def throughput_ratio(
     rates: DataFrame, label: str, rate: str, numerator: str, denominator: str, by: list[str]
 ) -> DataFrame:

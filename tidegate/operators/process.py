@@ -40,14 +40,19 @@ def _signals(
     else:
         none = F.lit(None)
         rows = rows.withColumns(
-            {"_hit": none.cast("bigint"), "_event": none.cast(RISK_EVENT_TYPE)}
+            {
+                "_hit": none.cast("bigint"),
+                "_event": none.cast(RISK_EVENT_TYPE),
+                "_side": none.cast("string"),
+            }
         )
     if keep is not None:
-        needed = ["arrival", "timestamp_ns", "mid", "gate_reason", "_hit", "_event"]
+        needed = ["arrival", "timestamp_ns", "mid", "gate_reason", "_hit", "_event", "_side"]
         rows = rows.select(*dict.fromkeys([*layout.cells, *needed, *keep]))
     rows = decide(rows.drop("_rank"), policies, layout)
     event = F.when(F.col("_first_hit"), F.col("_event"))
-    return rows.withColumn("risk_event", event).drop("_first_hit", "_event")
+    rows = rows.withColumn("risk_side", F.when(F.col("_first_hit"), F.col("_side")))
+    return rows.withColumn("risk_event", event).drop("_first_hit", "_event", "_side")
 
 
 def evaluate(
@@ -59,7 +64,8 @@ def evaluate(
     bits: int | str | None = AUTO,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per valid quote with `gate_reason`, `risk_event` and `_accepted_<i>`.
+    """One row per valid quote with `gate_reason`, `risk_event`, the side of the order it
+    comes from (`risk_side`) and `_accepted_<i>`.
 
     All policies see the same gated quotes, so the stream is shuffled and gated once
     however many policies are compared.  `keep` names the quote columns the caller reads
@@ -93,7 +99,7 @@ def compare(
 ) -> DataFrame:
     """Per (valid quote, policy): `accepted_signal`, `reason`, `risk_event`."""
     rows = evaluate(ticks, orders, policies, max_age_ns, max_skew_ns, bits)
-    return explode_policies(rows, policies).drop("gate_reason")
+    return explode_policies(rows, policies).drop("gate_reason", "risk_side")
 
 
 def process(

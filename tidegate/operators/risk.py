@@ -82,12 +82,16 @@ def risk_event(order: Column, mid: Column) -> Column:
 
 
 def mark_hits(rows: DataFrame) -> DataFrame:
-    """Turn `_order` into `_hit`, the registration of the order the quote hits, and the
-    event this hit would raise; both null on the many quotes that hit nothing."""
+    """Turn `_order` into `_hit`, the registration of the order the quote hits, the
+    event this hit would raise and the order's side; null on the many quotes that hit nothing."""
     registered = F.col("_order.registered_arrival")
     event = risk_event(F.col("_order"), F.col("mid"))
     return rows.withColumns(
-        {"_hit": F.when(hit(), registered), "_event": F.when(hit(), event)}
+        {
+            "_hit": F.when(hit(), registered),
+            "_event": F.when(hit(), event),
+            "_side": F.when(hit(), F.col("_order.side")),
+        }
     ).drop("_order")
 
 

@@ -17,6 +17,7 @@ from tidegate.plans.events_view import MAX_AGE_NS, MAX_SKEW_NS, POLICIES
 from tidegate.schema import TICK_COLUMNS, Policy
 from tidegate.session import new_path
 from tidegate.sources import frames, kvlog, replay, reports, ticks as tick_store
+from tidegate.streaming import sinks
 from tidegate.streaming.demo import replay_as_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,7 +357,7 @@ def moving_orders(spark, sf) -> DataFrame:
         q.mid_price().alias("entry_price"),
         (F.lit(1.0) + seq % 7).alias("stop_bps"),
         (F.lit(2.0) + seq % 5).alias("take_profit_bps"),
-        (seq % 4).cast("double").alias("limit_offset_bps"),
+        (seq % 3).cast("double").alias("limit_offset_bps"),
     )
 
 
@@ -451,14 +452,53 @@ def process_replaced_orders(spark, sf):
     return _processed(spark, sf, moving_orders(spark, sf), SMALL_BUCKETS)
 
 
-@query("stream_process", _PROCESS.format(triggers="triggers"))
+_TIMES = "o.sequence, o.timestamp_ns, o.receive_ns,"
+_STREAMED = _PROCESS.replace("o.sequence,", _TIMES)
+
+
+def _streamed(spark, sf, orders) -> DataFrame:
+    rows = spark.read.parquet(replay_as_stream(ticks(spark, sf), orders, DYNAMIC, MAX_AGE_NS, MAX_SKEW_NS))
+    columns = flat_results(rows.limit(0)).columns
+    times = rows.select("arrival", "symbol", "timestamp_ns", "receive_ns")
+    return flat_results(rows).join(times, ["arrival", "symbol"]).select(*columns, "timestamp_ns", "receive_ns")
+
+
+@query("stream_process", _STREAMED.format(triggers="triggers"))
 def stream_process(spark, sf):
-    rows = replay_as_stream(
-        ticks(spark, sf), ev.events_orders(spark), DYNAMIC, MAX_AGE_NS, MAX_SKEW_NS
+    return _streamed(spark, sf, ev.events_orders(spark))
+
+
+@query("stream_orders_while_running", _STREAMED.format(triggers=_REPLACED))
+def stream_orders_while_running(spark, sf):
+    """Every quote registers an order while the query runs; each meets the one in force."""
+    return _streamed(spark, sf, moving_orders(spark, sf))
+
+
+@query("live_counters", "SELECT symbol, reason, count(*) AS quotes FROM outcomes WHERE policy = 'dynamic' "
+       "GROUP BY symbol, reason")
+def live_counters(spark, sf):
+    """Outcome counts kept per trigger by the running query, then added up."""
+    path = replay_as_stream(
+        ticks(spark, sf), ev.events_orders(spark), DYNAMIC, MAX_AGE_NS, MAX_SKEW_NS, sink=sinks.count_reasons
     )
-    return flat_results(rows)
+    return sinks.reason_totals(spark, path)
 
 
+@query("marketable_stops", """
+    SELECT symbol, count(*) FILTER (kind = 'stop_triggered') AS stop_triggers,
+           count(*) FILTER (kind = 'stop_triggered' AND CASE side WHEN 'long' THEN mid >= limit_price
+                                                       ELSE mid <= limit_price END) AS marketable_stops
+    FROM (SELECT symbol, NULL AS kind, NULL AS side, NULL AS mid, NULL AS limit_price FROM valid
+          UNION ALL SELECT symbol, kind, side, mid, limit_price FROM moving_hits WHERE nth = 1)
+    GROUP BY symbol""")
+def marketable_stops(spark, sf):
+    """Stops of orders on both sides, some with their limit at the stop itself."""
+    rows = process.evaluate(
+        ticks(spark, sf), moving_orders(spark, sf), [DYNAMIC], MAX_AGE_NS, MAX_SKEW_NS, SMALL_BUCKETS,
+        ["bid", "ask", "symbol"],
+    )
+    return metrics.marketable_stops(rows, ["symbol"])
+
 
 
 @query("csv_json_agree", """
@@ -637,6 +677,32 @@ def store_and_audit(spark, sf):
     return experiment.store_and_audit(ev.clean_ticks(spark, sf), path, batch_size=4096)
 
 
+@query("audit_with_rate", f"""
+    SELECT *, rows_read_back = distinct_sequences AND first_sequence = 0 AND
+              last_sequence = rows_requested - 1 AND bad_quotes = 0 AS complete
+    FROM (SELECT symbol, {_AUDIT}, CASE WHEN max(timestamp_ns) > min(timestamp_ns)
+                 THEN count(*) / ((max(timestamp_ns) - min(timestamp_ns)) / 1e9) ELSE 0.0 END AS events_per_second
+          FROM ticks GROUP BY symbol)""")
+def audit_with_rate(spark, sf):
+    """Audit and rate of stored ticks for each setting (here: symbol)."""
+    path = new_path(spark, "ticks")
+    tick_store.append_ticks(ticks(spark, sf), path)
+    return experiment.audit_with_rate(tick_store.scan_ticks(spark, path), ["symbol"])
+
+
+@query("append_stream_audit", f"SELECT *, rows_read_back = distinct_sequences AND first_sequence = 0 AND "
+       f"last_sequence = rows_requested - 1 AND bad_quotes = 0 AS complete FROM (SELECT {_AUDIT} FROM clean)")
+def append_stream_audit(spark, sf):
+    """Ticks that arrive as frames in two loads, appended live, each exactly once."""
+    source, path, state = (new_path(spark, n) for n in ("frames", "table", "state"))
+    rows = ev.clean_ticks(spark, sf)
+    for late in (False, True):
+        frames.write_tick_frames(rows.where((F.col("sequence") % 3 == 0) == F.lit(late)), source, mode="append")
+        live = frames.stream_tick_frames(spark, source, max_files=4)[0]
+        sinks.append_stream(live, path, state).awaitTermination()
+    return audit.audit_ticks(tick_store.scan_ticks(spark, path))
+
+
 @query("append_and_scan", "SELECT symbol, sequence, timestamp_ns, bid, ask FROM clean UNION ALL "
        "SELECT symbol, sequence + 1000000000, timestamp_ns, bid, ask FROM clean")
 def append_and_scan(spark, sf):
@@ -899,11 +965,7 @@ def best_setting(spark, sf):
                    FROM gated WHERE gate_reason = 'pass' GROUP BY symbol) GROUP BY symbol)""",
 )
 def throughput_ratio(spark, sf):
-    rows = gated(spark, sf)
-    every = metrics.event_rate(rows, ["symbol"]).withColumn("side", F.lit("all"))
-    passed = metrics.event_rate(rows.where(debounce.passing()), ["symbol"])
-    both = every.unionByName(passed.withColumn("side", F.lit("passed")))
-    return metrics.throughput_ratio(both, "side", "events_per_second", "all", "passed", ["symbol"])
+    return metrics.rate_share(gated(spark, sf), debounce.passing(), ["symbol"])
 
 
 @query(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions import orders as o
 from tidegate.functions import quotes as q
 from tidegate.operators.audit import audit_ticks
 from tidegate.operators.debounce import passing
-from tidegate.operators.metrics import EventWindow, policy_metrics
+from tidegate.operators.metrics import EventWindow, event_rate, policy_metrics
 from tidegate.operators.percentiles import lower_rank_percentiles
 from tidegate.operators.process import evaluate, raw_signals
 from tidegate.operators.quality import lenient_valid
@@ -60,10 +61,7 @@ def raw_pipeline(
     """Counts of the ungated pipeline; unusable quotes are counted and skipped."""
     rows = raw_signals(ticks, orders, [policy], bits, ["bid", "ask"])
     event = F.col("risk_event")
-    mid = q.mid_price()
-    fillable = F.when(
-        event["limit_price"] > event["trigger_price"], mid <= event["limit_price"]
-    ).otherwise(mid >= event["limit_price"])
+    fillable = o.limit_reached(F.col("risk_side"), q.mid_price(), event["limit_price"])
     signals = rows.agg(
         F.count_if(F.col("_accepted_0")).alias("signals_accepted"),
         F.count_if(passing() & ~F.col("_accepted_0")).alias("signals_debounced"),
@@ -107,6 +105,12 @@ def store_and_audit(
     )
 
 
+def audit_with_rate(table: DataFrame, by: list[str]) -> DataFrame:
+    """Audit of stored ticks per setting, with the rate of its quotes per second."""
+    rate = event_rate(table, by).select(*by, "events_per_second")
+    return audit_ticks(table, by=by).join(rate, by)
+
+
 def quote_latency(
     ticks: DataFrame,
     by: list[str],

@@ -145,7 +145,7 @@ BLOCKS: dict[str, str] = {
                CASE WHEN sequence % 2 = 0 THEN 'long' ELSE 'short' END AS side,
                (bid + ask) / 2.0::DOUBLE AS entry_price,
                1.0::DOUBLE + (sequence % 7) AS stop_bps, 2.0::DOUBLE + (sequence % 5) AS take_profit_bps,
-               (sequence % 4)::DOUBLE AS limit_offset_bps
+               (sequence % 3)::DOUBLE AS limit_offset_bps
         FROM clean""",
     "moving_levels": f"""
         SELECT *, {_LEVELS},

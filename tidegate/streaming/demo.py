@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tidegate.schema import Policy
 from tidegate.session import new_path
 from tidegate.streaming.process import process_stream
 from tidegate.streaming.sinks import write_stream
 
-SLICES = 3
+LEAST_SLICES = 3
+SLICE_ROWS = 100_000  # arrivals handed to one run, so the size of a trigger stays bounded
 
 
 def replay_as_stream(
@@ -19,20 +23,27 @@ def replay_as_stream(
     policy: Policy,
     max_age_ns: int,
     max_skew_ns: int,
-) -> DataFrame:
-    """Stop and restart the query between slices, so its state comes from the checkpoint."""
+    slices: int | None = None,
+    sink: Callable[[DataFrame, str, str], StreamingQuery] = write_stream,
+) -> str:
+    """Stop and restart the query between slices, so its state comes from the checkpoint.
+
+    Orders are handed over with the slice of arrivals they are registered in, those from
+    before the first quote with the first.  Returns the folder that `sink` wrote.
+    """
     spark = ticks.sparkSession
     ticks_in, orders_in, out, checkpoint = (
         new_path(spark, n) for n in ("stream-ticks", "stream-orders", "stream-out", "stream-state")
     )
     low, high = ticks.agg(F.min("arrival"), F.max("arrival")).first()
-    width = (high - low) // SLICES + 1
-    orders.write.parquet(orders_in)
-    for i in range(SLICES):
+    slices = slices or max(LEAST_SLICES, -(-(high - low + 1) // SLICE_ROWS))
+    width = (high - low) // slices + 1
+    for i in range(slices):
         start = low + i * width
-        arrival = F.col("arrival")
-        part = ticks.where((arrival >= start) & (arrival < start + width))
-        part.write.mode("append").parquet(ticks_in)
+        ticks.where(F.col("arrival").between(start, start + width - 1)).write.mode("append").parquet(ticks_in)
+        registered = F.col("registered_arrival")
+        part = orders.where(registered < start + width)
+        (part if i == 0 else part.where(registered >= start)).write.mode("append").parquet(orders_in)
         results = process_stream(
             spark.readStream.schema(ticks.schema).parquet(ticks_in),
             spark.readStream.schema(orders.schema).parquet(orders_in),
@@ -40,5 +51,5 @@ def replay_as_stream(
             max_age_ns,
             max_skew_ns,
         )
-        write_stream(results, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+        sink(results, out, checkpoint).awaitTermination()
+    return out

@@ -36,6 +36,9 @@ from tidegate.schema import (
 )
 
 _QUOTE = ["arrival", "sequence", "timestamp_ns", "bid", "ask", "receive_ns"]
+# A whole number that may be null reaches pandas as a float and loses digits, so none may
+# be: what a row has no value for is 0, and `_received` tells whether a receive time is one.
+_NUMBERS = ["sequence", "timestamp_ns", "receive_ns", "registered"]
 _ORDER = ["registered", "side", "stop_price", "target_price", "limit_price", "offset"]
 
 _STATE = (
@@ -47,7 +50,7 @@ _START = (-1, -1, None, 0, spacing.NEVER, None, None, None, None, None, None, Fa
 
 _OUTPUT = (
     "symbol string, arrival long, sequence long, timestamp_ns long, bid double, ask double, "
-    "receive_ns long, accepted_signal boolean, reason string, kind string, "
+    "receive_ns long, _received boolean, accepted_signal boolean, reason string, kind string, "
     "trigger_price double, limit_price double, offset_bps double"
 )
 
@@ -60,8 +63,8 @@ def _before(values: np.ndarray, start: int) -> np.ndarray:
 def _gate(quotes: pd.DataFrame, state: dict, max_age: int, max_skew: int) -> np.ndarray:
     """Reason of each quote, '' where it passes; advances the gate's state."""
     seq, ts = quotes["sequence"].to_numpy(), quotes["timestamp_ns"].to_numpy()
-    known = quotes["receive_ns"].notna().to_numpy()
-    age = quotes["receive_ns"].fillna(0).to_numpy().astype(np.int64) - ts
+    known = quotes["_received"].to_numpy()
+    age = np.where(known, quotes["receive_ns"].to_numpy() - ts, 0)
     duplicate = seq <= _before(seq, state["last_sequence"])
     stale, future = known & (age > max_age), known & (age < -max_skew)
     fresh = np.where(duplicate | stale | future, -1, ts)
@@ -124,6 +127,7 @@ def process_stream(
     check_bounds(max_age_ns, max_skew_ns)
     names = [part.split()[0] for part in _STATE.split(", ")]
     rows = validate_quotes(ticks)[0].select("symbol", *_QUOTE).withColumn("_rank", F.lit(1))
+    rows = rows.withColumn("_received", F.col("receive_ns").isNotNull())
     blank = [F.lit(None).cast(t).alias(n) for n, t in zip(_ORDER, ["long", "string"] + ["double"] * 4)]
     rows = rows.select("*", *blank)
     if orders is not None:
@@ -137,15 +141,17 @@ def process_stream(
             "target_price",
             "limit_price",
             F.col("limit_offset_bps").alias("offset"),
+            F.lit(False).alias("_received"),
         )
         rows = rows.unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in _NUMBERS})
 
     def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         state = dict(zip(names, group.get if group.exists else _START))
         frame = pd.concat(list(batches)).sort_values(["arrival", "_rank"], kind="stable")
         is_order = (frame["_rank"] == 0).to_numpy()
         quotes = frame[~is_order].reset_index(drop=True)
-        out = quotes[_QUOTE].assign(symbol=key[0], accepted_signal=False, reason="", kind=None)
+        out = quotes[[*_QUOTE, "_received"]].assign(symbol=key[0], accepted_signal=False, reason="", kind=None)
         out[["trigger_price", "limit_price", "offset_bps"]] = np.nan
         events = out[["kind", "trigger_price", "limit_price", "offset_bps"]].astype(object)
         reasons = _gate(quotes, state, max_age_ns, max_skew_ns) if len(quotes) else np.array([], str)
@@ -185,7 +191,8 @@ def process_stream(
     )
     return results.select(
         "symbol",
-        *_QUOTE,
+        *_QUOTE[:-1],
+        F.when(F.col("_received"), F.col("receive_ns")).alias("receive_ns"),
         "accepted_signal",
         "reason",
         F.when(F.col("kind").isNotNull(), event).alias("risk_event"),
