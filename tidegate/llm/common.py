@@ -139,7 +139,8 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("v")).alias("mark"),
     )
     unlike = members.where("n > 1").groupBy("n", "low", "high", "mark").agg(F.min("band").alias("band"))
-    return stored(rows.join(stored(unlike.select("band"), "unlike"), "band").select("band", "v"), "bands")
+    one = few(stored(unlike.select("band"), "unlike"))
+    return stored(rows.join(one, "band").select("band", "v"), "bands")
 
 
 def sides(rows: pa.Table, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray, bool]:

@@ -246,12 +246,12 @@ def _grouped(
 
     # Bands of the classes; of several bands that hold the same classes, one is chosen.
     signed = sketch.select(F.col("uid").alias("v"), "signature").where("signature is not null")
-    signed = stored(signed.join(whole, "v", "left_semi"), "signed")
+    signed = stored(signed.join(few(whole), "v", "left_semi"), "signed")
     width = 2 * BAND_VALUES
     keys = [F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)]
     bands = signed.select("v", F.explode(F.array(*keys)).alias("band"))
     chosen = shared_buckets(bands)
-    dealt = arranged(block_pairs(chosen.join(signed, "v"), "band", F.col("v"), block), "band", "bi", "bj")
+    dealt = arranged(block_pairs(signed.join(few(chosen), "v"), "band", F.col("v"), block), "band", "bi", "bj")
     possible = components(dealt.mapInArrow(_prune(similarity, tolerance), "a bigint, b bigint"))
 
     texts = numbered.select(F.col("uid").alias("v"), "text")

@@ -33,6 +33,7 @@ from tidegate.llm.common import (
     arranged,
     block_pairs,
     components,
+    few,
     in_groups,
     merged,
     shared_buckets,
@@ -229,9 +230,9 @@ def near_vectors(
     units = stored(plain.mapInArrow(_normalise, "v bigint, weight bigint, space bigint, size int, unit binary"), "units")
 
     chosen = shared_buckets(units.mapInArrow(_bands(settings), "v bigint, band bigint").distinct())
-    dealt = arranged(block_pairs(chosen.join(units, "v"), "band", F.col("v"), block), "band", "bi", "bj")
+    dealt = arranged(block_pairs(units.join(few(chosen), "v"), "band", F.col("v"), block), "band", "bi", "bj")
     joined = components(dealt.mapInArrow(_forest(cosine), "a bigint, b bigint"))
-    compared = arranged(block_pairs(units.join(joined, "v"), "root", F.col("v"), block), "root", "bi", "bj")
+    compared = arranged(block_pairs(units.join(few(joined), "v"), "root", F.col("v"), block), "root", "bi", "bj")
     links = compared.mapInArrow(_count(cosine), "v bigint, links bigint")
     counts = links.groupBy("v").agg(F.sum("links").alias("links"))
 
