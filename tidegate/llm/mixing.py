@@ -6,8 +6,9 @@ The weights are the least change that does so.  A document is then drawn with a
 proportional to its cell's weight; the most wanted cell is kept whole, unless a budget of
 tokens asks for less, or for as much of each cell as there is.
 
-Only cells are iterated on, one row each, by sums per margin and joins on it; documents
-are read twice, to fill the cells and to be drawn.  A draw is a hash of the document, so it
+Only cells are iterated on, one row each: in one task while they are counted to be few,
+else by sums per margin and joins on it.  Documents are read twice, to fill the cells and
+to be drawn.  A draw is a hash of the document, so it
 is the same when a task runs again.
 
 Targets default to tokens ** FLATTEN for every margin, which lifts small sources against
@@ -22,14 +23,15 @@ rows.  Without a column `topic`, topics are told by marks in the text; see `topi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import fresh, stored
+from tidegate.llm.common import MOST_BROADCAST, few, fresh, stored
 
 MARGINS = ("source", "lang", "topic")
 FLATTEN = 0.9
-ROUNDS = 25  # at most
+ROUNDS = 40  # at most
+CHAINED = 5  # rounds of one plan, where the cells lie in one task
 TOLERANCE = 1e-6  # largest relative miss of any target
 BYTES_PER_TOKEN = 4
 SEED = 9
@@ -65,6 +67,7 @@ def raked(
 ) -> DataFrame:
     """Cells (margins, tokens) with a weight whose sums of tokens meet the targets."""
     total = F.sum("tokens").cast("double")
+    have = cells.agg(total).first()[0]
     shares = {}
     for name in margins:
         given = (targets or {}).get(name)
@@ -75,39 +78,48 @@ def raked(
             sums = own.groupBy(name).agg(F.sum("weight").cast("double").alias("wanted"))
             present = cells.where("tokens > 0").select(name).distinct()
             wanted = sums.join(present, name, "left_semi")
-        all_wanted = wanted.agg(F.sum("wanted").alias("all"))
-        all_tokens = cells.agg(total.alias("have"))
-        share = wanted.crossJoin(F.broadcast(all_wanted)).crossJoin(F.broadcast(all_tokens))  # one row each
-        shares[name] = stored(
-            share.where("all > 0").select(name, (F.col("wanted") / F.col("all") * F.col("have")).alias("target")),
-            "targets",
-        )
-    shares = {name: share for name, share in shares.items() if not share.isEmpty()}
-    held = stored(cells.withColumn("weight", F.lit(1.0)), "cells")
-    for _ in range(rounds):
-        names = []
-        for name, share in shares.items():
-            sums = held.groupBy(name).agg(F.sum(F.col("weight") * F.col("tokens")).alias("sum"))
-            factor = sums.join(share, name, "left").select(
-                name,
-                F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(1.0).alias("factor"),
-            )
-            names.append(f"moved_{name}")
-            held = held.join(factor, name).withColumns(
-                {"weight": F.col("weight") * F.col("factor"), names[-1]: F.abs(F.log(F.greatest("factor", F.lit(1e-300))))}
-            )
-            held = held.drop("factor")
-        if not names:
-            break
-        # What the next round still moves tells how far the margins were from their targets.
+        wanted = stored(wanted, "targets")
+        whole = wanted.agg(F.sum("wanted")).first()[0]
+        if whole and have:
+            shares[name] = wanted.select(name, (F.col("wanted") / whole * have).alias(f"target_{name}"))
+    held = cells.withColumn("weight", F.lit(1.0))
+    names = list(shares)
+    for name in names:
+        held = held.join(few(shares[name]), name, "left")
+    held = stored(held, "cells")
+    few_cells = held.count() <= MOST_BROADCAST
+    done = 0
+    while names and done < rounds:
+        chained = min(CHAINED, rounds - done) if few_cells else 1
+        after = held.coalesce(1) if few_cells else held
+        for _ in range(chained):
+            for name in names:
+                after = _scaled(after, name, few_cells)
+        # What the last round still moves tells how far the margins were from their targets.
+        held = stored(after, "cells")
+        done += chained
         counts = (F.col("weight") > 0) & (F.col("tokens") > 0)
-        changed = F.greatest(F.lit(0.0), *[F.when(counts, F.col(n)) for n in names])
-        held = stored(held.withColumn("moved", changed).drop(*names), "cells")
-        moved = held.agg(F.max("moved")).first()[0]
-        held = held.drop("moved")
-        if (moved or 0.0) <= tolerance:
+        off = F.greatest(F.lit(0.0), *[F.when(counts, F.col(f"moved_{n}")) for n in names])
+        if (held.agg(F.max(off)).first()[0] or 0.0) <= tolerance:
             break
-    return held
+    return held.select(*margins, "tokens", "weight")
+
+
+def _scaled(cells: DataFrame, name: str, one_task: bool) -> DataFrame:
+    """Weights with the sums of one margin brought to their targets.
+
+    A table of few cells lies in one task, where the sums are windows without a shuffle;
+    a larger one is summed with partial aggregation and joined.
+    """
+    spent = F.sum(F.col("weight") * F.col("tokens"))
+    if one_task:
+        summed = cells.withColumn("_sum", spent.over(Window.partitionBy(name)))
+    else:
+        summed = cells.join(stored(cells.groupBy(name).agg(spent.alias("_sum")), "sums"), name)
+    target = F.coalesce(F.col(f"target_{name}"), F.lit(0.0))
+    factor = F.when(F.col("_sum") > 0, target / F.col("_sum")).otherwise(1.0)
+    moved = F.abs(F.log(F.greatest(factor, F.lit(1e-300))))
+    return summed.withColumns({"weight": F.col("weight") * factor, f"moved_{name}": moved}).drop("_sum")
 
 
 def mixed(
@@ -161,14 +173,8 @@ def _drawn(
 ) -> DataFrame:
     cells = stored(rows.groupBy(*margins).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = raked(cells, margins, targets, flatten, rounds)
-    if budget is None:
-        scale = weights.agg((1.0 / F.max("weight")).alias("scale"))
-    else:
-        scale = weights.agg((F.lit(float(budget)) / F.sum(F.col("weight") * F.col("tokens"))).alias("scale"))
-    chances = stored(
-        weights.drop("tokens").crossJoin(F.broadcast(scale)).select(  # one row
-            *margins, "weight", F.least(F.lit(1.0), F.coalesce(F.col("weight") * F.col("scale"), F.lit(0.0))).alias("probability")
-        ),
-        "chances",
-    )
+    most, spent = weights.agg(F.max("weight"), F.sum(F.col("weight") * F.col("tokens"))).first()
+    scale = (1.0 / most if most else 0.0) if budget is None else (budget / spent if spent else 0.0)
+    chance = F.least(F.lit(1.0), F.col("weight") * scale)
+    chances = few(stored(weights.select(*margins, "weight", chance.alias("probability")), "chances"))
     return rows.join(chances, list(margins)).withColumn("sampled", F.col("draw") < F.col("probability"))

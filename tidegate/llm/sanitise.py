@@ -163,17 +163,17 @@ def disclosing(
 ) -> DataFrame:
     """Spans of disclosing terms: uid, kind, rank, start, end, value."""
     near = stored(_words(found), "near")
-    n_documents = texts.agg(F.count("*").alias("n_all"))
+    n_all = F.lit(texts.count())
     n_entity = near.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     pairs = near.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc"))
     pairs = stored(pairs.where(F.col("n_tc") >= support), "pairs")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     n_term = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    own = F.log(F.col("n_all") / F.col("n_c"))
-    shared = F.log(F.col("n_tc") * F.col("n_all") / (F.col("n_t") * F.col("n_c")))
+    own = F.log(n_all / F.col("n_c"))
+    shared = F.log(F.col("n_tc") * n_all / (F.col("n_t") * F.col("n_c")))
     judged = (
-        pairs.join(n_entity, "entity").join(n_term, "term").crossJoin(F.broadcast(n_documents))  # one row
-        .where(F.col("n_c") < F.col("n_all"))
+        pairs.join(n_entity, "entity").join(n_term, "term")
+        .where(F.col("n_c") < n_all)
         .select("entity", "term", (shared / own).alias("disclosure"))
         .where(F.col("disclosure") >= generalise)
     )
