@@ -49,7 +49,7 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
     turned = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(documents, labels), toxicity.train(documents, turned)
-    assert a.bias == b.bias and np.array_equal(a.weights, b.weights)
+    assert a.bias == b.bias and a.weights == b.weights and a.weights
 
 
 def test_scores_of_odd_texts(spark):
@@ -65,6 +65,15 @@ def test_scores_of_odd_texts(spark):
     assert {r.score for r in toxicity.scored(documents, toxicity.train(documents, ones)).collect()} == {1.0}
 
 
+def test_words_weigh_what_their_features_do():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    grams = sorted({g for w in words for g in toxicity.features(w)})
+    model = toxicity.Model(0.0, {g: rng.random() for g in rng.sample(grams, 200)})
+    for w in words:
+        assert np.isclose(model._word(w), sum(model.weights.get(g, 0.0) for g in toxicity.features(w)))
+
+
 def test_score_is_noisy_or_of_sentences():
     model = toxicity.fit(["good day. vile one."] * 6 + ["good day. fine one."] * 6, [1] * 6 + [0] * 6)
     text = "fine day! vile one\n\nwhat...good"

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences scored, documents labelled.
 
 A document is a bag of sentences.  A sentence's probability is the logistic function of a
-bias and the weights of its words; a word's weight is the sum of hashed features: the word
+bias and the weights of its words; a word's weight is the sum of its features: the word
 itself and its character n-grams with word bounds.  A document is toxic unless no sentence
 is (noisy-or): 1 - prod(1 - p).  Document labels alone train the sentence scorer, and the
 scored sentences then say where the offence lies.
@@ -9,8 +9,8 @@ scored sentences then say where the offence lies.
 The model is fitted in one task on a bounded sample of labelled rows: at most SAMPLE_ROWS
 of each class, those with the smallest hashes of their ids, with their whole texts.
 Classes are weighted back to their shares among all labelled rows, which are counted in
-full.  Features that do not go with the labels in the sample are left out, so the model is
-a short list of hashed features, at most 2**BITS.  It travels with the tasks, and every
+full.  Only features that go with the labels in the sample are used, the FEATURES most
+telling ones at most, so the model is a short list.  It travels with the tasks, and every
 document is scored where it lies.
 
 Edge cases: a null or empty text is one empty sentence and gets the bias alone.  Labels of
@@ -24,7 +24,6 @@ and ids in any score.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
+FEATURES = 50_000
 GRAMS = (3, 4, 5, 6)
 SAMPLE_ROWS = 4_000  # of each class
 ROUNDS = 120
@@ -54,12 +53,12 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(1))
 
 
-def features(word: str) -> list[int]:
+def features(word: str) -> set[str]:
+    """The word as a whole, and its character n-grams with its bounds."""
     bounded = f"<{word}>"
     grams = {bounded[i : i + n] for n in GRAMS for i in range(len(bounded) - n + 1)}
-    grams.add(bounded + "=")
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(g.encode("utf-8", "replace")) & mask for g in grams]
+    grams.add(f"={word}")
+    return grams
 
 
 def tokens(text: str | None) -> list[str]:
@@ -69,12 +68,23 @@ def tokens(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights of the hashed features and the bias of a sentence."""
+    """Weights of the features and the bias of a sentence."""
 
     bias: float
-    weights: np.ndarray
+    weights: dict[str, float]
     memo: dict[str, float] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self) -> None:
+        self.begins = {g[: GRAMS[0]] for g in self.weights if g[0] != "="}
+
+    def _word(self, word: str) -> float:
+        """Sum over the features of a word; most places in it begin none with a weight."""
+        bounded, begins, least = f"<{word}>", self.begins, GRAMS[0]
+        places = [i for i in range(len(bounded) - least + 1) if bounded[i : i + least] in begins]
+        found = {bounded[i : i + n] for i in places for n in GRAMS if i + n <= len(bounded)}
+        found.add(f"={word}")
+        return sum(sorted(filter(None, map(self.weights.get, found))))
+
     def _values(self, found: list[str]) -> np.ndarray:
         known = self.memo.get
         values = [known(t) for t in found]
@@ -84,7 +94,7 @@ class Model:
             self.memo.update((end, float("nan")) for end in _ENDS)
             for t in found:
                 if t not in self.memo:
-                    self.memo[t] = float(self.weights[features(t)].sum())
+                    self.memo[t] = self._word(t)
             values = [self.memo[t] for t in found]
         return np.array(values, dtype=np.float64)
 
@@ -140,16 +150,20 @@ class _Bags:
         self.bag_starts = np.array(bag_starts, dtype=np.int64)
         self.sentence = np.repeat(np.arange(len(sentence_starts)), np.diff(np.append(self.sentence_starts, len(words))))
         self.bag = np.repeat(np.arange(len(texts)), np.diff(np.append(self.bag_starts, len(sentence_starts))))
-        grams = [features(t) for t in types]
         self.types = len(types)
-        self.grams = np.array([g for gs in grams for g in gs], dtype=np.int64)
+        numbers: dict[str, int] = {}
+        grams = [[numbers.setdefault(g, len(numbers)) for g in sorted(features(t))] for t in types]
+        telling = self._telling(grams, len(numbers), labels)
+        names = list(numbers)
+        self.names = [names[g] for g in telling]
+        place = np.full(len(numbers), -1, dtype=np.int64)
+        place[telling] = np.arange(len(telling))
+        self.grams = place[np.array([g for gs in grams for g in gs], dtype=np.int64)]
         self.type = np.repeat(np.arange(len(types)), [len(g) for g in grams])
-        used = self._telling(grams, labels)[self.grams]
-        self.grams, self.type = self.grams[used], self.type[used]
+        self.grams, self.type = self.grams[self.grams >= 0], self.type[self.grams >= 0]
 
-    def _telling(self, grams: list[list[int]], labels: np.ndarray) -> np.ndarray:
+    def _telling(self, grams: list[list[int]], size: int, labels: np.ndarray) -> np.ndarray:
         """Features whose presence in documents goes with the documents' labels."""
-        size = 1 << BITS
         seen = np.zeros((2, size))
         owner = self.bag[self.sentence]
         cuts = np.searchsorted(owner, np.arange(len(labels) + 1))
@@ -161,7 +175,8 @@ class _Bags:
         expected = total * n[1] / n.sum()
         spread = expected * (1 - total / n.sum()) * n[0] / n.sum()
         chi = (seen[1] - expected) ** 2 / np.maximum(spread, 1e-9)
-        return (total >= LEAST_DOCUMENTS) & (chi >= LEAST_CHI_SQUARE)
+        found = np.flatnonzero((total >= LEAST_DOCUMENTS) & (chi >= LEAST_CHI_SQUARE))
+        return np.sort(found[np.argsort(-chi[found], kind="stable")[:FEATURES]])
 
     def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
         value = np.bincount(self.type, weights[self.grams], self.types) if self.types else np.zeros(0)
@@ -169,7 +184,7 @@ class _Bags:
 
     def gradient(self, by_sentence: np.ndarray) -> np.ndarray:
         by_type = np.bincount(self.words, by_sentence[self.sentence], self.types)
-        return np.bincount(self.grams, by_type[self.type], 1 << BITS)
+        return np.bincount(self.grams, by_type[self.type], len(self.names))
 
 
 def fit(texts: list[str], labels: list[int], class_weights: tuple[float, float] = (1.0, 1.0), rounds: int = ROUNDS) -> Model:
@@ -178,7 +193,7 @@ def fit(texts: list[str], labels: list[int], class_weights: tuple[float, float]
     bags = _Bags(texts, y)
     weight = np.where(y > 0, class_weights[1], class_weights[0])
     weight /= weight.sum()
-    w = np.zeros(1 << BITS)
+    w = np.zeros(len(bags.names))
     bias = -4.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
@@ -191,7 +206,7 @@ def fit(texts: list[str], labels: list[int], class_weights: tuple[float, float]
         change = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w -= change[:-1]
         bias -= change[-1]
-    return Model(float(bias), w.astype(np.float32))
+    return Model(float(bias), dict(zip(bags.names, w.tolist())))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, held_out: bool = True) -> Model:
@@ -210,28 +225,28 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, he
     count = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         share = 1.0 if 1 in count else 0.0
-        return Model(float("inf") if share else float("-inf"), np.zeros(1 << BITS, dtype=np.float32))
+        return Model(float("inf") if share else float("-inf"), {})
     chosen = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     few = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most 2 * sample ids
     rows = texts.join(few, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    weights = tuple(count[y] / min(sample, count[y]) for y in (0, 1))
+    shares = tuple(count[y] / min(sample, count[y]) for y in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(
             (i, y, t) for b in batches for i, y, t in zip(*[b.column(c).to_pylist() for c in ("id", "y", "text")])
         )
-        model = fit([t for _, _, t in found], [y for _, y, _ in found], weights)
-        at = np.flatnonzero(model.weights)
+        model = fit([t for _, _, t in found], [y for _, y, _ in found], shares)
+        names, weights = list(model.weights), list(model.weights.values())
         yield pa.RecordBatch.from_pylist(
-            [{"bias": model.bias, "at": at.tolist(), "weight": model.weights[at].tolist()}],
-            schema=pa.schema([("bias", pa.float64()), ("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))]),
+            [{"bias": model.bias, "names": names, "weights": weights}],
+            schema=pa.schema(
+                [("bias", pa.float64()), ("names", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]
+            ),
         )
 
     rows = rows.select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.repartition(1).mapInArrow(run, "bias double, at array<int>, weight array<float>").first()
-    dense = np.zeros(1 << BITS, dtype=np.float32)
-    dense[got.at] = got.weight
-    return Model(got.bias, dense)
+    got = rows.repartition(1).mapInArrow(run, "bias double, names array<string>, weights array<double>").first()
+    return Model(got.bias, dict(zip(got.names, got.weights)))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -239,11 +254,10 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
     Sentences are given as start, end (code points, end exclusive) and score.
     """
-    bias, at = model.bias, np.flatnonzero(model.weights)
-    weight = model.weights[at]
+    bias, weights = model.bias, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = unpacked(bias, at, weight)
+        own = Model(bias, weights)
         for batch in batches:
             texts = batch.column("text")
             scores = [own.score(t.as_py()) for t in texts]
@@ -267,20 +281,13 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def unpacked(bias: float, at: np.ndarray, weight: np.ndarray) -> Model:
-    dense = np.zeros(1 << BITS, dtype=np.float32)
-    dense[at] = weight
-    return Model(bias, dense)
-
-
 def without_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of `documents` scored below 0.5, with all their columns."""
-    bias, at = model.bias, np.flatnonzero(model.weights)
-    weight = model.weights[at]
+    bias, weights = model.bias, model.weights
     place = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = unpacked(bias, at, weight)
+        own = Model(bias, weights)
         for batch in batches:
             clean = [own.score(t.as_py()) < 0.5 for t in batch.column(place)]
             yield batch.filter(pa.array(clean, pa.bool_()))
