@@ -6,7 +6,7 @@ from tidegate.functions.quotes import sample_stride, warmup_rows
 from tidegate.operators.metrics import EventWindow, policy_metrics
 from tidegate.operators.process import evaluate
 from tidegate.operators.quality import mark_gate, sequence_scan
-from tidegate.operators.scan import Layout, bucket_bits, plan_layout, running
+from tidegate.operators.scan import Layout, axis, bucket_bits, plan_layout, running
 from tidegate.plans import catalog, experiment
 from tidegate.schema import REPLAY_POLICIES
 from tidegate.sources import replay
@@ -97,7 +97,7 @@ def test_layout_follows_the_table(spark):
     small = replay_stream(spark, 20_000)
     assert plan_layout(small).bits is None and plan_layout(small, 7).bits == 7
     million = 10**6
-    assert bucket_bits(million, million, million) is None
+    assert bucket_bits(2**17, 2**17, 2**17) is None and bucket_bits(million, million, million) == 14
     # One symbol only; a third in one symbol; ten thousand even symbols; sparse numbering.
     assert bucket_bits(10 * million, 10 * million, 10 * million) == 14
     assert bucket_bits(9 * million, 3 * million, 9 * million) == 16
@@ -105,6 +105,18 @@ def test_layout_follows_the_table(spark):
     assert bucket_bits(10**9, 10**9, 10**12) == 24
 
 
+@pytest.mark.parametrize("place", ["id", "if(id = 0, 1000000000000, id)", "id + id div 1000 * 100000000000"])
+def test_buckets_stay_bounded_whatever_the_numbering(spark, place):
+    """Dense arrivals, one of them far off, and bursts between long pauses."""
+    rows = spark.range(400_000).selectExpr("'X' as symbol", f"{place} as arrival")
+    layout = plan_layout(rows)
+    sizes = layout.assign(rows).groupBy("symbol", "_bucket").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 2**15
+    few = rows.where("arrival % 100 = 0")
+    orders = rows.withColumnRenamed("arrival", "registered_arrival")
+    assert plan_layout(few).bits is None and plan_layout(axis(few, orders)).bits is not None
+
+
 def test_scan_reads_only_needed_columns(spark):
     plan = executed(catalog.event_rate(spark, "/root/testdata/sf0.001"))
     read = plan.split("ReadSchema: ")[1].split("\n")[0]

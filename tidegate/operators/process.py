@@ -9,7 +9,7 @@ from tidegate.functions import quotes as q
 from tidegate.operators.debounce import decide, explode_policies
 from tidegate.operators.quality import lenient_valid, mark_gate, sequence_scan, validate_quotes
 from tidegate.operators.risk import mark_hits, order_scan, with_orders
-from tidegate.operators.scan import AUTO, BUCKET, Layout, plan_layout, running
+from tidegate.operators.scan import AUTO, BUCKET, Layout, axis, plan_layout, running
 from tidegate.schema import (
     MAX_FUTURE_SKEW_NS,
     MAX_QUOTE_AGE_NS,
@@ -76,7 +76,7 @@ def evaluate(
     ticks = _with_receive(ticks)
     valid = validate_quotes(ticks)[0]
     has_orders = orders is not None
-    layout = plan_layout(ticks, bits, ("arrival", "_rank") if has_orders else ("arrival",))
+    layout = plan_layout(axis(ticks, orders), bits, ("arrival", "_rank") if has_orders else ("arrival",))
     rows = valid.withColumn("mid", q.mid_price())
     scans = sequence_scan()
     if has_orders:
@@ -128,7 +128,7 @@ def raw_signals(
     """
     check_policies(policies)
     has_orders = orders is not None
-    layout = plan_layout(ticks, bits, ("arrival", "_rank") if has_orders else ("arrival",))
+    layout = plan_layout(axis(ticks, orders), bits, ("arrival", "_rank") if has_orders else ("arrival",))
     rows = ticks.where(lenient_valid()).withColumn("mid", q.mid_price())
     if has_orders:
         rows = layout.start(with_orders(rows, orders))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import orders as o
 from tidegate.functions import quotes as q
 from tidegate.operators.debounce import passing
-from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, plan_layout, running
+from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, axis, plan_layout, running
 from tidegate.schema import RISK_EVENT_TYPE, STOP, TAKE_PROFIT
 
 _ORDER_FIELDS = [
@@ -99,7 +99,7 @@ def orders_in_force(
     gated: DataFrame, orders: DataFrame, bits: int | str | None = AUTO
 ) -> DataFrame:
     """Add `_order`, the order in force at each quote (null where there is none)."""
-    layout = plan_layout(gated, bits, ("arrival", "_rank"))
+    layout = plan_layout(axis(gated, orders), bits, ("arrival", "_rank"))
     rows = running(layout.assign(with_orders(gated, orders)), layout, order_scan())
     return rows.where(F.col("_rank") == 1).drop("_rank", "_registered", BUCKET)
 
@@ -154,7 +154,7 @@ def limit_marketable(
     triggers join the quote stream as rows, so each quote meets one state, never a pair
     per earlier trigger.
     """
-    layout = plan_layout(quotes, bits, ("arrival", "_rank"))
+    layout = plan_layout(axis(quotes, orders), bits, ("arrival", "_rank"))
     none = F.lit(None).cast("double")
     registered = orders.select(
         "symbol",

@@ -28,10 +28,11 @@ from tidegate.session import cut, cut_arranged
 
 BUCKET = "_bucket"
 CELL_BITS = 14  # intended rows of the busiest key in one bucket
-MAX_BITS = 20  # bound on the rows of a bucket, and of a table taken as one bucket
+MAX_BITS = 20  # of a bucket of a densely numbered table, all keys together
+ONE_BUCKET_ROWS = 2**17  # a table of so many rows is one bucket per key; both plans agree
 DEFAULT_BITS = 16
 PARTITION_ROWS = 4_000_000  # intended rows of one shuffle partition
-DEFAULT_BITS = 16
+SHARES = 100  # of the rows, whose densest one sets the bucket size
 AUTO = "auto"
 
 
@@ -92,14 +93,14 @@ class Layout:
 
 
 def bucket_bits(rows: int, busiest: int, extent: int) -> int | None:
-    """Bucket size for a table of `rows`, `busiest` of them with one key, whose order
-    column spans `extent` positions; None if one bucket per key will do.
+    """Bucket size for a table of `rows`, `busiest` of them with one key, which would span
+    `extent` positions if all were as dense as the densest; None if one bucket will do.
 
     Buckets are wide enough that carried values stay few against the rows, and narrow
     enough that the busiest key has about 2**CELL_BITS rows in one.  All keys together
     have at most 2**MAX_BITS rows in a bucket of a densely numbered table.
     """
-    if rows <= 2**MAX_BITS:
+    if rows <= ONE_BUCKET_ROWS:
         return None
     cap = MAX_BITS + max(0, math.floor(math.log2(extent / rows)))
     return max(CELL_BITS, min(cap, CELL_BITS + round(math.log2(extent / busiest))))
@@ -115,16 +116,32 @@ def plan_layout(
     if bits != AUTO:
         return Layout(keys, order, bits)
     place = order[0]
-    per_key = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")
-    )
-    low, high, busiest, total = per_key.agg(
-        F.min("low"), F.max("high"), F.max("n"), F.sum("n")
-    ).first()
-    if low is None:
+    busiest, total = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if not total:
         return Layout(keys, order, None)
+    if total <= ONE_BUCKET_ROWS:
+        return Layout(keys, order, None, 1)
+    shares = [i / SHARES for i in range(SHARES + 1)]
+    ends = df.agg(F.percentile_approx(place, shares, 100 * SHARES)).first()[0]
     parts = math.ceil(total / PARTITION_ROWS)
-    return Layout(keys, order, bucket_bits(total, busiest, high - low + 1), parts)
+    return Layout(keys, order, bucket_bits(total, busiest, dense_extent(ends, total)), parts)
+
+
+def axis(quotes: DataFrame, orders: DataFrame | None) -> DataFrame:
+    """Positions that quotes and registrations take; both fill the buckets."""
+    rows = quotes.select("symbol", "arrival")
+    if orders is None:
+        return rows
+    return rows.unionAll(orders.select("symbol", F.col("registered_arrival").alias("arrival")))
+
+
+def dense_extent(ends: list[int], rows: int) -> int:
+    """Positions that all rows would span at the density of their densest share.
+
+    Few far-off positions or long pauses so leave the bucket size alone: they make buckets
+    that hold few rows, not buckets that hold most of the table.
+    """
+    return max(rows, (len(ends) - 1) * min(b - a for a, b in zip(ends, ends[1:])))
 
 
 @dataclass(frozen=True)
