@@ -29,8 +29,21 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == levenshtein(a, b)
 
 
+def test_alike():
+    rng = random.Random(2)
+    for _ in range(600):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 30)))
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            b[rng.randrange(len(b) + 1) :][:1] = []
+            b.insert(rng.randrange(len(b) + 1), rng.choice("ab "))
+        b = "".join(b)
+        wanted = levenshtein(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        assert line_dedup.alike(a, b, 0.8) == wanted
+
+
 def plain_simhash(line):
-    hashes = [int(h) for h in word_hashes([line])[0]]
+    hashes = {int(h) for h in word_hashes([line])[0]}
     return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 

@@ -176,27 +176,6 @@ def arranged(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-class Forest:
-    """Disjoint sets over 0..n-1 whose roots are their smallest members."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.parent[max(a, b)] = min(a, b)
-
-    def roots(self) -> list[int]:
-        return [self.root(x) for x in range(len(self.parent))]
-
-
 def merged(n: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Smallest reachable number for each of 0..n-1, given links between first and second."""
     label = np.arange(n)
