@@ -272,3 +272,16 @@ def test_policy_rules():
     for wrong in ({"base_ns": -1}, {"base_ns": 5, "max_ns": 4}, {"stress_bps": 0.0}, {"stress_bps": INF}):
         with pytest.raises(ValueError):
             Policy("p", **wrong)
+
+
+def test_raw_signals_set_aside_backward_times(spark):
+    times = [1000, 500, 600, 1100, 1200]
+    rows = [("X", i, t, 99.0, 101.0, i, None) for i, t in enumerate(times)]
+    stream = spark.createDataFrame(rows, ARRIVAL_SCHEMA)
+    policy = Policy("p", 100, 100, 1e9)
+    for bits in (None, 1):
+        found = raw_signals(stream, None, [policy], bits).orderBy("arrival").collect()
+        assert [r._accepted_0 for r in found] == [True, False, False, True, True]
+        assert [r.gate_reason == "backwards_timestamp" for r in found] == [False, True, True, False, False]
+    with pytest.raises(Exception, match="must not go back"):
+        raw_signals(stream, None, [policy], on_backwards="fail").collect()

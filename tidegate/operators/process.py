@@ -9,8 +9,9 @@ from tidegate.functions import quotes as q
 from tidegate.operators.debounce import decide, explode_policies
 from tidegate.operators.quality import lenient_valid, mark_gate, sequence_scan, validate_quotes
 from tidegate.operators.risk import mark_hits, order_scan, with_orders
-from tidegate.operators.scan import AUTO, BUCKET, Layout, axis, plan_layout, running
+from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, axis, plan_layout, running
 from tidegate.schema import (
+    BACKWARDS,
     MAX_FUTURE_SKEW_NS,
     MAX_QUOTE_AGE_NS,
     PASS,
@@ -121,20 +122,31 @@ def raw_signals(
     policies: list[Policy],
     bits: int | str | None = AUTO,
     keep: list[str] | None = None,
+    on_backwards: str = "flag",
 ) -> DataFrame:
     """Signals without the gate: every usable quote counts as passing.
 
-    Input must be ordered in time per symbol (see `monotonic_guard`).
+    A quote older than an earlier one of its symbol changes nothing and gives no signal;
+    its `gate_reason` is BACKWARDS.  With `on_backwards="fail"` it ends the job.
     """
     check_policies(policies)
+    if on_backwards not in ("flag", "fail"):
+        raise ValueError("on_backwards must be 'flag' or 'fail'")
     has_orders = orders is not None
     layout = plan_layout(axis(ticks, orders), bits, ("arrival", "_rank") if has_orders else ("arrival",))
     rows = ticks.where(lenient_valid()).withColumn("mid", q.mid_price())
+    scans = {"_latest": Running("max", F.col("timestamp_ns"))}
+    if has_orders:
+        rows = with_orders(rows, orders)
+        scans.update(order_scan())
+    rows = running(layout.start(rows), layout, scans)
     if has_orders:
-        rows = layout.start(with_orders(rows, orders))
-        rows = running(rows, layout, order_scan())
         rows = rows.where(F.col("_rank") == 1).drop("_registered")
+    late = F.coalesce(F.col("timestamp_ns") < F.col("_latest"), F.lit(False))
+    if on_backwards == "fail":
+        message = F.concat(F.lit("timestamps must not go back for symbol "), F.col("symbol"))
+        mark = F.raise_error(message).cast("string")
     else:
-        rows = layout.start(rows)
-    rows = rows.withColumn("gate_reason", F.lit(PASS))
+        mark = F.lit(BACKWARDS)
+    rows = rows.withColumn("gate_reason", F.when(late, mark).otherwise(PASS)).drop("_latest")
     return _signals(rows, policies, layout, has_orders, keep)

@@ -546,7 +546,23 @@ _RAW = """SELECT ticks, invalid_ticks, least(ticks // 10, 10000) AS warmup_ticks
 @query("raw_pipeline", _RAW)
 def raw_pipeline(spark, sf):
     stream = ev.clean_ticks(spark, sf).withColumn("arrival", F.col("sequence"))
-    return experiment.raw_pipeline(stream, ev.events_orders(spark), DYNAMIC, SMALL_BUCKETS)
+    return experiment.raw_pipeline(stream, ev.events_orders(spark), DYNAMIC, SMALL_BUCKETS).drop("backwards_ticks")
+
+
+@query("raw_pipeline_guarded", """
+    SELECT count(*) AS ticks, (SELECT count(*) FROM ticks) - (SELECT count(*) FROM guard_gated) AS invalid_ticks,
+           (SELECT count(*) FROM guard_gated WHERE gate_reason <> 'pass') AS backwards_ticks,
+           (SELECT count(*) FROM guard_chain WHERE policy = 'dynamic') AS signals_accepted,
+           (SELECT count(*) FROM guard_gated WHERE gate_reason = 'pass')
+               - (SELECT count(*) FROM guard_chain WHERE policy = 'dynamic') AS signals_debounced,
+           (SELECT count(*) FROM guard_hits WHERE nth = 1 AND kind = 'stop_triggered') AS stop_triggers
+    FROM ticks""")
+def raw_pipeline_guarded(spark, sf):
+    """The ungated pipeline on the faulty stream, where some quotes go back in time."""
+    found = experiment.raw_pipeline(ticks(spark, sf), ev.events_orders(spark), DYNAMIC, SMALL_BUCKETS)
+    return found.select(
+        "ticks", "invalid_ticks", "backwards_ticks", "signals_accepted", "signals_debounced", "stop_triggers"
+    )
 
 
 # --- grid -------------------------------------------------------------------------

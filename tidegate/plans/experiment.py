@@ -15,6 +15,7 @@ from tidegate.operators.process import evaluate, raw_signals
 from tidegate.operators.quality import lenient_valid
 from tidegate.operators.scan import AUTO
 from tidegate.schema import (
+    BACKWARDS,
     MAX_FUTURE_SKEW_NS,
     MAX_QUOTE_AGE_NS,
     ORDER_SCHEMA,
@@ -57,14 +58,17 @@ def raw_pipeline(
     orders: DataFrame | None,
     policy: Policy = RAW_POLICY,
     bits: int | str | None = AUTO,
+    on_backwards: str = "flag",
 ) -> DataFrame:
-    """Counts of the ungated pipeline; unusable quotes are counted and skipped."""
-    rows = raw_signals(ticks, orders, [policy], bits, ["bid", "ask"])
+    """Counts of the ungated pipeline; unusable quotes and such that go back in time are
+    counted and skipped, or the latter end the job with `on_backwards="fail"`."""
+    rows = raw_signals(ticks, orders, [policy], bits, ["bid", "ask"], on_backwards)
     event = F.col("risk_event")
     fillable = o.limit_reached(F.col("risk_side"), q.mid_price(), event["limit_price"])
     signals = rows.agg(
         F.count_if(F.col("_accepted_0")).alias("signals_accepted"),
         F.count_if(passing() & ~F.col("_accepted_0")).alias("signals_debounced"),
+        F.count_if(F.col("gate_reason") == BACKWARDS).alias("backwards_ticks"),
         F.count_if(event["kind"] == STOP).alias("stop_triggers"),
         F.coalesce(F.bool_or((event["kind"] == STOP) & fillable), F.lit(False)).alias(
             "stop_limit_marketable_at_gap"

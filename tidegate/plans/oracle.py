@@ -204,6 +204,17 @@ BLOCKS["raw_gated"] = """
 for _name in _WALK[1:]:
     BLOCKS[f"raw_{_name}"] = re.sub(rf"\b({'|'.join(_WALK)})\b", r"raw_\1", BLOCKS[_name])
 
+# And over the faulty stream, where a quote that goes back in time is set aside.
+BLOCKS["guard_gated"] = """
+    SELECT *, CASE WHEN timestamp_ns < max(timestamp_ns) OVER (
+                   PARTITION BY symbol ORDER BY arrival
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+              THEN 'backwards_timestamp' ELSE 'pass' END AS gate_reason
+    FROM (SELECT arrival, symbol, sequence, timestamp_ns, bid, ask, (bid + ask) / 2.0::DOUBLE AS mid
+          FROM ticks WHERE isfinite(bid) AND isfinite(ask) AND bid > 0 AND ask >= bid)"""
+for _name in _WALK[1:]:
+    BLOCKS[f"guard_{_name}"] = re.sub(rf"\b({'|'.join(_WALK)})\b", r"guard_\1", BLOCKS[_name])
+
 # The order in which blocks must be defined.
 _ORDER = list(BLOCKS)
 

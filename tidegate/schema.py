@@ -68,6 +68,9 @@ FUTURE = "future_quote"
 ACCEPTED = "accepted"
 DEBOUNCED = "debounced"
 
+# Mark of a quote that goes back in time where no gate runs.
+BACKWARDS = "backwards_timestamp"
+
 # Kinds of risk event.
 STOP = "stop_triggered"
 TAKE_PROFIT = "take_profit_triggered"
