@@ -8,7 +8,7 @@ from tidegate.operators.process import evaluate
 from tidegate.operators.quality import mark_gate, sequence_scan
 from tidegate.operators.scan import Layout, axis, bucket_bits, plan_layout, running
 from tidegate.plans import catalog, experiment
-from tidegate.schema import REPLAY_POLICIES
+from tidegate.schema import MAX_POLICIES, REPLAY_POLICIES, Policy
 from tidegate.sources import replay
 
 
@@ -37,6 +37,14 @@ def test_replay_counts(spark, bits):
     assert counts == [(99_427, 0, 199), (9_953, 89_474, 20), (9_934, 89_493, 0)]
 
 
+def test_more_policies_than_one_plan_holds(spark):
+    policies = [Policy(f"p{i}", 100_000 + i, 200_000, 5.0) for i in range(MAX_POLICIES + 2)]
+    stream = replay_stream(spark, 2_000)
+    report = {r.policy: r for r in experiment.compare_policies(stream, None, policies).collect()}
+    one = experiment.compare_policies(stream, None, policies[-1:]).first()
+    assert len(report) == len(policies) and report[one.policy] == one
+
+
 def test_raw_pipeline_count(spark):
     row = experiment.raw_pipeline(
         replay.raw_replay(spark, 1_000_000), experiment.replay_orders(spark), bits=15

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from tidegate.operators.scan import AUTO
 from tidegate.schema import (
     BACKWARDS,
     MAX_FUTURE_SKEW_NS,
+    MAX_POLICIES,
     MAX_QUOTE_AGE_NS,
     ORDER_SCHEMA,
     REPLAY_POLICIES,
@@ -47,10 +50,19 @@ def compare_policies(
     probe_mid: float | None = None,
     bits: int | str | None = AUTO,
 ) -> DataFrame:
-    """One report row per policy over the same stream."""
+    """One report row per policy over the same stream.
+
+    Policies are columns of a plan, MAX_POLICIES at a time; more of them take more passes.
+    """
+    if len({p.name for p in policies}) != len(policies):
+        raise ValueError("policy names must be unique")
     keep = ["sequence", *(by or [])]
-    rows = evaluate(ticks, orders, policies, max_age_ns, max_skew_ns, bits, keep)
-    return policy_metrics(rows, policies, window, by, probe_mid)
+    reports = []
+    for at in range(0, max(1, len(policies)), MAX_POLICIES):
+        some = policies[at : at + MAX_POLICIES]
+        rows = evaluate(ticks, orders, some, max_age_ns, max_skew_ns, bits, keep)
+        reports.append(policy_metrics(rows, some, window, by, probe_mid))
+    return reduce(DataFrame.unionByName, reports)
 
 
 def raw_pipeline(
