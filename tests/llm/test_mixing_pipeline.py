@@ -94,8 +94,6 @@ def test_stages_take_what_the_one_before_kept(spark):
         kept = ids
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {p.doc_id for p in pieces} == kept
-    again = corpus_pipeline.run(spark, SF).collect()
-    assert {(p.doc_id, p.start, p.length, p.ids_crc32) for p in again} == {(p.doc_id, p.start, p.length, p.ids_crc32) for p in pieces}
 
 
 def test_stages_with_no_documents(spark):
