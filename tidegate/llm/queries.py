@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from tidegate.llm import (
     exact_dedup,
     licenses,
-    line_dedup,
     mixing,
     ngram_join,
     packing,
     sanitise,
+    similar_lines,
     token_files,
     toxicity,
     vectors,
@@ -73,7 +73,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, with the line that is kept for it."""
-    return line_dedup.line_groups(table(spark, sf_dir, "documents"))
+    return similar_lines.similar_lines(table(spark, sf_dir, "documents"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
