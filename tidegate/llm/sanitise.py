@@ -2,20 +2,21 @@
 
 Patterns find protected entities: email addresses, IPv4 addresses, card numbers and phone
 numbers.  A reader who knows the corpus can also be led to an entity by words that stand
-near it and nearly nowhere else.  How far a term reveals an entity is its pointwise mutual
+in its documents and nearly nowhere else.  How far a term reveals an entity is its pointwise mutual
 information with it, over documents, as a share of the entity's own information:
 
     disclosure(t, c) = log(n(t,c) * N / (n(t) * n(c))) / log(N / n(c))
 
-It is 1 if the term occurs only near the entity, and 0 if it is independent of it.  n(t,c)
-counts documents where the term stands within CONTEXT characters of the entity, n(c) and
-n(t) documents that hold the entity and the term, over the whole corpus of N documents.
-A term seen with an entity in SUPPORT documents or more is removed near it from a
-disclosure of REMOVE on, and generalised to its kind from GENERALISE on.
+It is 1 if the term occurs only with the entity, and 0 if it is independent of it.  n(t,c)
+counts documents that hold both, the term outside of patterns; n(c) and n(t) documents that
+hold the entity and the term, over the whole corpus of N documents.  A term seen with an
+entity in SUPPORT documents or more is removed from a disclosure of REMOVE on, and
+generalised to its kind from GENERALISE on, at every place in each text with the entity.
 
-All is DataFrame and SQL functions: documents are scanned twice, once for the patterns and
-their contexts, once to count the words' documents.  Counts are pre-aggregated, and contexts are bounded
-by their width, so no task depends on how often an entity or a term occurs.
+All is DataFrame and SQL functions: documents are scanned twice, once for the patterns,
+once to count the words' documents.  Counts are pre-aggregated, and only entities seen in
+SUPPORT documents are paired with words, so no task depends on how often an entity or a
+term occurs.
 
 Edge cases: null and empty texts have no spans.  Rows with equal doc_id are documents of
 their own, and so are equal texts.  An empty table gives no rows; extra columns are left
@@ -27,9 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import stored
+from tidegate.llm.common import few, stored
 
-CONTEXT = 80
 SUPPORT = 2
 REMOVE = 0.9
 GENERALISE = 0.6
@@ -125,71 +125,85 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Text on both sides of a span, up to CONTEXT characters, with its place."""
-    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT + 1))
-    return F.struct(begin.alias("begin"), left.alias("left"), right.alias("right"))
-
-
-def _words(found: DataFrame) -> DataFrame:
-    """Whole words near an entity: uid, entity, term, start, end; none inside a span."""
-    mention = found.where("size(base) > 0").select("uid", "base", F.explode("near").alias("x"))
-    mention = mention.select("uid", "base", F.col("x.entity").alias("entity"), "x.end", "x.context.*")
-    sides = []
-    for side, origin in (("left", F.col("begin")), ("right", F.col("end"))):
-        rows = mention.withColumn("w", F.explode(placed(F.col(side), WORD)))
-        # The word at the far edge may be cut off, unless the text itself ends there.
-        if side == "left":
-            whole = (F.col("w.start") > 0) | (F.col("begin") == 0)
-        else:
-            whole = F.col("w.end") <= CONTEXT
-        rows = rows.where(whole).select(
-            "uid", "base", "entity", F.lower("w.value").alias("term"),
-            (origin + F.col("w.start")).alias("start"), (origin + F.col("w.end")).alias("end"),
+def _outside(text: Column, base: Column) -> Column:
+    """Words that share no character with a span, in lower case, each once."""
+    whole = F.concat(base, F.array(F.struct(
+        F.lit(None).cast("string").alias("kind"), F.lit(0).alias("rank"), F.length(text).alias("start"),
+        F.length(text).alias("end"), F.lit(None).cast("string").alias("value"),
+    )))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(held: Column, x: Column) -> Column:
+        piece = F.substring(text, held["at"] + 1, F.greatest(x["start"] - held["at"], F.lit(0)))
+        # A word that a span cuts is no word of its own on either side.
+        cut = (held["at"] > 0) & F.substring(text, held["at"], F.lit(1)).rlike(WORD)
+        piece = F.when(cut, F.regexp_replace(piece, rf"\A{WORD}", "")).otherwise(piece)
+        cut = F.substring(text, x["start"] + 1, F.lit(1)).rlike(WORD) & (x["start"] < F.length(text))
+        piece = F.when(cut, F.regexp_replace(piece, rf"(?<![\p{{L}}\p{{N}}]){WORD}\z", "")).otherwise(piece)
+        return F.struct(
+            F.greatest(held["at"], x["end"]).alias("at"), F.concat(held["out"], F.array(piece)).alias("out")
+        )
+
+    pieces = F.aggregate(whole, start, step, lambda held: held["out"])
+    words = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(WORD), F.lit(0))))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _marked(text: Column, base: Column, terms: Column, remove: float) -> Column:
+    """Spans of all places of the terms (a map to their disclosures) outside of other spans."""
+    both = F.arrays_zip(
+        F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word")
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def step(held: Column, x: Column) -> Column:
+        begin = held["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["word"]), F.lit(0))
+        term = F.lower(x["word"])
+        disclosure = F.try_element_at(terms, term)
+        removed = disclosure >= remove
+        span = F.struct(
+            F.when(removed, TERM_KINDS[0]).otherwise(TERM_KINDS[1]).alias("kind"),
+            F.when(removed, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
+            begin.alias("start"), end.alias("end"), term.alias("value"),
         )
-        free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-        sides.append(rows.where(free).drop("base"))
-    return sides[0].unionAll(sides[1])
+        held_out = F.exists(base, lambda b: (b["start"] < end) & (begin < b["end"]))
+        out = F.when(disclosure.isNotNull() & ~held_out, F.concat(held["out"], F.array(span))).otherwise(held["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    return F.aggregate(both, start, step, lambda held: held["out"])
 
 
 def disclosing(
-    found: DataFrame,
-    texts: DataFrame,
-    support: int = SUPPORT,
-    remove: float = REMOVE,
-    generalise: float = GENERALISE,
+    found: DataFrame, texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
 ) -> DataFrame:
-    """Spans of disclosing terms: uid, kind, rank, start, end, value."""
-    near = stored(_words(found), "near")
+    """Disclosing terms of the texts: uid, terms (a map from each to its disclosure)."""
     n_all = F.lit(texts.count())
-    n_entity = near.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    pairs = near.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_tc"))
+    holding = found.where("text is not null")
+    own = holding.select("uid", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    n_entity = own.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
+    n_entity = stored(n_entity.where(F.col("n_c") < n_all), "entities")
+    # Only these can be seen with a term often enough.
+    chosen = own.join(few(n_entity), "entity").groupBy("uid").agg(F.collect_set("entity").alias("entities"))
+    chosen = stored(chosen, "chosen")
+    words = holding.join(few(chosen), "uid").select("uid", "entities", _outside(F.col("text"), F.col("base")).alias("words"))
+    seen = words.select("uid", "words", F.explode("entities").alias("entity"))
+    seen = stored(seen.select("uid", "entity", F.explode("words").alias("term")), "seen")
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_tc"))
     pairs = stored(pairs.where(F.col("n_tc") >= support), "pairs")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    n_term = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    own = F.log(n_all / F.col("n_c"))
+    each = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
+    n_term = texts.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    entity = F.log(n_all / F.col("n_c"))
     shared = F.log(F.col("n_tc") * n_all / (F.col("n_t") * F.col("n_c")))
     judged = (
         pairs.join(n_entity, "entity").join(n_term, "term")
-        .where(F.col("n_c") < n_all)
-        .select("entity", "term", (shared / own).alias("disclosure"))
+        .select("entity", "term", (shared / entity).alias("disclosure"))
         .where(F.col("disclosure") >= generalise)
     )
     judged = stored(judged, "judged")
-    places = near.join(judged, ["entity", "term"]).groupBy("uid", "start", "end").agg(
-        F.max("disclosure").alias("disclosure"), F.min("term").alias("value")
-    )
-    removed = F.col("disclosure") >= remove
-    return places.select(
-        "uid",
-        F.when(removed, TERM_KINDS[0]).otherwise(TERM_KINDS[1]).alias("kind"),
-        F.when(removed, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
-        "start",
-        "end",
-        "value",
-    )
+    told = seen.join(few(judged), ["entity", "term"]).groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure"))
+    # Bounded by a text's words.
+    return told.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
 
 
 def find_personal(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
@@ -203,20 +217,16 @@ def _rows(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
     )
 
 
-def _find(texts: DataFrame, **settings) -> DataFrame:
+def _find(texts: DataFrame, remove: float = REMOVE, **settings) -> DataFrame:
     carried = [c for c in ("uid",) if c in texts.columns]
     rows = texts if carried else texts.withColumn("uid", F.monotonically_increasing_id())
     rows = rows.select("uid", "doc_id", "text", base_spans(F.col("text")).alias("base"))
-    near = F.transform(
-        "base",
-        lambda b: F.struct(_entity(b).alias("entity"), b["end"].alias("end"), _near(F.col("text"), b).alias("context")),
-    )
-    found = stored(rows.select("uid", "doc_id", "base", near.alias("near")), "found")
-    terms = disclosing(found, texts, **settings)
-    span = F.struct("kind", F.col("rank").cast("int").alias("rank"), "start", "end", "value")
-    by_row = terms.groupBy("uid").agg(F.collect_list(span).alias("terms"))  # bounded by a text's contexts
-    both = found.select("uid", "doc_id", "base").join(by_row, "uid", "left")
-    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(_in_order(F.concat("base", "terms")))
+    rows = rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
+    found = stored(rows, "found")
+    terms = stored(disclosing(found, texts, **settings), "terms")
+    both = found.join(few(terms), "uid", "left")
+    marked = F.concat("base", _marked(F.col("text"), F.col("base"), F.col("terms"), remove))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(_in_order(marked))
     return both.select("uid", "doc_id", "base", spans.alias("spans"))
 
 
