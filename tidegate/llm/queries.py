@@ -17,6 +17,7 @@ from tidegate.llm import (
     token_files,
     toxicity,
     vectors,
+    whitening,
 )
 from tidegate.llm.common import table
 from tidegate.session import new_path
@@ -91,6 +92,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_vectors": op10_vectors,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLES = {
