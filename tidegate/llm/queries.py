@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import (
+    conversations,
     exact_dedup,
     licenses,
     mixing,
@@ -97,6 +98,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after the given damage."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.of_every(rows, conversations.repaired(conversations.damaged(rows)))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
@@ -109,6 +116,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_vectors": op10_vectors,
     "op11_whitening": op11_whitening,
+    "op12_repair": op12_repair,
 }
 
 ORACLES = {
