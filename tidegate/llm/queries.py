@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import (
     conversations,
     exact_dedup,
+    language_model,
     licenses,
     mixing,
     ngram_join,
@@ -104,6 +105,13 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.of_every(rows, conversations.repaired(conversations.damaged(rows)))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, from a model of those outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = language_model.held_out(F.col("doc_id")).alias("held_out")
+    return language_model.scored(documents.select("doc_id", "text", held_out))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
@@ -117,6 +125,7 @@ QUERIES = {
     "op10_vectors": op10_vectors,
     "op11_whitening": op11_whitening,
     "op12_repair": op12_repair,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLES = {
