@@ -127,6 +127,7 @@ def test_query(spark):
     for r in got:
         want = expected[r.doc_id]
         assert tuple(r)[:5] == want[:5] and r.base_score == pytest.approx(want[5], rel=1e-9)
-        assert r.score == pytest.approx(want[6], rel=0.02)  # false hits raise a few counts
+        assert r.score >= want[6] - 1e-6  # a false hit can only raise a count
+    assert sum(r.score for r in got) == pytest.approx(sum(r[6] for r in expected.values()), rel=0.02)
     unseen = [r for r in got if r.held_out]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)

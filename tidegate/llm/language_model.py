@@ -41,8 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegate.llm.common import stored
 
-PROBE_BITS = 5  # set per stored pair
-SCORED = 2**20  # tokens that a task scores at once
+PROBE_BITS = 6  # set per stored pair
+SCORED = 2**17  # tokens that a task scores at once
+CHUNKS = 2  # intended per shuffle partition
 KEY_BITS = 48
 FOLDS, HELD_OUT = 7, 2
 
@@ -55,10 +56,10 @@ _CHUNK_SHIFT = 33
 @dataclass(frozen=True)
 class Settings:
     prior: float = 500.0  # weight of the single-token probability
-    bits: int = 10  # of the filter per stored pair
+    bits: int = 12  # of the filter per stored pair
     chunk_bytes: int = 16 << 20  # of text whose words are counted together
     bucket_pairs: int = 2**21  # intended neighbours per part of the filter
-    slice_bytes: int = 128 << 20  # of the filter, broadcast at once
+    slice_bytes: int = 64 << 20  # of the filter, broadcast at once
 
 
 def held_out(doc_id: Column) -> Column:
@@ -83,7 +84,8 @@ class Words(dict):
         return np.array(found, dtype=np.int32)
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), dtype=np.uint64, count=len(self))
+        """What Spark's xxhash64 gives for the words."""
+        return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self), dtype=np.uint64, count=len(self))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -204,7 +206,6 @@ def tokenised(documents: DataFrame, chunk_bytes: int) -> DataFrame:
             T.StructField("chunk", T.LongType()),
             T.StructField("at", T.IntegerType()),
             T.StructField("word", T.BinaryType()),
-            T.StructField("hash", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("doc_id", id_type),
             T.StructField("held_out", T.BooleanType()),
@@ -229,7 +230,6 @@ def tokenised(documents: DataFrame, chunk_bytes: int) -> DataFrame:
                 chunk=pa.array(np.full(len(words), task + number)),
                 at=pa.array(np.arange(len(words), dtype=np.int32)),
                 word=pa.array(list(words), pa.binary()),
-                hash=pa.array(words.hashes().view(np.int64)),
                 n=pa.array(counts.astype(np.int64)),
                 kind=pa.array(np.zeros(len(words), dtype=np.int32)),
             )
@@ -253,11 +253,11 @@ def _counted_words(chunks: DataFrame) -> DataFrame:
     """Words of each chunk with their count `c` in all training documents; `fresh` marks one
     row per word."""
     over = Window.partitionBy("word")
-    words = chunks.where("kind = 0").select("chunk", "at", "word", "hash", "n")
+    words = chunks.where("kind = 0").select("chunk", "at", "word", "n")
     found = words.select(
         "chunk",
         "at",
-        "hash",
+        F.xxhash64("word").alias("hash"),
         "n",
         F.sum("n").over(over).alias("c"),
         (F.col("chunk") == F.min("chunk").over(over)).alias("fresh"),
@@ -339,8 +339,10 @@ def scored(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     documents = documents.select("doc_id", "text", "held_out")
     chunks = tokenised(documents, settings.chunk_bytes)
     words = _counted_words(chunks)
-    train, known = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("fresh") & (F.col("c") > 0))
+    train, known, total = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.count_if(F.col("fresh") & (F.col("c") > 0)),
+        F.count_if(F.col("at") == 0),
     ).first()
     bits = max(0, -(-train // settings.bucket_pairs) - 1).bit_length()
     parts = filter_parts(pair_counts(documents, bits, settings.chunk_bytes), settings.bits)
@@ -348,7 +350,8 @@ def scored(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = words.select("chunk", F.lit(0).alias("kind"), "at", "c", "hash").unionByName(
         chunks.where("kind = 1").select("chunk", "kind", "at", "doc_id", "held_out", "tokens"), allowMissingColumns=True
     )
-    arranged = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
+    spread = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // CHUNKS)
+    arranged = rows.repartition(spread, "chunk").sortWithinPartitions("chunk", "kind", "at")
     most = parts.agg(F.max("words")).first()[0] or 1
     step = max(1, settings.slice_bytes // (8 * most))  # parts per slice
     found = None
