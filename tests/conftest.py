@@ -16,6 +16,9 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.compress", "true")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        .config("spark.sql.execution.useObjectHashAggregateExec", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

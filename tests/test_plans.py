@@ -2,11 +2,14 @@
 
 import pytest
 
+from pyspark.sql import DataFrameWriter
+
 from tidegate.functions.quotes import sample_stride, warmup_rows
-from tidegate.operators.metrics import EventWindow, policy_metrics
+from tidegate.operators import debounce, scan
+from tidegate.operators.metrics import EventWindow
 from tidegate.operators.process import evaluate
-from tidegate.operators.quality import mark_gate, sequence_scan
-from tidegate.operators.scan import Layout, axis, bucket_bits, plan_layout, running
+from tidegate.operators.quality import arranged_gate, mark_gate, sequence_scan
+from tidegate.operators.scan import Layout, bucket_bits, plan_layout, running
 from tidegate.plans import catalog, experiment
 from tidegate.schema import MAX_POLICIES, REPLAY_POLICIES, Policy
 from tidegate.sources import replay
@@ -89,23 +92,46 @@ def test_scans_over_arranged_rows_shuffle_only_carried_values(spark):
     plan = executed(gated)
     assert plan.count("ShuffledHashJoin") == 2 and "Broadcast" not in plan
     # One exchange per carried table, none for the rows, which are not sorted again either.
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in plan
     assert "Sort [" not in plan and "SortMergeJoin" not in plan
 
 
-def test_one_shuffle_when_the_table_fits_one_bucket(spark):
-    rows = evaluate(replay_stream(spark, 20_000), None, REPLAY_POLICIES, bits=None)
+def test_one_write_for_all_scans(spark, monkeypatch):
+    """The whole pipeline writes the stream once and reads it where it lies."""
+    written = []
+    save = DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda w, name: written.append(name) or save(w, name))
+    cut_rows = []
+    for module in (scan, debounce):
+        own = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, own=own: cut_rows.append(own(df)) or cut_rows[-1])
+    n = 30_000
+    orders = experiment.replay_orders(spark)
+    rows = evaluate(replay_stream(spark, n), orders, REPLAY_POLICIES, bits=12)
+    assert len(written) == 1
+    # What is checkpointed on the way are rows per bucket, never the stream.
+    assert max(df.count() for df in cut_rows) <= 2 * (2 * n >> 12)
     plan = executed(rows)
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
-    report = executed(policy_metrics(rows, REPLAY_POLICIES))
-    assert report.count("Exchange hashpartitioning") == 1  # the rest is one global count
+    assert "Sort [" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange") == plan.count("ShuffledHashJoin") == 3  # carried values
+
+
+def test_one_table_for_several_operators(spark):
+    stream = arranged_gate(replay_stream(spark, 5_000), bits=10)
+    moved = debounce.with_previous_mid(stream)
+    signals = debounce.debounce(stream, REPLAY_POLICIES[1:])
+    assert moved.count() == 5_051 and signals.count() == 2 * 5_051
+    names = {line.split("spark_catalog.default.")[1].split("[")[0] for df in (moved, signals)
+             for line in executed(df).splitlines() if "FileScan" in line}
+    assert len(names) == 1
 
 
 def test_layout_follows_the_table(spark):
     small = replay_stream(spark, 20_000)
-    assert plan_layout(small).bits is None and plan_layout(small, 7).bits == 7
+    assert plan_layout(small).bits == 14 and plan_layout(small, 7).bits == 7
+    assert plan_layout(small.limit(0)).bits == Layout().bits
     million = 10**6
-    assert bucket_bits(2**17, 2**17, 2**17) is None and bucket_bits(million, million, million) == 14
+    assert bucket_bits(2**17, 2**17, 2**17) == 14 and bucket_bits(million, million, million) == 14
     # One symbol only; a third in one symbol; ten thousand even symbols; sparse numbering.
     assert bucket_bits(10 * million, 10 * million, 10 * million) == 14
     assert bucket_bits(9 * million, 3 * million, 9 * million) == 16
@@ -120,9 +146,6 @@ def test_buckets_stay_bounded_whatever_the_numbering(spark, place):
     layout = plan_layout(rows)
     sizes = layout.assign(rows).groupBy("symbol", "_bucket").count().agg({"count": "max"}).first()[0]
     assert sizes <= 2**15
-    few = rows.where("arrival % 100 = 0")
-    orders = rows.withColumnRenamed("arrival", "registered_arrival")
-    assert plan_layout(few).bits is None and plan_layout(axis(few, orders)).bits is not None
 
 
 def test_scan_reads_only_needed_columns(spark):

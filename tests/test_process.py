@@ -73,7 +73,7 @@ def test_validation(spark):
     assert sum(r.quotes for r in invalid_counts(ticks_df(spark, rows)).collect()) == len(rows)
 
 
-@pytest.mark.parametrize("bits", [None, 0, 1])
+@pytest.mark.parametrize("bits", ["auto", 0, 1])
 @pytest.mark.parametrize(
     "policy, quotes, expected",
     [
@@ -127,7 +127,7 @@ def test_gate_vectors(spark):
 
 def test_monotonic_guard(spark):
     df = ticks_df(spark, [("X", i, ts, *at(100.0)) for i, ts in enumerate([1000, 999, 1100])])
-    for bits in (None, 0):
+    for bits in ("auto", 0):
         flags = monotonic_guard(df, bits=bits).orderBy("arrival").collect()
         assert [r.backwards for r in flags] == [False, True, False]
     with pytest.raises(Exception, match="must not go back"):
@@ -229,7 +229,7 @@ POLICIES = [
 ]
 
 
-@pytest.mark.parametrize("bits", [None, 2, 5])
+@pytest.mark.parametrize("bits", ["auto", 2, 5])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pipeline_equals_plain_loop(spark, seed, bits):
     ticks, orders = random_stream(seed)
@@ -249,7 +249,7 @@ def test_pipeline_equals_plain_loop(spark, seed, bits):
         assert by_policy[p.name] == model.run(ticks, orders, p, 100, 20)
 
 
-@pytest.mark.parametrize("bits", [None, 3])
+@pytest.mark.parametrize("bits", ["auto", 3])
 def test_raw_signals_equal_plain_loop(spark, bits):
     ticks, orders = random_stream(3)
     latest = {}
@@ -279,7 +279,7 @@ def test_raw_signals_set_aside_backward_times(spark):
     rows = [("X", i, t, 99.0, 101.0, i, None) for i, t in enumerate(times)]
     stream = spark.createDataFrame(rows, ARRIVAL_SCHEMA)
     policy = Policy("p", 100, 100, 1e9)
-    for bits in (None, 1):
+    for bits in ("auto", 1):
         found = raw_signals(stream, None, [policy], bits).orderBy("arrival").collect()
         assert [r._accepted_0 for r in found] == [True, False, False, True, True]
         assert [r.gate_reason == "backwards_timestamp" for r in found] == [False, True, True, False, False]

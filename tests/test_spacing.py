@@ -3,8 +3,12 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from tidegate.operators import spacing
+import model
+from tidegate.operators import debounce, spacing
+from tidegate.schema import ARRIVAL_SCHEMA, Policy
 
 
 def plain(ts, base, last, blocked):
@@ -50,3 +54,53 @@ def test_steps_stay_small_on_even_spacing():
     ts = np.arange(0, 100_000, 10, dtype=np.int64)
     upto, exits = spacing.threshold_steps(ts, 100, 200)
     assert len(upto) == 21 and len(set(exits)) == 10
+
+
+def passing_quotes(spark, seed, rows, step, symbols=("hot",)):
+    """Quotes in time order, many of them at one time, with a sharp move now and then."""
+    rng = random.Random(seed)
+    ticks, clock = [], 0
+    for i in range(rows):
+        clock += rng.choice([0, step, step, 2 * step, 5 * step])
+        mid = 100.0 + rng.choice([0, 0, 0, 0, 0.3])
+        ticks.append(dict(symbol=rng.choice(symbols), sequence=i, timestamp_ns=clock, bid=mid, ask=mid, arrival=i, receive_ns=None))
+    return ticks, spark.createDataFrame(ticks, ARRIVAL_SCHEMA).withColumn("gate_reason", F.lit("pass"))
+
+
+LONG = [
+    Policy("short", 3, 40, 1e9),
+    Policy("long", 400, 400, 1e9),
+    Policy("longer", 3_000, 9_000, 20.0),
+    Policy("zero", 0, 700, 20.0),
+]
+
+
+@pytest.mark.parametrize("bits, steps", [(3, 1), (4, 16), (6, 200)])
+def test_signals_carried_through_many_groups(spark, bits, steps):
+    """Quiet periods of many buckets, groups of few steps, two symbols of unlike size."""
+    ticks, quotes = passing_quotes(spark, bits, 900, 2, ("hot", "hot", "cold"))
+    rows = debounce.debounce(quotes, LONG, bits, steps).collect()
+    found = {(r.policy, r.arrival): r.accepted_signal for r in rows}
+    for p in LONG:
+        expected = model.run(ticks, [], p, 0, 0, gate=False)
+        assert {a: found[p.name, a] for a in expected} == {a: e[0] for a, e in expected.items()}
+
+
+def test_carried_bytes_stay_bounded(spark, monkeypatch):
+    """However long the quiet period and hot the symbol, a call gets a bounded number of steps."""
+    seen = []
+    own = debounce.step_table
+
+    def watched(*args):
+        table, most, several = own(*args)
+        size = table.groupBy("symbol", "_policy", "_group").agg(F.sum(F.size("upto")).alias("n"), F.count("*").alias("b"))
+        seen.append((size.agg(F.max("n"), F.max(F.when(F.col("b") > 1, F.col("n")))).first(), most, several))
+        return table, most, several
+
+    monkeypatch.setattr(debounce, "step_table", watched)
+    _, quotes = passing_quotes(spark, 9, 6_000, 10)
+    for base in (20, 5_000, 10**9):
+        debounce.debounce(quotes, [Policy("p", base, base, 1e9)], bits=6, steps_per_call=256).count()
+    for (largest, of_many, *_), most, several in seen:
+        assert most <= 64 and largest <= 256 and (of_many or 0) <= 256
+    assert seen[1][2] and seen[2][2]

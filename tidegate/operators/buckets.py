@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from tidegate.operators.scan import Layout
 from tidegate.operators.spacing import NEVER
 from tidegate.schema import PASS
-from tidegate.session import cut_arranged
 
 ROWS = "_rows"
 _WALKED = ["arrival", "timestamp_ns", "mid", "_passing", "_hit"]
@@ -46,17 +45,22 @@ class Bucket:
         return flags
 
 
-def pack(rows: DataFrame, layout: Layout, hit: Column | None = None) -> DataFrame:
-    """One row per (key, bucket); needs `mid` and `gate_reason`."""
+def pack(
+    rows: DataFrame, layout: Layout, hit: Column | None = None, walked_only: bool = False
+) -> DataFrame:
+    """One row per (key, bucket); needs `mid` and `gate_reason`.
+
+    Rows of an arranged table are packed where they are, so a packed table is not stored but
+    made again by each step that reads it; `walked_only` packs the walked columns alone.
+    """
     rows = rows.withColumns(
         {
             "_passing": F.coalesce(passing(), F.lit(False)),
             "_hit": F.coalesce(F.lit(None) if hit is None else hit, F.lit(NEVER)),
         }
     )
-    fields = [c for c in rows.columns if c not in layout.cells]
-    packed = rows.groupBy(*layout.cells).agg(F.collect_list(F.struct(*fields)).alias(ROWS))
-    return packed if layout.bits is None else cut_arranged(packed)
+    fields = _WALKED if walked_only else [c for c in rows.columns if c not in layout.cells]
+    return rows.groupBy(*layout.cells).agg(F.collect_list(F.struct(*fields)).alias(ROWS))
 
 
 def quotes() -> Column:

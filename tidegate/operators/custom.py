@@ -23,12 +23,15 @@ from tidegate.operators.buckets import (
     quotes,
     unpack,
 )
-from tidegate.operators.debounce import GROUP_BITS, with_previous_mid
-from tidegate.operators.scan import AUTO, BUCKET, Layout, join_carried, plan_layout
+from tidegate.operators.debounce import with_previous_mid
+from tidegate.operators.scan import AUTO, BUCKET, Arranged, Layout, arrange, join_carried
 from tidegate.schema import ACCEPTED, DEBOUNCED
 from tidegate.session import cut
 
 
+GROUP_BITS = 8  # buckets per group when memories are merged
+
+
 class ScanPolicy(Protocol):
     """A rate limit whose memory of many quotes is a short list of floats.
 
@@ -55,7 +58,7 @@ def _with_reason(rows: DataFrame) -> DataFrame:
 
 
 def debounce_by_column(
-    gated: DataFrame, accept: Callable[[], Column], bits: int | str | None = AUTO
+    gated: DataFrame | Arranged, accept: Callable[[], Column], bits: int | str = AUTO
 ) -> DataFrame:
     """Policy given as a column over `mid`, `previous_mid` and `move_bps`."""
     rows = with_previous_mid(gated, bits)
@@ -111,15 +114,13 @@ def _memories(packed: DataFrame, policy: ScanPolicy, layout: Layout) -> DataFram
 
 
 def debounce_by_scan(
-    gated: DataFrame, policy: ScanPolicy, bits: int | str | None = AUTO
+    gated: DataFrame | Arranged, policy: ScanPolicy, bits: int | str = AUTO
 ) -> DataFrame:
     """Policy given as an object; a symbol of any size is cut into buckets."""
-    layout = plan_layout(gated, bits)
-    packed = pack(layout.assign(gated.withColumn("mid", q.mid_price())), layout)
-    if layout.bits is None:
-        packed = packed.withColumn("_before", F.lit(None).cast("array<double>"))
-    else:
-        packed = join_carried(packed, _memories(packed, policy, layout), layout)
+    stream = arrange(gated, bits).withColumns({"mid": q.mid_price()})
+    layout = stream.layout
+    memories = _memories(pack(stream.rows, layout, walked_only=True), policy, layout)
+    packed = join_carried(pack(stream.rows, layout), memories, layout)
 
     @F.arrow_udf(flags_type(["accepted_signal"]))
     def flags(packed: pa.Array, memories: pa.Array) -> pa.Array:

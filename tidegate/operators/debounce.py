@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +27,10 @@ from tidegate.operators.buckets import (
 from tidegate.operators.scan import (
     AUTO,
     BUCKET,
+    Arranged,
     Layout,
     Running,
+    arrange,
     join_carried,
     plan_layout,
     running,
@@ -34,28 +38,30 @@ from tidegate.operators.scan import (
 from tidegate.schema import ACCEPTED, DEBOUNCED, Policy, check_policies
 from tidegate.session import cut
 
-GROUP_BITS = 8  # buckets per group when step functions are composed
+STEPS = 2**15  # steps of bucket functions that one call composes, or those of one bucket
+MOST_GROUP_BITS = 16
 
 
-def with_previous_mid(gated: DataFrame, bits: int | str | None = AUTO) -> DataFrame:
+def with_previous_mid(gated: DataFrame | Arranged, bits: int | str = AUTO) -> DataFrame:
     """Add the mid of the previous passing quote and the move against it."""
-    layout = plan_layout(gated, bits)
-    rows = _previous_mid(layout.assign(gated.withColumn("mid", q.mid_price())), layout)
-    return rows.withColumn("move_bps", q.move_bps(F.col("mid"), F.col("previous_mid"))).drop(BUCKET)
+    rows = _previous_mid(arrange(gated, bits)).df
+    return rows.withColumn("move_bps", q.move_bps(F.col("mid"), F.col("previous_mid")))
 
 
-def _previous_mid(rows: DataFrame, layout: Layout) -> DataFrame:
+def _previous_mid(gated: Arranged) -> Arranged:
+    stream = gated.withColumns({"mid": q.mid_price()})
     mid = F.when(passing(), F.col("mid"))
-    return running(rows, layout, {"previous_mid": Running("last", mid)})
+    rows = running(stream.rows, stream.layout, {"previous_mid": Running("last", mid)})
+    return Arranged(rows, stream.layout)
 
 
-def with_cooldown(gated: DataFrame, policy: Policy, bits: int | str | None = AUTO) -> DataFrame:
+def with_cooldown(gated: DataFrame | Arranged, policy: Policy, bits: int | str = AUTO) -> DataFrame:
     rows = with_previous_mid(gated, bits)
     return rows.withColumn("cooldown_ns", q.cooldown_ns(policy, F.col("move_bps")))
 
 
 def stress_block(
-    gated: DataFrame, policies: list[Policy], bits: int | str | None = AUTO
+    gated: DataFrame | Arranged, policies: list[Policy], bits: int | str = AUTO
 ) -> DataFrame:
     """Per (passing quote, policy): does it lie in a stress block?
 
@@ -63,8 +69,8 @@ def stress_block(
     moves, the current quote's own included.
     """
     check_policies(policies)
-    layout = plan_layout(gated, bits)
-    rows = _previous_mid(layout.start(gated.withColumn("mid", q.mid_price())), layout)
+    stream = _previous_mid(arrange(gated, bits))
+    rows, layout = stream.rows, stream.layout
     active = [(i, p) for i, p in enumerate(policies) if not p.passthrough]
     ts = F.col("timestamp_ns")
     ends = {
@@ -147,7 +153,7 @@ def _bucket_summaries(
 
 
 def _carried_state(
-    packed: DataFrame, active: list[tuple[int, Policy]], layout: Layout
+    packed: DataFrame, active: list[tuple[int, Policy]], layout: Layout, steps_per_call: int = STEPS
 ) -> DataFrame:
     """State in front of each (key, bucket): mid, latest hit, block ends, last signals."""
     summaries = _bucket_summaries(packed, active, layout)
@@ -173,22 +179,28 @@ def _carried_state(
             for at, (i, _) in enumerate(active)
         ],
     )
-    signals = _carried_signals(state, active, layout)
     kept = state.select(
         *layout.cells, "mid_in", "hit_in", *[f"end_in_{i}" for i, _ in active]
     )
+    if not active:
+        return kept
+    signals = _carried_signals(state, active, layout, steps_per_call)
     # A bucket without passing quotes has no summary and needs no state.
     return kept.join(signals, layout.cells, "left")
 
 
-def _carried_signals(
-    state: DataFrame, active: list[tuple[int, Policy]], layout: Layout
-) -> DataFrame:
-    """Time of the last accepted signal before each (key, bucket), per policy."""
+def step_table(
+    state: DataFrame, active: list[tuple[int, Policy]], layout: Layout, steps_per_call: int
+) -> tuple[DataFrame, int, bool]:
+    """Step functions, one row per (key, bucket, policy) in groups of buckets; the number of
+    steps of the largest bucket, and whether any key may have more than one group.
+
+    A group holds at most `steps_per_call` steps, or one bucket, which holds no more than its rows: so
+    what a call gets is bounded, however hot a symbol and however long a cooldown.
+    """
     steps = cut(
         state.select(
             *layout.cells,
-            F.shiftright(F.col(BUCKET), GROUP_BITS).alias("_group"),
             "first_ts",
             F.posexplode(
                 F.arrays_zip(
@@ -197,61 +209,79 @@ def _carried_signals(
                     F.col("exits"),
                 )
             ).alias("_policy", "_step"),
-        ).select(*layout.cells, "_group", "first_ts", "_policy", "_step.*")
+        ).select(*layout.cells, "first_ts", F.col("_policy").cast("bigint").alias("_policy"), "_step.*")
     )
+    most, low, high = steps.agg(
+        F.max(F.greatest(F.size("upto"), F.lit(1))), F.min(BUCKET), F.max(BUCKET)
+    ).first()
+    bits = max(0, min(MOST_GROUP_BITS, math.floor(math.log2(max(1, steps_per_call / (most or 1))))))
+    several = low is not None and low >> bits != high >> bits
+    return steps.withColumn("_group", F.shiftright(F.col(BUCKET), bits)), most or 0, several
+
+
+def _carried_signals(
+    state: DataFrame, active: list[tuple[int, Policy]], layout: Layout, steps_per_call: int
+) -> DataFrame:
+    """Time of the last accepted signal before each (key, bucket), per policy.
+
+    Groups of buckets are composed to one step function each.  From group to group the
+    signals form a chain: a step's exit enters the first later step that covers it.  The
+    steps that the chain visits are found by pointer doubling (`_visited`), which takes
+    rounds in the logarithm of the number of groups and never walks a symbol in one task.
+    Then each group is walked bucket by bucket from the exit that it is entered with.
+    """
+    steps, _, several = step_table(state, active, layout, steps_per_call)
     key_fields = [state.schema[k] for k in layout.keys]
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    group_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("_policy", long),
-            T.StructField("_group", long),
-            T.StructField("upto", longs),
-            T.StructField("exits", longs),
-        ]
-    )
     bases = [p.base_ns for _, p in active]
+    by_policy, by_group = [*layout.keys, "_policy"], [*layout.keys, "_policy", "_group"]
 
     def bucket_steps(row):
         return spacing.signal_steps(
             (row["upto"], row["exits"]), bases[row["_policy"]], row["end"], row["first_ts"]
         )
 
-    def compose(key, table):
-        total = ([], [])
-        for row in in_order(table, BUCKET):
-            total = spacing.compose_steps(total, bucket_steps(row))
-        return arrow_table(group_schema, [[*[k.as_py() for k in key], *total]])
-
-    def entries_of(place):
+    if several:
         schema = T.StructType(
             [
                 *key_fields,
                 T.StructField("_policy", long),
-                T.StructField(place, long),
-                T.StructField("entry", long),
+                T.StructField("_group", long),
+                T.StructField("upto", longs),
+                T.StructField("exits", longs),
             ]
         )
 
-        def walk(key, table):
-            value = table.column("entry")[0].as_py() if "entry" in table.column_names else spacing.NEVER
-            out = []
-            for row in in_order(table, place):
-                out.append([*[row[n] for n in schema.names[:-1]], value])
-                found = bucket_steps(row) if place == BUCKET else (row["upto"], row["exits"])
-                value = spacing.apply_steps(found, value)
-            return arrow_table(schema, out)
-
-        return walk, schema
-
-    by_group = [*layout.keys, "_policy", "_group"]
-    groups = steps.groupBy(*by_group).applyInArrow(compose, group_schema)
-    group_entries = groups.groupBy(*layout.keys, "_policy").applyInArrow(*entries_of("_group"))
-    entries = (
-        steps.join(group_entries.hint("shuffle_hash"), by_group)
-        .groupBy(*by_group)
-        .applyInArrow(*entries_of(BUCKET))
+        def compose(key, table):
+            rows = in_order(table, BUCKET)
+            upto, exits = spacing.composed([bucket_steps(row) for row in rows])
+            # No earlier signal is later than the first quote of the group.
+            upto = [min(bound, rows[0]["first_ts"]) for bound in upto]
+            return arrow_table(schema, [[*[k.as_py() for k in key], upto, exits]])
+
+        groups = cut(steps.groupBy(*by_group).applyInArrow(compose, schema))
+        exits = _visited(groups, by_policy)
+        earlier = Window.partitionBy(*by_policy).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+        entries = groups.join(exits, by_group, "left").select(
+            *by_group, F.coalesce(F.last("exit", True).over(earlier), F.lit(spacing.NEVER)).alias("entry")
+        )
+        steps = steps.join(entries.hint("shuffle_hash"), by_group)
+    else:
+        steps = steps.withColumn("entry", F.lit(spacing.NEVER))
+
+    schema = T.StructType(
+        [*key_fields, T.StructField("_policy", long), T.StructField(BUCKET, long), T.StructField("entry", long)]
     )
+
+    def walk(key, table):
+        value = table.column("entry")[0].as_py()
+        out = []
+        for row in in_order(table, BUCKET):
+            out.append([*[row[n] for n in schema.names[:-1]], value])
+            value = spacing.apply_steps(bucket_steps(row), value)
+        return arrow_table(schema, out)
+
+    entries = steps.groupBy(*by_group).applyInArrow(walk, schema)
     return entries.groupBy(*layout.cells).agg(
         *[
             F.max(F.when(F.col("_policy") == at, F.col("entry"))).alias(f"entry_{i}")
@@ -260,7 +290,57 @@ def _carried_signals(
     )
 
 
-def decide(rows: DataFrame, policies: list[Policy], layout: Layout) -> DataFrame:
+def _visited(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Exits of the steps that each key's chain of signals visits: keys, _group, exit.
+
+    A step covers times up to `upto`.  In order of (upto, group, step), the step after an
+    exit is the first one at or behind (exit, its own group): found for all steps by one
+    balanced scan from behind.  Jumps are then squared round by round.
+    """
+    each = F.posexplode(F.arrays_zip("upto", "exits")).alias("_rank", "_step")
+    nodes = cut(
+        groups.select(*keys, "_group", each)
+        .select(*keys, "_group", "_rank", F.col("_step.upto").alias("upto"), F.col("_step.exits").alias("exit"))
+        .withColumn("_node", F.monotonically_increasing_id())
+    )
+    none = F.lit(None).cast("bigint")
+    targets = nodes.select(
+        *keys,
+        (-F.col("upto")).alias("_back"),
+        (-F.col("_group")).alias("_back_group"),
+        (-F.col("_rank")).alias("_back_rank"),
+        F.col("_node").alias("_to"),
+        none.alias("_from"),
+    )
+    asked = nodes.select(
+        *keys,
+        (-F.col("exit")).alias("_back"),
+        (-F.col("_group")).alias("_back_group"),
+        F.lit(-(2**31) + 1).alias("_back_rank"),
+        none.alias("_to"),
+        F.col("_node").alias("_from"),
+    )
+    both = targets.unionAll(asked)
+    layout = plan_layout(both, AUTO, ("_back", "_back_group", "_back_rank"), tuple(keys))
+    following = {"_next": Running("last", F.col("_to"), inclusive=True)}
+    found = running(layout.start(both), layout, following).where("_from is not null and _next is not null")
+    jumps = cut(found.select("_from", "_next"))
+    first = nodes.groupBy(*keys).agg(F.min(F.struct("_group", "_rank", "_node")).alias("first"))
+    visited = cut(first.select(F.col("first._node").alias("_node")))
+    while True:
+        ahead = visited.join(jumps, F.col("_node") == F.col("_from")).select(F.col("_next").alias("_node"))
+        ahead = cut(ahead)
+        if ahead.isEmpty():
+            break
+        visited = cut(visited.unionAll(ahead))
+        again = jumps.select(F.col("_from").alias("_next"), F.col("_next").alias("_far"))
+        jumps = cut(jumps.join(again, "_next").select("_from", F.col("_far").alias("_next")))
+    return nodes.join(visited, "_node").select(*keys, "_group", "exit")
+
+
+def decide(
+    rows: DataFrame, policies: list[Policy], layout: Layout, steps_per_call: int = STEPS
+) -> DataFrame:
     """Add `_accepted_<i>` per policy and `_first_hit` to gated rows.
 
     Needs `gate_reason`, `mid`, the bucket column and `_hit`, the registration of the
@@ -268,16 +348,10 @@ def decide(rows: DataFrame, policies: list[Policy], layout: Layout) -> DataFrame
     """
     active = [(i, p) for i, p in enumerate(policies) if not p.passthrough]
     columns = [c for c in rows.columns if c not in ("mid", "_hit", BUCKET)]
-    packed = pack(rows, layout, F.col("_hit"))
-    state_schema = ["mid_in double", "hit_in bigint"]
-    for i, _ in active:
-        state_schema += [f"end_in_{i} bigint", f"entry_{i} bigint"]
-    names = [field.split()[0] for field in state_schema]
-    if layout.bits is not None:
-        packed = join_carried(packed, _carried_state(packed, active, layout), layout)
-    else:
-        nothing = {field.split()[0]: F.lit(None).cast(field.split()[1]) for field in state_schema}
-        packed = packed.withColumns(nothing)
+    walked = pack(rows, layout, F.col("_hit"), walked_only=True)
+    carried = _carried_state(walked, active, layout, steps_per_call)
+    packed = join_carried(pack(rows, layout, F.col("_hit")), carried, layout)
+    names = ["mid_in", "hit_in", *[f"{n}_{i}" for i, _ in active for n in ("end_in", "entry")]]
 
     @F.arrow_udf(flags_type([*[f"_accepted_{i}" for i in range(len(policies))], "_first_hit"]))
     def flags(packed: pa.Array, state: pa.Array) -> pa.Array:
@@ -320,10 +394,17 @@ def explode_policies(rows: DataFrame, policies: list[Policy]) -> DataFrame:
     return rows.select(*plain, F.inline(flags)).withColumn("reason", reason)
 
 
-def debounce(gated: DataFrame, policies: list[Policy], bits: int | str | None = AUTO) -> DataFrame:
-    """Apply every policy to the same gated quotes; one row per (quote, policy)."""
+def debounce(
+    gated: DataFrame | Arranged,
+    policies: list[Policy],
+    bits: int | str = AUTO,
+    steps_per_call: int = STEPS,
+) -> DataFrame:
+    """Apply every policy to the same gated quotes; one row per (quote, policy).
+
+    `steps_per_call` bounds what is composed of one symbol in one call.
+    """
     check_policies(policies)
-    layout = plan_layout(gated, bits)
-    rows = gated.withColumns({"mid": q.mid_price(), "_hit": F.lit(None).cast("bigint")})
-    rows = decide(layout.start(rows), policies, layout)
+    stream = arrange(gated, bits).withColumns({"mid": q.mid_price(), "_hit": F.lit(None).cast("bigint")})
+    rows = decide(stream.rows, policies, stream.layout, steps_per_call)
     return explode_policies(rows.drop("_first_hit"), policies)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import quotes as q
 from tidegate.operators.percentiles import lower_rank_percentiles
-from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, plan_layout, running
+from tidegate.operators.scan import AUTO, Arranged, Running, arrange, running
 
 _PROBABILITIES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -16,12 +16,12 @@ def sequence_continuity(
     messages: DataFrame,
     keys: list[str],
     order: str = "arrival",
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
 ) -> DataFrame:
     """Add the expected sequence and flags for wrong sequences and impossible times."""
-    layout = plan_layout(messages, bits, (order,), tuple(keys))
+    stream = arrange(messages, bits, (order,), tuple(keys))
     one = {"expected_sequence": Running("sum", F.lit(1).cast("bigint"))}
-    rows = running(layout.assign(messages), layout, one).drop(BUCKET)
+    rows = Arranged(running(stream.rows, stream.layout, one), stream.layout).df
     sent, received = F.col("sent_ns"), F.col("received_ns")
     expected = F.coalesce(F.col("expected_sequence"), F.lit(0).cast("bigint"))
     return rows.withColumns(
@@ -64,7 +64,7 @@ def message_report(
     keys: list[str],
     warmup: int = 0,
     target_us: float = 10.0,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
 ) -> DataFrame:
     """One row per channel: samples, one-way and round-trip latency, rate and faults.
 

@@ -62,7 +62,7 @@ def evaluate(
     policies: list[Policy],
     max_age_ns: int = MAX_QUOTE_AGE_NS,
     max_skew_ns: int = MAX_FUTURE_SKEW_NS,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per valid quote with `gate_reason`, `risk_event`, the side of the order it
@@ -96,7 +96,7 @@ def compare(
     policies: list[Policy],
     max_age_ns: int = MAX_QUOTE_AGE_NS,
     max_skew_ns: int = MAX_FUTURE_SKEW_NS,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
 ) -> DataFrame:
     """Per (valid quote, policy): `accepted_signal`, `reason`, `risk_event`."""
     rows = evaluate(ticks, orders, policies, max_age_ns, max_skew_ns, bits)
@@ -109,7 +109,7 @@ def process(
     policy: Policy | None = None,
     max_age_ns: int = MAX_QUOTE_AGE_NS,
     max_skew_ns: int = MAX_FUTURE_SKEW_NS,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
 ) -> DataFrame:
     """Outcome of every valid quote under one policy (the adaptive one by default)."""
     policy = policy or Policy("default")
@@ -120,7 +120,7 @@ def raw_signals(
     ticks: DataFrame,
     orders: DataFrame | None,
     policies: list[Policy],
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
     keep: list[str] | None = None,
     on_backwards: str = "flag",
 ) -> DataFrame:

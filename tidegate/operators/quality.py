@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import quotes as q
-from tidegate.operators.scan import AUTO, BUCKET, Layout, Running, plan_layout, running
+from tidegate.operators.scan import AUTO, Arranged, Layout, Running, arrange, running
 from tidegate.schema import (
     DUPLICATE,
     FUTURE,
@@ -103,30 +103,39 @@ def mark_gate(rows: DataFrame, layout: Layout, max_age_ns: int, max_skew_ns: int
 
 
 def quality_gate(
-    ticks: DataFrame,
+    ticks: DataFrame | Arranged,
     max_age_ns: int = MAX_QUOTE_AGE_NS,
     max_skew_ns: int = MAX_FUTURE_SKEW_NS,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
 ) -> DataFrame:
     """Add `gate_reason` to valid quotes: duplicate, late, stale, future or pass."""
+    return arranged_gate(ticks, max_age_ns, max_skew_ns, bits).df
+
+
+def arranged_gate(
+    ticks: DataFrame | Arranged,
+    max_age_ns: int = MAX_QUOTE_AGE_NS,
+    max_skew_ns: int = MAX_FUTURE_SKEW_NS,
+    bits: int | str = AUTO,
+) -> Arranged:
+    """The same, for further scans over the table that the gate arranged."""
     check_bounds(max_age_ns, max_skew_ns)
-    layout = plan_layout(ticks, bits)
-    rows = running(layout.start(ticks), layout, sequence_scan())
-    return mark_gate(rows, layout, max_age_ns, max_skew_ns).drop(BUCKET)
+    stream = arrange(ticks, bits)
+    rows = running(stream.rows, stream.layout, sequence_scan())
+    return Arranged(mark_gate(rows, stream.layout, max_age_ns, max_skew_ns), stream.layout)
 
 
 def monotonic_guard(
-    ticks: DataFrame, on_error: str = "flag", bits: int | str | None = AUTO
+    ticks: DataFrame | Arranged, on_error: str = "flag", bits: int | str = AUTO
 ) -> DataFrame:
     """Flag (or fail on) quotes older than an earlier quote of the symbol."""
     if on_error not in ("flag", "fail"):
         raise ValueError("on_error must be 'flag' or 'fail'")
-    layout = plan_layout(ticks, bits)
-    rows = running(
-        layout.assign(ticks), layout, {"_latest": Running("max", F.col("timestamp_ns"))}
-    )
+    stream = arrange(ticks, bits)
+    latest = {"_latest": Running("max", F.col("timestamp_ns"))}
+    rows = Arranged(running(stream.rows, stream.layout, latest), stream.layout).df
     backwards = F.coalesce(F.col("timestamp_ns") < F.col("_latest"), F.lit(False))
     if on_error == "fail":
         message = F.concat(F.lit("timestamps must not go back for symbol "), F.col("symbol"))
         backwards = F.when(backwards, F.raise_error(message).cast("boolean")).otherwise(F.lit(False))
-    return rows.withColumn("backwards", backwards).drop("_latest", BUCKET)
+    return rows.withColumn("backwards", backwards).drop("_latest")

@@ -96,15 +96,15 @@ def mark_hits(rows: DataFrame) -> DataFrame:
 
 
 def orders_in_force(
-    gated: DataFrame, orders: DataFrame, bits: int | str | None = AUTO
+    gated: DataFrame, orders: DataFrame, bits: int | str = AUTO
 ) -> DataFrame:
     """Add `_order`, the order in force at each quote (null where there is none)."""
     layout = plan_layout(axis(gated, orders), bits, ("arrival", "_rank"))
-    rows = running(layout.assign(with_orders(gated, orders)), layout, order_scan())
+    rows = running(layout.start(with_orders(gated, orders)), layout, order_scan())
     return rows.where(F.col("_rank") == 1).drop("_rank", "_registered", BUCKET)
 
 
-def oco_trigger(gated: DataFrame, orders: DataFrame, bits: int | str | None = AUTO) -> DataFrame:
+def oco_trigger(gated: DataFrame, orders: DataFrame, bits: int | str = AUTO) -> DataFrame:
     """First hit of every order that is hit while in force; one row per order."""
     rows = orders_in_force(gated, orders, bits).withColumn("mid", q.mid_price())
     first = F.min_by(
@@ -146,7 +146,7 @@ def oco_trigger(gated: DataFrame, orders: DataFrame, bits: int | str | None = AU
 
 
 def limit_marketable(
-    triggers: DataFrame, quotes: DataFrame, orders: DataFrame, bits: int | str | None = AUTO
+    triggers: DataFrame, quotes: DataFrame, orders: DataFrame, bits: int | str = AUTO
 ) -> DataFrame:
     """Per quote: can the limit of the order in force be filled at this mid?
 
@@ -180,7 +180,7 @@ def limit_marketable(
         .unionByName(triggered, allowMissingColumns=True)
     )
     state = {"_state": Running("last", F.col("_mark"), inclusive=True)}
-    rows = running(layout.assign(rows), layout, state).where(F.col("_rank") == 2)
+    rows = running(layout.start(rows), layout, state).where(F.col("_rank") == 2)
     reached = o.limit_reached(F.col("_state.side"), F.col("mid"), F.col("_state.limit_price"))
     fillable = (F.col("_state.kind") == STOP) & reached
     return rows.select(

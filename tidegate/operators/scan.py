@@ -8,12 +8,15 @@ rows than that, whatever share of the data one key has:
 2. scan these few rows per key, which gives the value carried into each bucket;
 3. run the window inside each bucket and merge the carried value into it.
 
-Rows are shuffled and sorted by (key, bucket, order) once and checkpointed (`start`), so
-every later scan over the same layout is one pass without shuffle or sort.  The carried
-values are joined with a shuffled hash join because it keeps the order of the big side,
-and because the carried side, one row per (key, bucket), is hashed over the cluster
-instead of broadcast.  They are checkpointed too: a later scan reads them instead of
-planning the earlier scans again.
+Rows are shuffled once and written as a Parquet table bucketed and sorted by (key, bucket,
+order) (`start`).  Every later scan reads the columns it needs from it, without shuffle, and
+without sort where the session takes the order of bucketed tables as given (see
+`session.RECOMMENDED`).  The carried values are joined with a shuffled hash join because it
+keeps the order of the big side, and because the carried side, one row per (key, bucket), is
+hashed over the cluster instead of broadcast.  They are checkpointed: a later scan reads
+them instead of planning the earlier scans again.
+
+The plan is the same for a table of any size; only the number of buckets follows it.
 """
 
 from __future__ import annotations
@@ -21,15 +24,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tidegate.session import cut, cut_arranged
+from tidegate.session import cut, new_path
 
 BUCKET = "_bucket"
 CELL_BITS = 14  # intended rows of the busiest key in one bucket
 MAX_BITS = 20  # of a bucket of a densely numbered table, all keys together
-ONE_BUCKET_ROWS = 2**17  # a table of so many rows is one bucket per key; both plans agree
 DEFAULT_BITS = 16
 PARTITION_ROWS = 4_000_000  # intended rows of one shuffle partition
 SHARES = 100  # of the rows, whose densest one sets the bucket size
@@ -38,15 +40,11 @@ AUTO = "auto"
 
 @dataclass(frozen=True)
 class Layout:
-    """Where scans run: key columns, order columns and bucket size.
-
-    `bits=None` means one bucket per key and is only right if all positions of the
-    table are known to fit into one bucket; see `plan_layout`.
-    """
+    """Where scans run: key columns, order columns and bucket size."""
 
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("arrival",)
-    bits: int | None = DEFAULT_BITS
+    bits: int = DEFAULT_BITS
     parts: int = 0  # least number of shuffle partitions
 
     @property
@@ -74,57 +72,99 @@ class Layout:
         )
 
     def assign(self, df: DataFrame) -> DataFrame:
-        cell = F.lit(0).cast("bigint")
-        if self.bits is not None:
-            cell = F.shiftright(F.col(self.order[0]), self.bits)
-        return df.withColumn(BUCKET, cell)
+        return df.withColumn(BUCKET, F.shiftright(F.col(self.order[0]), self.bits))
 
     def start(self, df: DataFrame) -> DataFrame:
-        """Bucketed rows, ready for several scans.
+        """The rows as an arranged table, ready for several scans: the one full write.
 
-        Later windows and joins reuse the partitioning and order of the checkpoint.
+        Each task writes one file, sorted; windows and joins by the cells need no shuffle.
         """
-        rows = self.assign(df)
-        if self.bits is None:
-            return rows
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(max(parts, self.parts), *self.cells)
-        return cut_arranged(rows.sortWithinPartitions(*self.cells, *self.order))
+        spark = df.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.parts)
+        path = new_path(spark, "arranged")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        (
+            self.assign(df)
+            .repartition(parts, *self.cells)
+            .write.bucketBy(parts, *self.cells)
+            .sortBy(*self.cells, *self.order)
+            .option("path", path)
+            .saveAsTable(name)
+        )
+        return spark.table(name)
+
+
+@dataclass(frozen=True)
+class Arranged:
+    """Rows of an arranged table, with what scans added to them; `df` has no bucket column.
+
+    Operators over one stream take it in place of a DataFrame, so the stream is written once
+    for all of them.
+    """
+
+    rows: DataFrame
+    layout: Layout
+
+    @property
+    def df(self) -> DataFrame:
+        return self.rows.drop(BUCKET)
 
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.rows.columns if c != BUCKET]
+
+    def withColumns(self, columns: dict[str, Column]) -> Arranged:
+        return Arranged(self.rows.withColumns(columns), self.layout)
+
+
+def arrange(
+    df: DataFrame | Arranged,
+    bits: int | str = "auto",
+    order: tuple[str, ...] = ("arrival",),
+    keys: tuple[str, ...] = ("symbol",),
+) -> Arranged:
+    """The stream arranged for scans; one that is already arranged stays as it is."""
+    if isinstance(df, Arranged):
+        return df
+    layout = plan_layout(df, bits, order, keys)
+    return Arranged(layout.start(df), layout)
 
-def bucket_bits(rows: int, busiest: int, extent: int) -> int | None:
+
+def bucket_bits(rows: int, busiest: int, extent: int) -> int:
     """Bucket size for a table of `rows`, `busiest` of them with one key, which would span
-    `extent` positions if all were as dense as the densest; None if one bucket will do.
+    `extent` positions if all were as dense as the densest.
 
     Buckets are wide enough that carried values stay few against the rows, and narrow
     enough that the busiest key has about 2**CELL_BITS rows in one.  All keys together
     have at most 2**MAX_BITS rows in a bucket of a densely numbered table.
     """
-    if rows <= ONE_BUCKET_ROWS:
-        return None
     cap = MAX_BITS + max(0, math.floor(math.log2(extent / rows)))
     return max(CELL_BITS, min(cap, CELL_BITS + round(math.log2(extent / busiest))))
 
 
 def plan_layout(
     df: DataFrame,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
     order: tuple[str, ...] = ("arrival",),
     keys: tuple[str, ...] = ("symbol",),
 ) -> Layout:
-    """Layout with the given bucket size, or one chosen from a look at the table."""
+    """Layout with the given bucket size, or one chosen from one look at the table.
+
+    The look counts rows per key and, in the same pass, where the shares of all rows end.
+    """
     if bits != AUTO:
         return Layout(keys, order, bits)
     place = order[0]
-    busiest, total = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
-    if not total:
-        return Layout(keys, order, None)
-    if total <= ONE_BUCKET_ROWS:
-        return Layout(keys, order, None, 1)
     shares = [i / SHARES for i in range(SHARES + 1)]
-    ends = df.agg(F.percentile_approx(place, shares, 100 * SHARES)).first()[0]
-    parts = math.ceil(total / PARTITION_ROWS)
-    return Layout(keys, order, bucket_bits(total, busiest, dense_extent(ends, total)), parts)
+    seen = Observation()
+    ends = F.percentile_approx(place, shares, 100 * SHARES).alias("ends")
+    counts = df.select(*keys, place).observe(seen, ends).groupBy(*keys).agg(F.count("*").alias("n"))
+    busiest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    if not total:
+        return Layout(keys, order)
+    found = seen.get["ends"]
+    extent = dense_extent(found, total)
+    return Layout(keys, order, bucket_bits(total, busiest, extent), math.ceil(total / PARTITION_ROWS))
 
 
 def axis(quotes: DataFrame, orders: DataFrame | None) -> DataFrame:
@@ -186,8 +226,6 @@ def join_carried(rows: DataFrame, carried: DataFrame, layout: Layout) -> DataFra
 def running(df: DataFrame, layout: Layout, specs: dict[str, Running]) -> DataFrame:
     """Add one column per running value; `df` already has its bucket column."""
     local = df.select("*", *[spec.local(layout).alias(name) for name, spec in specs.items()])
-    if layout.bits is None:
-        return local
     totals = df.groupBy(*layout.cells).agg(
         *[spec.total(layout).alias(name) for name, spec in specs.items()]
     )

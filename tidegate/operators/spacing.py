@@ -40,12 +40,23 @@ def block_ends(
     return np.maximum.accumulate(np.where(sharp, end, 0)) if len(ts) else ts
 
 
-def _successors(ts: np.ndarray, base: int) -> list[int]:
+def _successors(ts: np.ndarray, base: int) -> np.ndarray:
     """Index of the first quote at least `base` after each quote (len(ts) if none)."""
     if len(ts) == 0:
-        return []
+        return np.zeros(0, dtype=np.int64)
     since_first = ts - ts[0]
-    return np.searchsorted(since_first, since_first + base, side="left").tolist()
+    return np.searchsorted(since_first, since_first + base, side="left")
+
+
+def _chain_ends(following: np.ndarray) -> np.ndarray:
+    """Last quote of the chain of successors from each quote, by doubling the jumps."""
+    own = np.arange(len(following))
+    at = np.where(following < len(following), following, own)
+    while True:
+        far = at[at]
+        if np.array_equal(far, at):
+            return at
+        at = far
 
 
 def accepted_rows(ts: np.ndarray, base: int, threshold: int = NEVER) -> list[int]:
@@ -53,7 +64,7 @@ def accepted_rows(ts: np.ndarray, base: int, threshold: int = NEVER) -> list[int
     at = int(np.searchsorted(ts, threshold, side="left"))
     if base == 0:
         return list(range(at, len(ts)))
-    following = _successors(ts, base)
+    following = _successors(ts, base).tolist()
     chain = []
     while at < len(ts):
         chain.append(at)
@@ -80,14 +91,12 @@ def threshold_steps(ts: np.ndarray, base: int, reach: int) -> Steps:
     first quote of the bucket plus the longest quiet period.  So the function has at most
     one step per quote of that period, however many quotes the bucket holds.
     """
-    following = _successors(ts, base)
-    times = ts.tolist()
-    exits = times[:]
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
-            exits[i] = exits[following[i]]
     entries = int(np.searchsorted(ts, reach, side="left")) + 1
-    return _merged(times[:entries], exits[:entries])
+    exits = ts[:entries] if base == 0 else ts[_chain_ends(_successors(ts, base))[:entries]]
+    if base == 0 and len(ts):
+        exits = np.full(len(exits), ts[-1])
+    last = np.flatnonzero(np.append(exits[1:] != exits[:-1], True)) if len(exits) else []
+    return ts[:entries][last].tolist(), exits[last].tolist()
 
 
 def signal_steps(steps: Steps, base: int, blocked_until: int, first_ts: int) -> Steps:
@@ -126,6 +135,14 @@ def compose_steps(first: Steps, second: Steps) -> Steps:
     return _merged(upto, exits)
 
 
+def composed(functions: list[Steps]) -> Steps:
+    """All functions one after the other, composed in a tree."""
+    while len(functions) > 1:
+        pairs = [compose_steps(a, b) for a, b in zip(functions[::2], functions[1::2])]
+        functions = pairs + functions[2 * len(pairs) :]
+    return functions[0] if functions else ([], [])
+
+
 def entry_threshold(last: int, base: int, blocked_until: int) -> int:
     after = NEVER if last == NEVER else min(last + base, ALWAYS)
     return max(after, blocked_until)

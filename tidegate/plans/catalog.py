@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import quotes as q
 from tidegate.operators import audit, checks, compare, custom, debounce, grid, messages, metrics
-from tidegate.operators import percentiles, process, quality, risk
+from tidegate.operators import percentiles, process, quality, risk, scan
 from tidegate.plans import events_view as ev
 from tidegate.plans import experiment, oracle
 from tidegate.plans.events_view import MAX_AGE_NS, MAX_SKEW_NS, POLICIES
@@ -49,8 +49,13 @@ def valid(spark: SparkSession, sf: str) -> DataFrame:
     return quality.validate_quotes(ticks(spark, sf))[0]
 
 
+def arranged(spark: SparkSession, sf: str, bits="auto") -> scan.Arranged:
+    """The gated stream as one arranged table, for all scans of a query."""
+    return quality.arranged_gate(valid(spark, sf), MAX_AGE_NS, MAX_SKEW_NS, bits)
+
+
 def gated(spark: SparkSession, sf: str, bits="auto") -> DataFrame:
-    return quality.quality_gate(valid(spark, sf), MAX_AGE_NS, MAX_SKEW_NS, bits)
+    return arranged(spark, sf, bits).df
 
 
 # --- validation and gate ----------------------------------------------------------
@@ -124,24 +129,24 @@ def monotonic_guard(spark, sf):
 
 @query("move_bps", "SELECT arrival, symbol, previous_mid, move_bps FROM moved")
 def move_bps(spark, sf):
-    rows = debounce.with_previous_mid(gated(spark, sf), SMALL_BUCKETS).where(debounce.passing())
+    rows = debounce.with_previous_mid(arranged(spark, sf, SMALL_BUCKETS)).where(debounce.passing())
     return rows.select("arrival", "symbol", "previous_mid", "move_bps")
 
 
 @query("cooldown", "SELECT arrival, symbol, cooldown_ns FROM cooled WHERE policy = 'dynamic'")
 def cooldown(spark, sf):
-    rows = debounce.with_cooldown(gated(spark, sf), DYNAMIC).where(debounce.passing())
+    rows = debounce.with_cooldown(arranged(spark, sf), DYNAMIC).where(debounce.passing())
     return rows.select("arrival", "symbol", "cooldown_ns")
 
 
 @query("stress_block", "SELECT policy, arrival, symbol, blocked FROM blocking")
 def stress_block(spark, sf):
-    rows = debounce.stress_block(gated(spark, sf), [FIXED, DYNAMIC], SMALL_BUCKETS)
+    rows = debounce.stress_block(arranged(spark, sf, SMALL_BUCKETS), [FIXED, DYNAMIC])
     return rows.select("policy", "arrival", "symbol", "blocked")
 
 
 def _debounced(spark, sf, policy: Policy, bits="auto") -> DataFrame:
-    rows = debounce.debounce(gated(spark, sf), [policy], bits)
+    rows = debounce.debounce(arranged(spark, sf, bits), [policy])
     return rows.select("arrival", "symbol", "accepted_signal", "reason")
 
 
@@ -168,6 +173,24 @@ def debounce_passthrough(spark, sf):
     return _debounced(spark, sf, POLICIES[0])
 
 
+@query(
+    "debounce_long_cooldown",
+    """SELECT s.arrival, s.symbol, a.arrival IS NOT NULL AS accepted_signal,
+              CASE WHEN a.arrival IS NOT NULL THEN 'accepted' ELSE 'debounced' END AS reason
+       FROM hot_gated s LEFT JOIN hot_accepted a ON a.arrival = s.arrival""",
+)
+def debounce_long_cooldown(spark, sf):
+    """One symbol with all quotes, and quiet periods that span many buckets.
+
+    Buckets and calls are kept small here, so that signals are carried through many groups.
+    """
+    quotes = ev.clean_ticks(spark, sf).withColumns(
+        {"arrival": F.col("sequence"), "symbol": F.lit("all"), "gate_reason": F.lit("pass")}
+    )
+    rows = debounce.debounce(quotes, [ev.LONG_COOLDOWN], bits=5, steps_per_call=64)
+    return rows.select("arrival", "symbol", "accepted_signal", "reason")
+
+
 _CUSTOM = """
     SELECT g.arrival, g.symbol, coalesce(m.move_bps >= 5.0, FALSE) AS accepted_signal,
            CASE WHEN g.gate_reason <> 'pass' THEN g.gate_reason
@@ -178,7 +201,7 @@ _CUSTOM = """
 
 @query("custom_column_policy", _CUSTOM)
 def custom_column_policy(spark, sf):
-    rows = custom.debounce_by_column(gated(spark, sf), lambda: F.col("move_bps") >= 5.0)
+    rows = custom.debounce_by_column(arranged(spark, sf), lambda: F.col("move_bps") >= 5.0)
     return rows.select("arrival", "symbol", "accepted_signal", "reason")
 
 
@@ -198,7 +221,7 @@ class MoveOnly:
 
 @query("custom_scan_policy", _CUSTOM)
 def custom_scan_policy(spark, sf):
-    rows = custom.debounce_by_scan(gated(spark, sf), MoveOnly(), SMALL_BUCKETS)
+    rows = custom.debounce_by_scan(arranged(spark, sf, SMALL_BUCKETS), MoveOnly())
     return rows.select("arrival", "symbol", "accepted_signal", "reason")
 
 

@@ -23,6 +23,8 @@ POLICIES = [
     Policy("dynamic", 30 * _MINUTE, 6 * _HOUR, 20.0),
 ]
 
+LONG_COOLDOWN = Policy("long", 12 * _HOUR, 48 * _HOUR, 20.0)
+
 # symbol, order id, registered arrival, side, entry, stop, take-profit, limit offset (bps)
 ORDERS = [
     ("click", "o-click", 0, "long", 100.0, 4.0, 15.0, 5.0),

@@ -48,7 +48,7 @@ def compare_policies(
     max_skew_ns: int = MAX_FUTURE_SKEW_NS,
     by: list[str] | None = None,
     probe_mid: float | None = None,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
 ) -> DataFrame:
     """One report row per policy over the same stream.
 
@@ -69,7 +69,7 @@ def raw_pipeline(
     ticks: DataFrame,
     orders: DataFrame | None,
     policy: Policy = RAW_POLICY,
-    bits: int | str | None = AUTO,
+    bits: int | str = AUTO,
     on_backwards: str = "flag",
 ) -> DataFrame:
     """Counts of the ungated pipeline; unusable quotes and such that go back in time are

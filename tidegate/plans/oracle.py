@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import re
 
-from tidegate.plans.events_view import MAX_AGE_NS, MAX_SKEW_NS, ORDERS, POLICIES
+from tidegate.plans.events_view import LONG_COOLDOWN, MAX_AGE_NS, MAX_SKEW_NS, ORDERS, POLICIES
 
 _PRICE = "100.0 * (1.0 + (value - 50.0) * 1e-5)"
 
 _ACTIVE = [p for p in POLICIES if not p.passthrough]
 
-_POLICY_VALUES = ", ".join(
-    f"('{p.name}', {p.base_ns}, {p.max_ns}, {p.stress_bps!r}::DOUBLE)" for p in _ACTIVE
-)
+
+
+def _policy_values(policies) -> str:
+    return ", ".join(f"('{p.name}', {p.base_ns}, {p.max_ns}, {p.stress_bps!r}::DOUBLE)" for p in policies)
+
+
+_POLICY_VALUES = _policy_values(_ACTIVE)
 
 _ORDER_VALUES = ", ".join(
     f"('{s}', '{oid}', {reg}, '{side}', {e}::DOUBLE, {st}::DOUBLE, {tp}::DOUBLE, {off}::DOUBLE)"
@@ -215,6 +219,13 @@ BLOCKS["guard_gated"] = """
 for _name in _WALK[1:]:
     BLOCKS[f"guard_{_name}"] = re.sub(rf"\b({'|'.join(_WALK)})\b", r"guard_\1", BLOCKS[_name])
 
+# And with all quotes under one symbol and a policy of long quiet periods.
+BLOCKS["hot_gated"] = BLOCKS["raw_gated"].replace("AS arrival, symbol,", "AS arrival, 'all' AS symbol,")
+BLOCKS["hot_policies"] = f"""
+    SELECT * FROM (VALUES {_policy_values([LONG_COOLDOWN])}) t(policy, base_ns, max_ns, stress_bps)"""
+for _name in [*_WALK[1:-1], "accepted"]:
+    BLOCKS[f"hot_{_name}"] = re.sub(rf"\b({'|'.join([*_WALK, 'policies'])})\b", r"hot_\1", BLOCKS[_name])
+
 # The order in which blocks must be defined.
 _ORDER = list(BLOCKS)
 

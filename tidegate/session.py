@@ -5,19 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Session settings that suit the operators: small checkpoints that go when unused, and
-# no call-site capture for each column expression while plans are built.
+# Session settings that suit the operators: small checkpoints that go when unused, no
+# call-site capture for each column expression while plans are built, the order of arranged
+# tables taken as given (else each scan sorts rows that are sorted), and one group at a time
+# where buckets are packed.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.checkpoint.compress": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -53,29 +55,3 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-@contextmanager
-def planned_with(spark: SparkSession, **settings: str) -> Iterator[None]:
-    """Session settings for the one plan made inside, restored afterwards."""
-    names = {k: "spark.sql." + k.replace("__", ".") for k in settings}
-    before = {k: spark.conf.get(n) for k, n in names.items()}
-    try:
-        for k, value in settings.items():
-            spark.conf.set(names[k], value)
-        yield
-    finally:
-        for k, value in before.items():
-            spark.conf.set(names[k], value)
-
-
-def cut_arranged(df: DataFrame) -> DataFrame:
-    """Checkpoint that still knows how its rows are partitioned and sorted.
-
-    An adaptive plan does not report its partitioning, so this one step, which shuffles
-    by an explicit partition count anyway, is planned without it.  Aggregations in it get
-    their groups in order and keep one group at a time instead of a hash map of many.
-    """
-    settings = {"adaptive__enabled": "false", "execution__useObjectHashAggregateExec": "false"}
-    with planned_with(df.sparkSession, **settings):
-        return cut(df)
