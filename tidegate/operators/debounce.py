@@ -184,43 +184,39 @@ def _carried_state(
     )
     if not active:
         return kept
-    signals = _carried_signals(state, active, layout, steps_per_call)
+    bits, _, several = group_bits(summaries, steps_per_call)
+    steps = step_table(state, active, layout, bits)
+    signals = _carried_signals(cut(steps) if several else steps, active, layout, several)
     # A bucket without passing quotes has no summary and needs no state.
     return kept.join(signals, layout.cells, "left")
 
 
-def step_table(
-    state: DataFrame, active: list[tuple[int, Policy]], layout: Layout, steps_per_call: int
-) -> tuple[DataFrame, int, bool]:
-    """Step functions, one row per (key, bucket, policy) in groups of buckets; the number of
-    steps of the largest bucket, and whether any key may have more than one group.
+def group_bits(summaries: DataFrame, steps_per_call: int) -> tuple[int, int, bool]:
+    """Buckets per group as a power of two, the steps of the largest bucket function, and
+    whether a key may have more than one group.
 
-    A group holds at most `steps_per_call` steps, or one bucket, which holds no more than its rows: so
-    what a call gets is bounded, however hot a symbol and however long a cooldown.
+    A group holds at most `steps_per_call` steps, or one bucket, which holds no more than its
+    rows: so what a call gets is bounded, however hot a symbol and however long a cooldown.
     """
-    steps = cut(
-        state.select(
-            *layout.cells,
-            "first_ts",
-            F.posexplode(
-                F.arrays_zip(
-                    F.array(*[F.greatest(f"end_in_{i}", f"_move_{i}") for i, _ in active]).alias("end"),
-                    F.col("upto"),
-                    F.col("exits"),
-                )
-            ).alias("_policy", "_step"),
-        ).select(*layout.cells, "first_ts", F.col("_policy").cast("bigint").alias("_policy"), "_step.*")
+    sizes = F.array_max(F.transform("upto", F.size))
+    most, low, high = summaries.agg(F.max(sizes), F.min(BUCKET), F.max(BUCKET)).first()
+    most = max(1, most or 0)
+    bits = max(0, min(MOST_GROUP_BITS, math.floor(math.log2(max(1, steps_per_call / most)))))
+    return bits, most, low is not None and low >> bits != high >> bits
+
+
+def step_table(state: DataFrame, active: list[tuple[int, Policy]], layout: Layout, bits: int) -> DataFrame:
+    """Step functions of buckets, one row per (key, bucket, policy), in groups of buckets."""
+    ends = F.array(*[F.greatest(f"end_in_{i}", f"_move_{i}") for i, _ in active]).alias("end")
+    each = F.posexplode(F.arrays_zip(ends, F.col("upto"), F.col("exits"))).alias("_policy", "_step")
+    steps = state.select(*layout.cells, F.shiftright(BUCKET, bits).alias("_group"), "first_ts", each)
+    return steps.select(
+        *layout.cells, "_group", "first_ts", F.col("_policy").cast("bigint").alias("_policy"), "_step.*"
     )
-    most, low, high = steps.agg(
-        F.max(F.greatest(F.size("upto"), F.lit(1))), F.min(BUCKET), F.max(BUCKET)
-    ).first()
-    bits = max(0, min(MOST_GROUP_BITS, math.floor(math.log2(max(1, steps_per_call / (most or 1))))))
-    several = low is not None and low >> bits != high >> bits
-    return steps.withColumn("_group", F.shiftright(F.col(BUCKET), bits)), most or 0, several
 
 
 def _carried_signals(
-    state: DataFrame, active: list[tuple[int, Policy]], layout: Layout, steps_per_call: int
+    steps: DataFrame, active: list[tuple[int, Policy]], layout: Layout, several: bool
 ) -> DataFrame:
     """Time of the last accepted signal before each (key, bucket), per policy.
 
@@ -230,8 +226,7 @@ def _carried_signals(
     rounds in the logarithm of the number of groups and never walks a symbol in one task.
     Then each group is walked bucket by bucket from the exit that it is entered with.
     """
-    steps, _, several = step_table(state, active, layout, steps_per_call)
-    key_fields = [state.schema[k] for k in layout.keys]
+    key_fields = [steps.schema[k] for k in layout.keys]
     long, longs = T.LongType(), T.ArrayType(T.LongType())
     bases = [p.base_ns for _, p in active]
     by_policy, by_group = [*layout.keys, "_policy"], [*layout.keys, "_policy", "_group"]
