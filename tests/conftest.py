@@ -18,7 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.compress", "true")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
-        .config("spark.sql.execution.useObjectHashAggregateExec", "false")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "32")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

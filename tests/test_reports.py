@@ -137,3 +137,36 @@ def test_checks_of_a_policy_report(spark):
     assert checks.failures(checks.policy_set_check(three, ["a", "b"])).count() == 1
     assert checks.failures(checks.window_order_check(three, ["a", "b", "c"])).count() == 1
     assert checks.failures(checks.window_order_check(three, ["a", "c"])).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["id", "id * id", "0", "pmod(xxhash64(id), 7)", "if(id % 3 = 0, id, -5)"])
+def test_percentiles_of_groups_larger_than_the_sketch(spark, shape):
+    """Even, steep, constant, few-valued and half-constant groups, one of them hot."""
+    rows = spark.range(60_000).selectExpr("if(id % 3 < 2, 'hot', concat('g', id % 30)) as g", f"{shape} as v")
+    rows = rows.repartition(7)
+    ranks = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    data = {}
+    for r in rows.collect():
+        data.setdefault(r.g, []).append(r.v)
+    for r in percentiles.lower_rank_percentiles(rows, ["g"], "v", ranks).collect():
+        ordered = sorted(data[r.g])
+        assert [r[n] for n in ranks] == [ordered[min(len(ordered) - 1, math.floor((len(ordered) - 1) * p))] for p in ranks.values()]
+    everything = sorted(v for vs in data.values() for v in vs)
+    whole = percentiles.lower_rank_percentiles(rows, [], "v", ranks).first()
+    assert [whole[n] for n in ranks] == [everything[min(59_999, math.floor(59_999 * p))] for p in ranks.values()]
+
+
+def test_percentiles_take_two_scans(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(1000).selectExpr("id % 5 as g", "id as v").write.parquet(path)
+    found = percentiles.lower_rank_percentiles(spark.read.parquet(path), ["g"], "v", {"m": 0.5, "n": 0.9})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Python" not in plan
+
+
+def test_percentiles_of_odd_doubles(spark):
+    values = [math.nan, math.inf, -math.inf, None, 0.0, -0.0, 3.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    row = percentiles.lower_rank_percentiles(rows, [], "v", {"low": 0.0, "mid": 0.5, "high": 0.8, "top": 1.0}).first()
+    assert (row.low, row.mid, row.high) == (-math.inf, 0.0, math.inf) and math.isnan(row.top)
+    assert percentiles.lower_rank_percentiles(rows.limit(0), [], "v", {"m": 0.5}).first().m is None

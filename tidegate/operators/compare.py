@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +19,13 @@ def median_of_repeats(
         .where(F.col(run) == F.expr("measured_repeats div 2"))
         .drop(run)
     )
-    medians = [exact_median(runs, keys, t) for t in timings]
-    return reduce(lambda left, right: left.join(right, keys), medians, middle)
+    # One selection for all timings, then back to one column each.
+    long = runs.select(*keys, *[F.col(t).cast("double").alias(t) for t in timings])
+    medians = exact_median(long.unpivot(keys, timings, "_timing", "_value"), [*keys, "_timing"], "_value")
+    wide = medians.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_timing") == t, F.col("_value"))).alias(t) for t in timings]
+    )
+    return middle.join(wide, keys)
 
 
 def repeat_invariance(runs: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:

@@ -1,104 +1,98 @@
-"""Exact rank selection for groups of any size.
+"""Exact rank selection for groups of any size, in two scans.
 
-The rank of a value is found by narrowing its leading bits: count values per group and
-leading bits, find the cell that holds the rank, then look only inside that cell.  Each
-step is an aggregation with partial sums, and no window sees more rows than one cell has
-sub-cells, so a group that holds a third of the table is no special case.
+The first scan builds a mergeable quantile sketch per group, which brackets each wanted rank
+between two values with a guaranteed error.  The second counts what lies below and above
+each bracket and, value by value, what lies inside: a share of about 8 / ACCURACY of the
+group.  All counts are partial aggregates, so a group with a third of the table is no special
+case, and no group is collected or sorted as a whole.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_SHIFTS = (40, 20, 0)
+ACCURACY = 10_000  # of the sketch: ranks are off by at most 1 / ACCURACY of the group
+MARGIN = 4 / ACCURACY  # of a bracket on either side; the sketch's error and the rounding of ranks
 
 
-def lower_rank(p: float) -> Callable[[Column], Column]:
-    """Zero-based rank floor((n - 1) * p), the rule used by all reports."""
+@dataclass(frozen=True)
+class Rank:
+    """A zero-based rank as a function of the group's size, and the share it lies at."""
+
+    share: float
+    of: Callable[[Column], Column]
+
+
+def lower_rank(p: float) -> Rank:
+    """Rank floor((n - 1) * p), the rule used by all reports."""
     if not (math.isfinite(p) and 0.0 <= p <= 1.0):
         raise ValueError("percentile must lie in [0, 1]")
-    return lambda n: F.least(n - 1, F.floor((n - 1) * F.lit(p)))
-
+    return Rank(p, lambda n: F.least(n - 1, F.floor((n - 1) * F.lit(p))))
 
-def select_ranks(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    ranks: dict[str, Callable[[Column], Column]],
-) -> DataFrame:
-    """(keys..., rank_name, value) for an integer `value`; null values are ignored."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
 
-    def cells(shift: int) -> DataFrame:
-        return counts.groupBy(*keys, F.shiftright("_v", shift).alias("_cell")).agg(
-            F.sum("_n").alias("_n")
-        )
+def _brackets(rows: DataFrame, keys: list[str], code: Column, ranks: dict[str, Rank]) -> DataFrame:
+    """(keys..., _wanted): name, rank and bracket of every wanted rank.
 
-    group = [F.col(k) for k in keys] or [F.lit(0)]
-    in_order = Window.partitionBy(*group).orderBy("_cell")
-    whole = Window.partitionBy(*group)
-    top = cells(_SHIFTS[0]).select(
-        *keys,
-        "_cell",
-        "_n",
-        F.sum("_n").over(in_order).alias("_upto"),
-        F.sum("_n").over(whole).alias("_total"),
+    A group smaller than the sketch's accuracy is its own bracket.
+    """
+    shares = [s for r in ranks.values() for s in (max(0.0, r.share - MARGIN), min(1.0, r.share + MARGIN))]
+    look = rows.groupBy(*keys).agg(
+        F.count("*").alias("_total"),
+        F.min(code).alias("_low"),
+        F.max(code).alias("_high"),
+        F.percentile_approx(code, shares, ACCURACY).alias("_ends"),
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("rank_name"), rank(F.col("_total")).cast("bigint").alias("_rank"))
-            for name, rank in ranks.items()
-        ]
-    )
-    held = F.filter(
-        wanted,
-        lambda w: (w["_rank"] < F.col("_upto")) & (w["_rank"] >= F.col("_upto") - F.col("_n")),
-    )
-    found = (
-        top.where(F.size(held) > 0)
-        .select(*keys, "_cell", (F.col("_upto") - F.col("_n")).alias("_before"), F.inline(held))
-        .select(
-            *keys,
-            "rank_name",
-            (F.col("_rank") - F.col("_before")).alias("_rank"),
-            F.col("_cell").alias("_outer"),
+    total, ends = F.col("_total"), F.col("_ends")
+    few = total < ACCURACY
+    wanted = [
+        F.struct(
+            F.lit(name).alias("rank_name"),
+            rank.of(total).cast("bigint").alias("_rank"),
+            F.when(few, F.col("_low")).otherwise(ends[2 * i]).alias("_from"),
+            F.when(few, F.col("_high")).otherwise(ends[2 * i + 1]).alias("_upto"),
         )
+        for i, (name, rank) in enumerate(ranks.items())
+    ]
+    return look.select(*keys, F.array(*wanted).alias("_wanted"))
+
+
+def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Rank]) -> DataFrame:
+    """(keys..., rank_name, value) of a numeric column; null values are ignored, nan is last."""
+    rows = df.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    code = F.col("_v").cast("double")  # keeps the order, so brackets of codes hold whole values
+    code = F.when(F.isnan(code), F.lit(math.inf)).otherwise(code)
+    brackets = _brackets(rows, keys, code, ranks)
+    if keys:
+        same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"brackets.{k}")) for k in keys]
+        both = rows.alias("rows").join(brackets.alias("brackets"), same)
+        both = both.select(*[f"rows.{k}" for k in keys], "_v", "_wanted")
+    else:
+        both = rows.withColumn("_wanted", brackets.select("_wanted").scalar())
+    side = F.when(code < F.col("_from"), -1).when(code > F.col("_upto"), 1).otherwise(0)
+    cells = (
+        both.select(*keys, "_v", F.inline("_wanted"))
+        .select(*keys, "rank_name", "_rank", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_at"))
+        .groupBy(*keys, "rank_name", "_rank", "_side", "_at")
+        .agg(F.count("*").alias("_n"))
     )
-    inner = Window.partitionBy(*keys, "rank_name").orderBy("_cell")
-    for outer_shift, shift in zip(_SHIFTS, _SHIFTS[1:]):
-        step = cells(shift).withColumn("_outer", F.shiftright("_cell", outer_shift - shift))
-        found = (
-            step.join(found, [*keys, "_outer"])
-            .withColumn("_upto", F.sum("_n").over(inner))
-            .where(
-                (F.col("_rank") < F.col("_upto"))
-                & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-            )
-            .select(
-                *keys,
-                "rank_name",
-                (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"),
-                F.col("_cell").alias("_outer"),
-            )
-        )
-    return found.select(*keys, "rank_name", F.col("_outer").alias(value))
+    in_order = Window.partitionBy(*keys, "rank_name").orderBy("_side", "_at")
+    upto = cells.withColumn("_through", F.sum("_n").over(in_order))
+    picked = upto.where((F.col("_rank") < F.col("_through")) & (F.col("_rank") >= F.col("_through") - F.col("_n")))
+    # The sketch's error bound keeps every rank inside its bracket; never answer if it did not.
+    outside = F.raise_error(F.lit("a rank lies outside its bracket"))
+    found = F.when(F.col("_side") == 0, F.col("_at")).otherwise(outside.cast(df.schema[value].dataType))
+    return picked.select(*keys, "rank_name", found.alias(value))
 
 
 def lower_rank_percentiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
-    """One row per group, one column per percentile, of an integer column."""
+    """One row per group, one column per percentile, of a numeric column."""
     ranks = {name: lower_rank(p) for name, p in probabilities.items()}
     return spread(select_ranks(df, keys, value, ranks), keys, value, list(ranks))
 
@@ -109,25 +103,11 @@ def spread(selected: DataFrame, keys: list[str], value: str, names: list[str]) -
     )
 
 
-@F.pandas_udf(T.LongType())
-def double_to_ordered(x: pd.Series) -> pd.Series:
-    """Integer with the same order as the double; -0.0 counts as 0.0."""
-    bits = (x.to_numpy(dtype="float64") + 0.0).view("int64")
-    ordered = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
-    return pd.Series(ordered).where(x.notna().to_numpy(), None).astype("Int64")
-
-
-@F.pandas_udf(T.DoubleType())
-def ordered_to_double(x: pd.Series) -> pd.Series:
-    bits = x.to_numpy(dtype="int64")
-    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view("float64"))
-
-
 def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median of a double column; an even count averages the middle two."""
-    ranks = {"low": lambda n: F.expr("(_total - 1) div 2"), "high": lambda n: F.expr("_total div 2")}
-    coded = df.select(*keys, double_to_ordered(F.col(value)).alias("_code"))
-    picked = select_ranks(coded, keys, "_code", ranks)
-    picked = picked.withColumn("_x", ordered_to_double(F.col("_code")))
-    both = spread(picked, keys, "_x", ["low", "high"])
+    ranks = {
+        "low": Rank(0.5, lambda n: F.expr("(_total - 1) div 2")),
+        "high": Rank(0.5, lambda n: F.expr("_total div 2")),
+    }
+    both = spread(select_ranks(df, keys, value, ranks), keys, value, ["low", "high"])
     return both.select(*keys, ((F.col("low") + F.col("high")) / F.lit(2.0)).alias(value))

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Session settings that suit the operators: small checkpoints that go when unused, no
 # call-site capture for each column expression while plans are built, the order of arranged
-# tables taken as given (else each scan sorts rows that are sorted), and one group at a time
-# where buckets are packed.
+# tables taken as given (else each scan sorts rows that are sorted), and few buckets at a time
+# in memory where they are packed.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.checkpoint.compress": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
-    "spark.sql.execution.useObjectHashAggregateExec": "false",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
