@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.operators import checks, compare, grid, messages, metrics, percentiles
+from tidegate.operators import audit, checks, compare, grid, messages, metrics, percentiles
 from tidegate.schema import MESSAGE_SCHEMA
 
 
@@ -170,3 +170,22 @@ def test_percentiles_of_odd_doubles(spark):
     row = percentiles.lower_rank_percentiles(rows, [], "v", {"low": 0.0, "mid": 0.5, "high": 0.8, "top": 1.0}).first()
     assert (row.low, row.mid, row.high) == (-math.inf, 0.0, math.inf) and math.isnan(row.top)
     assert percentiles.lower_rank_percentiles(rows.limit(0), [], "v", {"m": 0.5}).first().m is None
+
+
+def test_gaps_of_any_sequences(spark):
+    """Negative, far apart, at bitmap ends, repeated and null sequences; a group without any."""
+    rng = random.Random(4)
+    data = {
+        "a": [-70_000, -32_768, -32_767, -1, 0, 1, 2, 32_767, 32_768, 32_769, 32_770, 65_536, 65_537, 10**12],
+        "b": list(range(100_000)),
+        "c": sorted(rng.sample(range(-50_000, 50_000), 3_000)),
+        "d": [5],
+    }
+    rows = [(g, v) for g, vs in data.items() for v in vs] + [("a", 2), ("a", None), ("e", None)]
+    table = spark.createDataFrame(rows, "g string, sequence bigint").repartition(5)
+    got = sorted(tuple(r) for r in audit.sequence_gaps(table, ["g"], bits=12).collect())
+    assert got == sorted((g, a + 1, b - 1) for g, vs in data.items() for a, b in zip(vs, vs[1:]) if b > a + 1)
+    counted = audit.audit_ticks(table.withColumns({"bid": F.lit(1.0), "ask": F.lit(2.0)}), by=["g"])
+    assert {r.g: r.distinct_sequences for r in counted.collect()} == {**{g: len(vs) for g, vs in data.items()}, "e": 0}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan.lower().replace("distinct_sequences", "")

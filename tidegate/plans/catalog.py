@@ -708,6 +708,17 @@ def tick_audit_by_symbol(spark, sf):
     return audit.audit_ticks(ticks(spark, sf), by=["symbol"])
 
 
+@query(
+    "sequence_gaps",
+    """SELECT symbol, before + 1 AS first_missing, sequence - 1 AS last_missing
+       FROM (SELECT symbol, sequence, lag(sequence) OVER (PARTITION BY symbol ORDER BY sequence) AS before
+             FROM (SELECT DISTINCT symbol, sequence FROM ticks)) WHERE sequence > before + 1""",
+)
+def sequence_gaps(spark, sf):
+    """Every range of sequences that a symbol lacks between its first and its last."""
+    return audit.sequence_gaps(ticks(spark, sf), ["symbol"], SMALL_BUCKETS)
+
+
 @query("store_and_audit", f"SELECT 4096 AS batch_size, rows_read_back AS rows_written, *, "
        f"rows_read_back = distinct_sequences AND first_sequence = 0 AND "
        f"last_sequence = rows_requested - 1 AND bad_quotes = 0 AS complete FROM (SELECT {_AUDIT} FROM clean)")
