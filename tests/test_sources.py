@@ -90,5 +90,5 @@ def test_json_and_csv_reports(spark, tmp_path):
     reports.write_report(rows, str(tmp_path / "c"), "csv", ["n", "policy"])
     flat = reports.read_csv_report(spark, str(tmp_path / "c"), "n bigint, policy string")
     assert sorted(tuple(r) for r in flat.collect()) == [(1, "a"), (2, "b")]
-    with pytest.raises(ValueError):
-        reports.nest(rows, "policies", ["policy"], limit=1)
+    by_policy = reports.nest(rows, "own", ["n"], ["policy"])
+    assert by_policy.count() == rows.select("policy").distinct().count()

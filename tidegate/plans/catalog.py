@@ -17,7 +17,7 @@ from tidegate.plans.events_view import MAX_AGE_NS, MAX_SKEW_NS, POLICIES
 from tidegate.schema import TICK_COLUMNS, Policy
 from tidegate.session import new_path
 from tidegate.sources import frames, kvlog, replay, reports, ticks as tick_store
-from tidegate.streaming import sinks
+from tidegate.streaming import committed, sinks
 from tidegate.streaming.demo import replay_as_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -753,6 +753,27 @@ def append_stream_audit(spark, sf):
     return audit.audit_ticks(tick_store.scan_ticks(spark, path))
 
 
+@query("append_replayed_audit", f"SELECT *, rows_read_back = distinct_sequences AND first_sequence = 0 AND "
+       f"last_sequence = rows_requested - 1 AND bad_quotes = 0 AS complete FROM (SELECT {_AUDIT} FROM clean)")
+def append_replayed_audit(spark, sf):
+    """The same loads with a commit per trigger; a trigger is repeated, rows of one that never
+    committed lie about, and small batches are compacted between the loads."""
+    source, path, state = (new_path(spark, n) for n in ("frames", "table", "state"))
+    rows = ev.clean_ticks(spark, sf)
+    for late in (False, True):
+        part = rows.where((F.col("sequence") % 3 == 0) == F.lit(late))
+        frames.write_tick_frames(part, source, mode="append")
+        live = frames.stream_tick_frames(spark, source, max_files=4)[0]
+        committed.append_committed(live, path, state, writer="live").awaitTermination()
+        last = committed.commits(spark, path).where("writer = 'live'").agg(F.max("batch")).first()[0]
+        again = part.where("sequence % 5 = 0")
+        for _ in range(2):  # the same batch twice: the second changes nothing
+            committed.append_batch(again.where("false"), path, "replayed", int(last))
+        committed._write_rows(again, path, "broken", int(last), 1_000_000)  # no record follows
+        committed.compact(spark, path)
+    return audit.audit_ticks(committed.scan_committed(spark, path))
+
+
 @query("append_and_scan", "SELECT symbol, sequence, timestamp_ns, bid, ask FROM clean UNION ALL "
        "SELECT symbol, sequence + 1000000000, timestamp_ns, bid, ask FROM clean")
 def append_and_scan(spark, sf):

@@ -117,36 +117,38 @@ def faulty_policy_sets(spark, sf):
     return names.unionByName(falling).select("check", "subject", "passed")
 
 
-_ITEMS = """(SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS position, p_partkey, p_size,
-                    round(p_retailprice * 100)::BIGINT AS cents FROM part)"""
+_ITEMS = """(SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS position FROM part)"""
 
 
 @query(
     "faulty_csv_json",
-    f"""SELECT 'csv_agrees_with_json' AS "check", position || '.' || c AS subject,
+    f"""SELECT 'csv_agrees_with_json' AS "check", p_brand || ':' || position || '.' || c AS subject,
                CASE c WHEN 'p_partkey' THEN TRUE WHEN 'p_size' THEN position % 10 <> 3 ELSE position % 4 <> 1 END
                AND position % 13 <> 5 AS passed
         FROM {_ITEMS} CROSS JOIN (VALUES ('p_partkey'), ('p_size'), ('cents')) t(c)""",
 )
 def faulty_csv_json(spark, sf):
-    """A table as nested JSON and, with other values here and there and rows lost, as CSV."""
+    """Nested JSON, a document per brand, and a CSV with other values and rows lost."""
     cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
-    parts = ev.table(spark, sf, "part").select("p_partkey", "p_size", cents.alias("cents"))
-    document = reports.summary_document({"kind": F.lit("parts")}, {"rows": reports.nest(parts, "rows", ["p_partkey"])})
+    parts = ev.table(spark, sf, "part").select("p_brand", "p_partkey", "p_size", cents.alias("cents"))
+    documents = reports.nest(parts, "rows", ["p_partkey"], ["p_brand"])
     json_path, csv_path = new_path(spark, "json"), new_path(spark, "csv")
-    reports.write_report(document, json_path, "json")
-    nested = reports.inline_rows(reports.read_json_report(spark, json_path, document.schema)[0], "rows")
+    reports.write_report(documents, json_path, "json")
+    back = reports.read_json_report(spark, json_path, documents.schema)[0]
+    nested = back.select("p_brand", F.posexplode("rows").alias("position", "row")).select("p_brand", "position", "row.*")
+    nested = nested.withColumn("place", F.concat_ws(":", "p_brand", "position"))
     position = F.col("position")
+    size = F.when(position % 10 == 3, F.col("p_size") + 1).otherwise(F.col("p_size"))
     flat = nested.where(position % 13 != 5).withColumns(
         {
-            "p_size": F.when(position % 10 == 3, F.col("p_size") + 1).otherwise(F.col("p_size")).cast(parts.schema["p_size"].dataType),
+            "p_size": size.cast(parts.schema["p_size"].dataType),
             "cents": F.when(position % 4 == 1, F.lit(None).cast("bigint")).otherwise(F.col("cents")),
         }
     )
-    columns = ["position", "p_partkey", "p_size", "cents"]
+    columns = ["place", "p_partkey", "p_size", "cents"]
     reports.write_report(flat, csv_path, "csv", columns)
-    back = reports.read_csv_report(spark, csv_path, nested.select(columns).schema)
-    return checks.same_report_check(back, nested, "position", columns[1:]).select("check", "subject", "passed")
+    again = reports.read_csv_report(spark, csv_path, nested.select(columns).schema)
+    return checks.same_report_check(again, nested, "place", columns[1:]).select("check", "subject", "passed")
 
 
 _CELLS = """

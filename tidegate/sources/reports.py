@@ -11,18 +11,16 @@ from pyspark.sql import types as T
 _CORRUPT = "_corrupt_record"
 
 
-def nest(rows: DataFrame, name: str, order: list[str], limit: int = 10_000) -> DataFrame:
-    """A whole report table as one ordered array column of a single-row frame.
+def nest(rows: DataFrame, name: str, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Report rows as one ordered array column, in a single row or in one per group of `by`.
 
-    Reports have a few rows per policy or setting; the size is checked so that a data
-    table is never folded into one row by mistake.
+    A document holds its rows in one cell; give a report that grows with the data `by`, so
+    that each of its documents stays small.
     """
-    size = rows.count()
-    if size > limit:
-        raise ValueError(f"{size} rows are no report; write them as a table instead")
-    rank = F.struct(*order)
-    cells = F.array_sort(F.collect_list(F.struct(rank.alias("_rank"), F.struct(*rows.columns).alias("row"))))
-    return rows.agg(F.transform(cells, lambda c: c["row"]).alias(name))
+    by = by or []
+    fields = [c for c in rows.columns if c not in by]
+    cells = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("_rank"), F.struct(*fields).alias("row"))))
+    return rows.groupBy(*by).agg(F.transform(cells, lambda c: c["row"]).alias(name))
 
 
 def one_row(*aggregates: DataFrame) -> DataFrame:
