@@ -9,10 +9,25 @@ from tidegate.operators.process import process
 from tidegate.plans import experiment
 from tidegate.sources import frames, replay
 from tidegate.streaming.demo import replay_as_stream
+from tidegate.session import new_path
+from tidegate.streaming import process as streaming_process
+from tidegate.streaming.handover import state_after
 from tidegate.streaming.process import process_stream
 from tidegate.streaming.sinks import append_stream, count_reasons, reason_totals
 
 
+def flat(rows):
+    """Outcomes in the form of the model's."""
+    return {
+        r.arrival: (
+            r.accepted_signal,
+            r.reason,
+            r.risk_event and (r.risk_event.kind, r.risk_event.trigger_price, r.risk_event.limit_price),
+        )
+        for r in rows.collect()
+    }
+
+
 @pytest.mark.parametrize("policy", [POLICIES[0], POLICIES[3]], ids=lambda p: p.name)
 def test_stream_equals_plain_loop(spark, policy):
     ticks, orders = random_stream(5)
@@ -28,16 +43,7 @@ def test_stream_equals_plain_loop(spark, policy):
         100,
         20,
     )
-    rows = spark.read.parquet(path).collect()
-    found = {
-        r.arrival: (
-            r.accepted_signal,
-            r.reason,
-            r.risk_event and (r.risk_event.kind, r.risk_event.trigger_price, r.risk_event.limit_price),
-        )
-        for r in rows
-    }
-    assert found == model.run(ticks, orders, policy, 100, 20)
+    assert flat(spark.read.parquet(path)) == model.run(ticks, orders, policy, 100, 20)
 
 
 def test_stream_equals_batch_on_real_times(spark):
@@ -54,6 +60,57 @@ def test_stream_equals_batch_on_real_times(spark):
     assert same_rows(streamed, batch).count() == 0
 
 
+@pytest.mark.parametrize("policy", [POLICIES[0], POLICIES[3]], ids=lambda p: p.name)
+def test_large_trigger_is_put_in_order_through_the_state_store(spark, policy, monkeypatch):
+    """One trigger whose rows come in several batches, in no order at all."""
+    monkeypatch.setattr(streaming_process, "PARKED_BITS", 9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
+    try:
+        ticks, orders = random_stream(8)
+        rows = spark.createDataFrame(ticks, ARRIVAL_SCHEMA).orderBy(F.xxhash64("arrival"))
+        marks = spark.createDataFrame(orders, ORDER_SCHEMA)
+        path = replay_as_stream(rows, marks, policy, 100, 20, slices=1)
+        found = flat(spark.read.parquet(path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == model.run(ticks, orders, policy, 100, 20)
+
+
+@pytest.mark.parametrize("with_orders", [True, False])
+@pytest.mark.parametrize("policy", [POLICIES[0], POLICIES[3]], ids=lambda p: p.name)
+def test_stream_goes_on_from_a_batch_run(spark, policy, with_orders):
+    ticks, orders = random_stream(9)
+    orders = orders if with_orders else []
+    middle = len(ticks) // 2
+    early = [t for t in ticks if t["arrival"] < middle], [o for o in orders if o["registered_arrival"] < middle]
+    late = [t for t in ticks if t["arrival"] >= middle], [o for o in orders if o["registered_arrival"] >= middle]
+    frames_of = lambda some: (
+        spark.createDataFrame(some[0], ARRIVAL_SCHEMA), spark.createDataFrame(some[1], ORDER_SCHEMA)
+    )
+    first, second = frames_of(early), frames_of(late)
+    state = state_after(first[0], first[1] if with_orders else None, policy, 100, 20)
+    path = replay_as_stream(*second, policy, 100, 20, start_state=state)
+    expected = model.run(ticks, orders, policy, 100, 20)
+    assert flat(spark.read.parquet(path)) == {k: v for k, v in expected.items() if k >= middle}
+
+
+def test_idle_symbols_are_forgotten(spark):
+    """With a short idle time, each restart meets symbols it knows nothing of."""
+    row = dict(symbol="X", bid=99.0, ask=101.0, receive_ns=None)
+    ticks = [row | dict(sequence=5, timestamp_ns=100, arrival=0), row | dict(sequence=1, timestamp_ns=10, arrival=1)]
+    reasons = {}
+    for idle in (None, 1):
+        paths = [new_path(spark, n) for n in ("in", "out", "state")]
+        for tick in ticks:
+            spark.createDataFrame([tick], ARRIVAL_SCHEMA).write.mode("append").parquet(paths[0])
+            live = spark.readStream.schema(ARRIVAL_SCHEMA).parquet(paths[0])
+            results = process_stream(live, None, POLICIES[0], 100, 20, idle_ms=idle)
+            writer = results.writeStream.format("parquet").option("checkpointLocation", paths[2])
+            writer.option("path", paths[1]).trigger(once=True).start().awaitTermination(60)
+        reasons[idle] = [r.reason for r in spark.read.parquet(paths[1]).orderBy("arrival").collect()]
+    assert reasons == {None: ["accepted", "duplicate_sequence"], 1: ["accepted", "accepted"]}
+
+
 def test_orders_registered_while_running(spark, tmp_path):
     ticks, orders = random_stream(6)
     paths = [str(tmp_path / n) for n in ("ticks", "orders", "out", "state")]

@@ -19,6 +19,7 @@ from tidegate.session import new_path
 from tidegate.sources import frames, kvlog, replay, reports, ticks as tick_store
 from tidegate.streaming import committed, sinks
 from tidegate.streaming.demo import replay_as_stream
+from tidegate.streaming.handover import state_after
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -440,12 +441,13 @@ _REPLACED = """(
     FROM moving_hits WHERE nth = 1)"""
 
 
-def flat_results(rows: DataFrame) -> DataFrame:
+def flat_results(rows: DataFrame, *more: str) -> DataFrame:
     event: Column = F.col("risk_event")
     return rows.select(
         "arrival",
         "symbol",
         "sequence",
+        *more,
         "accepted_signal",
         "reason",
         event["kind"].alias("risk_kind"),
@@ -481,9 +483,7 @@ _STREAMED = _PROCESS.replace("o.sequence,", _TIMES)
 
 def _streamed(spark, sf, orders) -> DataFrame:
     rows = spark.read.parquet(replay_as_stream(ticks(spark, sf), orders, DYNAMIC, MAX_AGE_NS, MAX_SKEW_NS))
-    columns = flat_results(rows.limit(0)).columns
-    times = rows.select("arrival", "symbol", "timestamp_ns", "receive_ns")
-    return flat_results(rows).join(times, ["arrival", "symbol"]).select(*columns, "timestamp_ns", "receive_ns")
+    return flat_results(rows, "timestamp_ns", "receive_ns")
 
 
 @query("stream_process", _STREAMED.format(triggers="triggers"))
@@ -497,6 +497,20 @@ def stream_orders_while_running(spark, sf):
     return _streamed(spark, sf, moving_orders(spark, sf))
 
 
+@query("stream_from_batch_state", _STREAMED.format(triggers=_REPLACED))
+def stream_from_batch_state(spark, sf):
+    """The first half of the arrivals by a batch run, the rest by a stream that goes on from it."""
+    quotes, orders, rules = ticks(spark, sf), moving_orders(spark, sf), (DYNAMIC, MAX_AGE_NS, MAX_SKEW_NS)
+    low, high = quotes.agg(F.min("arrival"), F.max("arrival")).first()
+    middle = (low + high) // 2
+    early = quotes.where(F.col("arrival") < middle), orders.where(F.col("registered_arrival") < middle)
+    late = quotes.where(F.col("arrival") >= middle), orders.where(F.col("registered_arrival") >= middle)
+    done = process.process(*early, *rules)
+    streamed = spark.read.parquet(replay_as_stream(*late, *rules, start_state=state_after(*early, *rules)))
+    rows = done.select(*streamed.columns).unionAll(streamed)
+    return flat_results(rows, "timestamp_ns", "receive_ns")
+
+
 @query("live_counters", "SELECT symbol, reason, count(*) AS quotes FROM outcomes WHERE policy = 'dynamic' "
        "GROUP BY symbol, reason")
 def live_counters(spark, sf):

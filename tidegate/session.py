@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Session settings that suit the operators: small checkpoints that go when unused, no
 # call-site capture for each column expression while plans are built, the order of arranged
 # tables taken as given (else each scan sorts rows that are sorted), and few buckets at a time
@@ -20,12 +23,16 @@ RECOMMENDED = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
+    _STATE_STORE: _ROCKSDB,
 }
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Typed streaming state exists in RocksDB only; it also spills to disk."""
+    if spark.conf.get(_STATE_STORE, None) != _ROCKSDB:
+        spark.conf.set(_STATE_STORE, _ROCKSDB)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by the cluster in spark.checkpoint.dir.
 

@@ -25,6 +25,7 @@ def replay_as_stream(
     max_skew_ns: int,
     slices: int | None = None,
     sink: Callable[[DataFrame, str, str], StreamingQuery] = write_stream,
+    start_state: DataFrame | None = None,
 ) -> str:
     """Stop and restart the query between slices, so its state comes from the checkpoint.
 
@@ -50,6 +51,7 @@ def replay_as_stream(
             policy,
             max_age_ns,
             max_skew_ns,
+            start_state,
         )
         sink(results, out, checkpoint).awaitTermination()
     return out
