@@ -91,10 +91,10 @@ def test_carried_bytes_stay_bounded(spark, monkeypatch):
     seen = []
     own = debounce._carried_signals
 
-    def watched(steps, active, layout, several):
+    def watched(steps, layout, several):
         size = steps.groupBy("symbol", "_policy", "_group").agg(F.sum(F.size("upto")).alias("n"), F.count("*").alias("b"))
         seen.append((*size.agg(F.max("n"), F.max(F.when(F.col("b") > 1, F.col("n")))).first(), several))
-        return own(steps, active, layout, several)
+        return own(steps, layout, several)
 
     monkeypatch.setattr(debounce, "_carried_signals", watched)
     _, quotes = passing_quotes(spark, 9, 6_000, 10)

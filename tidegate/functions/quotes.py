@@ -47,12 +47,14 @@ def move_bps(mid: Column, previous: Column) -> Column:
 def cooldown_ns(policy: Policy, move: Column) -> Column:
     """Quiet period after a move; the base period where there was no move yet.
 
+    `policy` may hold columns instead of numbers.
     Compared with the maximum before the cast: an overflowing cast raises.
     """
-    scaled = F.lit(float(policy.base_ns)) * (F.lit(1.0) + move / F.lit(policy.stress_bps))
+    base, longest = F.lit(policy.base_ns), F.lit(policy.max_ns)
+    scaled = base.cast("double") * (F.lit(1.0) + move / F.lit(policy.stress_bps))
     return (
-        F.when(move.isNull(), F.lit(policy.base_ns))
-        .when(scaled >= F.lit(float(policy.max_ns)), F.lit(policy.max_ns))
+        F.when(move.isNull(), base)
+        .when(scaled >= longest.cast("double"), longest)
         .otherwise(scaled.cast("bigint"))
         .cast("bigint")
     )

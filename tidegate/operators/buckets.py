@@ -37,6 +37,7 @@ class Bucket:
     ts: np.ndarray
     mid: np.ndarray
     hit: np.ndarray
+    arrival: np.ndarray
 
     def mark(self, chosen) -> np.ndarray:
         """Flag per quote of the bucket; `chosen` selects among the passing ones."""
@@ -87,9 +88,8 @@ def each_bucket(packed: pa.StructArray) -> Iterator[Bucket]:
         place = part["arrival"][rows]
         if len(place) > 1 and not (place[1:] > place[:-1]).all():
             rows = rows[np.argsort(place, kind="stable")]
-        yield Bucket(
-            int(end - start), rows, part["timestamp_ns"][rows], part["mid"][rows], part["_hit"][rows]
-        )
+        walked = [part[n][rows] for n in ("timestamp_ns", "mid", "_hit", "arrival")]
+        yield Bucket(int(end - start), rows, *walked)
 
 
 def flag_arrays(packed: pa.StructArray, flags: dict[str, list[np.ndarray]]) -> pa.ListArray:

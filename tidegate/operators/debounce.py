@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,21 +184,27 @@ def _carried_state(
     )
     if not active:
         return kept
-    bits, _, several = group_bits(summaries, steps_per_call)
+    sizes = F.array_max(F.transform("upto", F.size))
+    bits, _, several = group_bits(summaries, sizes, steps_per_call)
     steps = step_table(state, active, layout, bits)
-    signals = _carried_signals(cut(steps) if several else steps, active, layout, several)
+    entries = _carried_signals(cut(steps) if several else steps, layout, several)
+    signals = entries.groupBy(*layout.cells).agg(
+        *[
+            F.max(F.when(F.col("_policy") == at, F.col("entry"))).alias(f"entry_{i}")
+            for at, (i, _) in enumerate(active)
+        ]
+    )
     # A bucket without passing quotes has no summary and needs no state.
     return kept.join(signals, layout.cells, "left")
 
 
-def group_bits(summaries: DataFrame, steps_per_call: int) -> tuple[int, int, bool]:
+def group_bits(summaries: DataFrame, sizes: Column, steps_per_call: int) -> tuple[int, int, bool]:
     """Buckets per group as a power of two, the steps of the largest bucket function, and
-    whether a key may have more than one group.
+    whether a key may have more than one group.  `sizes` counts the steps of a summary.
 
     A group holds at most `steps_per_call` steps, or one bucket, which holds no more than its
     rows: so what a call gets is bounded, however hot a symbol and however long a cooldown.
     """
-    sizes = F.array_max(F.transform("upto", F.size))
     most, low, high = summaries.agg(F.max(sizes), F.min(BUCKET), F.max(BUCKET)).first()
     most = max(1, most or 0)
     bits = max(0, min(MOST_GROUP_BITS, math.floor(math.log2(max(1, steps_per_call / most)))))
@@ -210,15 +216,19 @@ def step_table(state: DataFrame, active: list[tuple[int, Policy]], layout: Layou
     ends = F.array(*[F.greatest(f"end_in_{i}", f"_move_{i}") for i, _ in active]).alias("end")
     each = F.posexplode(F.arrays_zip(ends, F.col("upto"), F.col("exits"))).alias("_policy", "_step")
     steps = state.select(*layout.cells, F.shiftright(BUCKET, bits).alias("_group"), "first_ts", each)
+    bases = F.array(*[F.lit(p.base_ns).cast("bigint") for _, p in active])
     return steps.select(
-        *layout.cells, "_group", "first_ts", F.col("_policy").cast("bigint").alias("_policy"), "_step.*"
+        *layout.cells,
+        "_group",
+        "first_ts",
+        F.col("_policy").cast("bigint").alias("_policy"),
+        F.get(bases, F.col("_policy")).alias("base_ns"),
+        "_step.*",
     )
 
 
-def _carried_signals(
-    steps: DataFrame, active: list[tuple[int, Policy]], layout: Layout, several: bool
-) -> DataFrame:
-    """Time of the last accepted signal before each (key, bucket), per policy.
+def _carried_signals(steps: DataFrame, layout: Layout, several: bool) -> DataFrame:
+    """Time of the last accepted signal before each (key, bucket) and policy: `entry`.
 
     Groups of buckets are composed to one step function each.  From group to group the
     signals form a chain: a step's exit enters the first later step that covers it.  The
@@ -228,12 +238,11 @@ def _carried_signals(
     """
     key_fields = [steps.schema[k] for k in layout.keys]
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    bases = [p.base_ns for _, p in active]
     by_policy, by_group = [*layout.keys, "_policy"], [*layout.keys, "_policy", "_group"]
 
     def bucket_steps(row):
         return spacing.signal_steps(
-            (row["upto"], row["exits"]), bases[row["_policy"]], row["end"], row["first_ts"]
+            (row["upto"], row["exits"]), row["base_ns"], row["end"], row["first_ts"]
         )
 
     if several:
@@ -276,13 +285,7 @@ def _carried_signals(
             value = spacing.apply_steps(bucket_steps(row), value)
         return arrow_table(schema, out)
 
-    entries = steps.groupBy(*by_group).applyInArrow(walk, schema)
-    return entries.groupBy(*layout.cells).agg(
-        *[
-            F.max(F.when(F.col("_policy") == at, F.col("entry"))).alias(f"entry_{i}")
-            for at, (i, _) in enumerate(active)
-        ]
-    )
+    return steps.groupBy(*by_group).applyInArrow(walk, schema)
 
 
 def _visited(groups: DataFrame, keys: list[str]) -> DataFrame:

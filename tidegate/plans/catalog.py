@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import quotes as q
 from tidegate.operators import audit, checks, compare, custom, debounce, grid, messages, metrics
-from tidegate.operators import percentiles, process, quality, risk, scan
+from tidegate.operators import percentiles, policy_table, process, quality, risk, scan
 from tidegate.plans import events_view as ev
 from tidegate.plans import experiment, oracle
 from tidegate.plans.events_view import MAX_AGE_NS, MAX_SKEW_NS, POLICIES
@@ -265,6 +265,40 @@ def policy_metrics_bucketed(spark, sf):
     return _report(spark, sf, SMALL_BUCKETS)
 
 
+# --- rate limits read from a table --------------------------------------------------
+
+def customer_policies(spark, sf) -> DataFrame:
+    """One rate limit per customer; one in fifty has no usable stress threshold."""
+    key = F.col("c_custkey")
+    base = (1 + key % 97).cast("bigint") * F.lit(ev.QUARTER_HOUR)
+    return ev.table(spark, sf, "customer").select(
+        F.concat(F.lit("customer "), key.cast("string")).alias("policy"),
+        base.alias("base_ns"),
+        (base * (1 + key % 5)).alias("max_ns"),
+        F.when(key % 50 == 7, F.lit(float("nan"))).otherwise((2 + key % 60).cast("double")).alias("stress_bps"),
+    )
+
+
+@query(
+    "policy_table_metrics",
+    """SELECT s.policy, s.base_ns, s.max_ns, input_events, coalesce(a.n, 0)::BIGINT AS accepted_signals,
+           (valid - coalesce(a.n, 0))::BIGINT AS debounced_signals,
+           100.0::DOUBLE * (valid - coalesce(a.n, 0)) / valid AS signal_reduction_pct, stale_quotes
+    FROM table_settings s CROSS JOIN (
+        SELECT count(*) AS input_events, count(*) FILTER (gate_reason = 'pass') AS valid,
+               count(*) FILTER (gate_reason = 'stale_quote') AS stale_quotes FROM gated)
+    LEFT JOIN (SELECT policy, sum(n) AS n FROM table_folds GROUP BY policy) a USING (policy)""",
+)
+def policy_table_metrics(spark, sf):
+    """Every customer's rate limit over the same stream, in one plan."""
+    usable = quality.validate_policies(customer_policies(spark, sf))[0]
+    rows = policy_table.table_metrics(arranged(spark, sf), usable)
+    return rows.select(
+        "policy", "base_ns", "max_ns", "input_events", "accepted_signals", "debounced_signals",
+        "signal_reduction_pct", "stale_quotes",
+    )
+
+
 _IN_WINDOW = f"sequence >= {WINDOW_START} AND sequence < {WINDOW_START + WINDOW_TICKS}"
 
 

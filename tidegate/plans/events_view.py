@@ -16,6 +16,7 @@ _HOUR = 60 * _MINUTE
 
 MAX_AGE_NS = _HOUR
 MAX_SKEW_NS = 10 * _MINUTE
+QUARTER_HOUR = 15 * _MINUTE
 
 POLICIES = [
     Policy("no debounce", passthrough=True),

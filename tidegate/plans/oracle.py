@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from tidegate.plans.events_view import LONG_COOLDOWN, MAX_AGE_NS, MAX_SKEW_NS, ORDERS, POLICIES
+from tidegate.plans.events_view import LONG_COOLDOWN, MAX_AGE_NS, MAX_SKEW_NS, ORDERS, POLICIES, QUARTER_HOUR
 
 _PRICE = "100.0 * (1.0 + (value - 50.0) * 1e-5)"
 
@@ -226,6 +226,27 @@ BLOCKS["hot_policies"] = f"""
 for _name in [*_WALK[1:-1], "accepted"]:
     BLOCKS[f"hot_{_name}"] = re.sub(rf"\b({'|'.join([*_WALK, 'policies'])})\b", r"hot_\1", BLOCKS[_name])
 
+# Rate limits from a table.  Each symbol's unblocked times are folded for each of them.
+BLOCKS["table_settings"] = f"""
+    SELECT 'customer ' || c_custkey AS policy, (1 + c_custkey % 97) * {QUARTER_HOUR} AS base_ns,
+           (1 + c_custkey % 97) * (1 + c_custkey % 5) * {QUARTER_HOUR} AS max_ns,
+           (2 + c_custkey % 60)::DOUBLE AS stress_bps
+    FROM customer WHERE c_custkey % 50 <> 7"""
+BLOCKS["table_ends"] = """
+    SELECT policy, symbol, arrival, timestamp_ns, base_ns,
+           coalesce(max(CASE WHEN move_bps >= stress_bps THEN timestamp_ns
+                    + least(max_ns, trunc(least(max_ns::DOUBLE, base_ns::DOUBLE
+                        * (1.0::DOUBLE + move_bps / stress_bps)))::BIGINT) END) OVER (
+               PARTITION BY policy, symbol ORDER BY arrival
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS until
+    FROM moved CROSS JOIN table_settings"""
+BLOCKS["table_folds"] = """
+    SELECT policy, symbol, list_reduce(
+               list({'last': timestamp_ns, 'n': base_ns} ORDER BY arrival),
+               lambda a, x: CASE WHEN x.last - a.last >= x.n THEN {'last': x.last, 'n': a.n + 1} ELSE a END,
+               {'last': -4000000000000000000::BIGINT, 'n': 0::BIGINT}).n AS n
+    FROM table_ends WHERE timestamp_ns >= until GROUP BY policy, symbol"""
+
 # The order in which blocks must be defined.
 _ORDER = list(BLOCKS)
 
