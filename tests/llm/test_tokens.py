@@ -39,6 +39,19 @@ def test_parts_give_the_ids_of_whole_texts(reference):
             assert np.frombuffer(ids, "<u4").tolist() == reference(text).tolist(), repr(text)
 
 
+def test_long_texts_are_cut_between_parts(reference, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr("tidegate.llm.tokenizer.STRETCH", 16)
+    coder = Encoder(PATH, entries=50)
+    words = ["an", "Été", "groß", "x" * 40, "it's", "end.", "wow!!", "don't'", "a1", "{b}", "_c_", "\n", "\nNew", "\n\nTwo", "  ", "\r\nL"]
+    for _ in range(600):
+        text = "".join(rng.choice(["", " ", " ", "\n", "\t"]) + rng.choice(words) for _ in range(rng.randint(1, 80)))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == reference(text).tolist(), repr(text)
+        assert all(len(part) <= 64 for part in coder.memo) and len(coder.memo) <= 50 + 40
+
+
 def check_files(spark, documents, path, reference):
     token_files.write_tokens(documents, path, PATH, ("lang",))
     rows = token_files.with_crc32(token_files.read_tokens(spark, path)).orderBy("start").collect()

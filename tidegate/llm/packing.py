@@ -67,7 +67,11 @@ class Bins:
         tree[i] = heap[0] if heap else (float("inf"), -1)
         while i > 1:
             i //= 2
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+            left, right = tree[2 * i], tree[2 * i + 1]
+            best = left if left <= right else right
+            if tree[i] == best:
+                break
+            tree[i] = best
 
     def take(self, need: int) -> tuple[float, int, int] | None:
         """Cheapest sequence with room for `need`, removed: cost, number, room."""
