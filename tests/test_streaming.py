@@ -8,12 +8,12 @@ from tidegate.operators.compare import same_rows
 from tidegate.operators.process import process
 from tidegate.plans import experiment
 from tidegate.sources import frames, replay
-from tidegate.streaming.demo import replay_as_stream
+from tidegate.streaming.demo import LEAST_SLICES, replay_as_stream
 from tidegate.session import new_path
 from tidegate.streaming import process as streaming_process
 from tidegate.streaming.handover import state_after
 from tidegate.streaming.process import process_stream
-from tidegate.streaming.sinks import append_stream, count_reasons, reason_totals
+from tidegate.streaming.sinks import append_stream, count_reasons, reason_totals, write_stream
 
 
 def flat(rows):
@@ -152,3 +152,21 @@ def test_append_stream_writes_each_tick_once(spark, tmp_path):
     stored = spark.read.parquet(table)
     assert stored.columns == TICK_COLUMNS
     assert sorted(r.sequence for r in stored.collect()) == list(range(50))
+
+
+def test_runs_follow_the_quotes_not_the_arrival_numbers(spark):
+    """Sparse arrivals need no more runs, and the input is read once for all of them."""
+    ticks, orders = random_stream(6)
+    for row in [*ticks, *orders]:
+        at = "arrival" if "arrival" in row else "registered_arrival"
+        row[at] *= 5_000
+    runs = []
+
+    def sink(results, out, checkpoint):
+        runs.append(out)
+        return write_stream(results, out, checkpoint)
+
+    given = spark.createDataFrame(ticks, ARRIVAL_SCHEMA), spark.createDataFrame(orders, ORDER_SCHEMA)
+    path = replay_as_stream(*given, POLICIES[3], 100, 20, sink=sink)
+    assert len(runs) == LEAST_SLICES
+    assert flat(spark.read.parquet(path)) == model.run(ticks, orders, POLICIES[3], 100, 20)

@@ -14,7 +14,24 @@ from tidegate.streaming.process import process_stream
 from tidegate.streaming.sinks import write_stream
 
 LEAST_SLICES = 3
-SLICE_ROWS = 100_000  # arrivals handed to one run, so the size of a trigger stays bounded
+SLICE_ROWS = 2_000_000  # quotes handed to one run, so the size of a trigger stays bounded
+
+
+def _by_slice(
+    df: DataFrame, place: str, low: int, width: int, slices: int
+) -> Callable[[int], DataFrame]:
+    """Rows of a slice of positions; stored by slice, so that no slice reads the others' rows.
+
+    Rows in front of the first slice belong to it; those without a position, or behind the
+    last slice, to none.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "slices")
+    number = F.greatest(F.expr(f"({place} - ({low}L)) div {width}L"), F.lit(0)).alias("_slice")
+    rows = df.select("*", number).where((F.col("_slice") < slices) & F.col(place).isNotNull())
+    rows.write.partitionBy("_slice").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return lambda i: stored.where(F.col("_slice") == i).select(*df.columns)
 
 
 def replay_as_stream(
@@ -30,21 +47,22 @@ def replay_as_stream(
     """Stop and restart the query between slices, so its state comes from the checkpoint.
 
     Orders are handed over with the slice of arrivals they are registered in, those from
-    before the first quote with the first.  Returns the folder that `sink` wrote.
+    before the first quote with the first.  Both tables are read once, to be stored by slice:
+    a run costs some seconds whatever its size, so their number follows the quotes and not the
+    arrival numbers.  Returns the folder that `sink` wrote.
     """
     spark = ticks.sparkSession
     ticks_in, orders_in, out, checkpoint = (
         new_path(spark, n) for n in ("stream-ticks", "stream-orders", "stream-out", "stream-state")
     )
-    low, high = ticks.agg(F.min("arrival"), F.max("arrival")).first()
-    slices = slices or max(LEAST_SLICES, -(-(high - low + 1) // SLICE_ROWS))
+    low, high, rows = ticks.agg(F.min("arrival"), F.max("arrival"), F.count("*")).first()
+    slices = slices or max(LEAST_SLICES, -(-rows // SLICE_ROWS))
     width = (high - low) // slices + 1
+    quotes_of = _by_slice(ticks, "arrival", low, width, slices)
+    orders_of = _by_slice(orders, "registered_arrival", low, width, slices)
     for i in range(slices):
-        start = low + i * width
-        ticks.where(F.col("arrival").between(start, start + width - 1)).write.mode("append").parquet(ticks_in)
-        registered = F.col("registered_arrival")
-        part = orders.where(registered < start + width)
-        (part if i == 0 else part.where(registered >= start)).write.mode("append").parquet(orders_in)
+        quotes_of(i).write.mode("append").parquet(ticks_in)
+        orders_of(i).write.mode("append").parquet(orders_in)
         results = process_stream(
             spark.readStream.schema(ticks.schema).parquet(ticks_in),
             spark.readStream.schema(orders.schema).parquet(orders_in),
