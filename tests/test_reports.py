@@ -189,3 +189,26 @@ def test_gaps_of_any_sequences(spark):
     assert {r.g: r.distinct_sequences for r in counted.collect()} == {**{g: len(vs) for g, vs in data.items()}, "e": 0}
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "distinct" not in plan.lower().replace("distinct_sequences", "")
+
+
+def test_grid_of_dealt_entries_shuffles_no_cell(spark):
+    """Checks of a grid meet no more rows in a shuffle than there are entries and their counts."""
+    entries = spark.range(40).select(F.col("id").alias("part"), (F.col("id") + 50.0).alias("entry_price"))
+    cells = grid.gap_grid(entries, keys=["part"])
+    found = checks.grid_checks(cells, ["part"])
+    assert found.count() == 3 * 40 and checks.failures(found).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "offset_bps" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    pages = cells.where("not (part = 3 and gap_bps = 5.0)").withColumn(
+        "part", F.when(F.col("part") != 7, F.col("part"))
+    )
+    bad = {r.part: (r.cells, r.offsets, r.gaps) for r in grid.grid_coverage(pages, ["part"]).collect()}
+    assert bad[3] == (21, 3, 7) and bad[None] == bad[5] == (24, 3, 8)
+    empty = grid.grid_coverage(cells.where("false"), []).collect()
+    assert [tuple(r) for r in empty] == [(0, 0, 0)]
+
+
+def test_grid_partitions_follow_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(grid, "PARTITION_CELLS", 24)
+    cells = grid.gap_grid(spark.range(40).selectExpr("id as part", "1.0D as entry_price"), keys=["part"])
+    assert cells.rdd.getNumPartitions() == 40

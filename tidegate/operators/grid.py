@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +11,25 @@ from pyspark.sql import functions as F
 OFFSETS_BPS = [0.0, 5.0, 10.0]
 GAPS_BPS = [0.0, 1.0, 2.0, 5.0, 7.5, 10.0, 25.0, 50.0]
 
+PARTITION_CELLS = 1_000_000  # intended cells of one partition of a dealt grid
+
 
 def gap_grid(
     entries: DataFrame,
     stop_bps: float = 25.0,
     offsets: list[float] = OFFSETS_BPS,
     gaps: list[float] = GAPS_BPS,
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """All offsets and gaps for every row of `entries` (needs `entry_price`).
 
     The grid is a pair of literal arrays, so each entry row grows by a fixed factor
-    without a join.
+    without a join.  With `keys` the entries are dealt by them before they grow, into as many
+    partitions as the grid needs: what then groups cells by these keys shuffles no cell, and
+    its memory does not follow the size of an input split.
     """
+    if keys:
+        entries = _dealt(entries, keys, len(offsets) * len(gaps))
     bps = F.lit(10_000.0)
     stop = F.col("entry_price") * F.lit(1.0 - stop_bps / 10_000.0)
     rows = (
@@ -34,6 +43,11 @@ def gap_grid(
     return rows.withColumn("marketable", fillable).drop("_stop")
 
 
+def _dealt(entries: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    least = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return entries.repartition(max(least, math.ceil(entries.count() * cells / PARTITION_CELLS)), *keys)
+
+
 def pivot_grid(grid: DataFrame, keys: list[str], gaps: list[float] = GAPS_BPS) -> DataFrame:
     """One row per (keys..., offset), one column per gap."""
     cells = grid.groupBy(*keys, "offset_bps").agg(
@@ -67,8 +81,12 @@ def boundary_check(
 
 
 def grid_coverage(grid: DataFrame, keys: list[str]) -> DataFrame:
-    return grid.groupBy(*keys).agg(
-        F.count("*").alias("cells"),
-        F.countDistinct("offset_bps").alias("offsets"),
-        F.countDistinct("gap_bps").alias("gaps"),
+    """Cells and different offsets and gaps; cells are counted before they leave their partition."""
+    none, one = F.lit(0).cast("bigint"), lambda c: F.col(c).isNotNull().cast("bigint")
+    offsets = grid.groupBy(*keys, "offset_bps").agg(F.count("*").alias("cells"))
+    gaps = grid.select(*keys, "gap_bps").distinct()
+    counts = offsets.select(*keys, "cells", one("offset_bps").alias("offsets"), none.alias("gaps")).unionAll(
+        gaps.select(*keys, none, none, one("gap_bps"))
     )
+    total = lambda c: F.coalesce(F.sum(c), none).alias(c)
+    return counts.groupBy(*keys).agg(total("cells"), total("offsets"), total("gaps"))

@@ -651,7 +651,7 @@ def part_grid(spark, sf) -> DataFrame:
     entries = ev.table(spark, sf, "part").select(
         "p_partkey", F.col("p_retailprice").alias("entry_price")
     )
-    return grid.gap_grid(entries).drop("entry_price")
+    return grid.gap_grid(entries, keys=["p_partkey"]).drop("entry_price")
 
 
 @query("gap_grid", f"SELECT *, observed_price >= limit_price AS marketable FROM {_GRID}")
