@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import model
-from tidegate.operators import policy_table
+from tidegate.operators import policy_table, spacing
 from tidegate.schema import Policy
 from test_spacing import passing_quotes
 
@@ -64,3 +65,39 @@ def test_symbols_without_passing_quotes(spark):
     _, policies = made(spark, 3, 3)
     rows = policy_table.table_metrics(late, policies, 4).collect()
     assert {(r.accepted_signals, r.stale_quotes, r.signal_reduction_pct) for r in rows} == {(0, 40, 0.0)}
+
+
+@pytest.mark.parametrize("wide", [16, 10**6])
+def test_many_policies_widen_buckets(spark, monkeypatch, wide):
+    """Buckets of a long table are joined, so that little or nothing is handed on."""
+    monkeypatch.setattr(policy_table, "HANDED_ROWS", 0)
+    monkeypatch.setattr(policy_table, "WIDE_ROWS", wide)
+    summaries = []
+    summary = policy_table._carried
+    monkeypatch.setattr(policy_table, "_carried", lambda rows, *a: summaries.append(rows.count()) or summary(rows, *a))
+    ticks, quotes = passing_quotes(spark, 9, 300, 2, ("hot", "hot", "cold"))
+    settings, policies = made(spark, 9, 12)
+    report = {r.policy: r for r in policy_table.table_metrics(quotes, policies, 2, 64).collect()}
+    for name, base, longest, stress, _ in settings:
+        rows = model.run(ticks, [], Policy(name, base, longest, stress), 0, 0, gate=False)
+        assert report[name].accepted_signals == sum(e[0] for e in rows.values())
+    assert [n < 12 * 60 for n in summaries] == ([True] if wide == 16 else [])
+
+
+def test_open_ranges_and_chains_equal_the_walk_over_all_quotes():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        ts = np.cumsum(rng.choice([0, 1, 5, 60], n)).astype(np.int64)
+        mid = 100.0 + rng.choice([0.0, 0.01, 0.05, 0.3], n)
+        base = int(rng.choice([0, 1, 7, 90]))
+        longest, stress = base + int(rng.choice([0, 30, 400])), float(rng.choice([1.0, 4.0, 20.0]))
+        before, blocked = rng.choice([None, 100.1]), int(rng.choice([0, 40]))
+        ends = np.maximum(spacing.block_ends(ts, mid, base, longest, stress, before), blocked)
+        open_ = np.flatnonzero(ts >= ends)
+        first, behind, end = spacing.open_ranges(ts, spacing.moves(mid, before), base, longest, stress, blocked)
+        assert spacing.rows_of(first, behind, n).tolist() == open_.tolist() and end == ends[-1]
+        entry = int(rng.choice([spacing.NEVER, 20]))
+        expected = open_[spacing.accepted_rows(ts[open_], base, entry)].tolist()
+        found = spacing.accepted_in_ranges(ts, ts.tolist(), first, behind, base, entry)
+        assert list(found) == expected

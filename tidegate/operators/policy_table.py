@@ -1,12 +1,14 @@
 """Rate limits read from a table of any number of rows, applied to one stream.
 
 A list of policies becomes columns of one plan, which bounds its length.  A table of them
-(policy, base_ns, max_ns, stress_bps) stays a table: it is cut into blocks of about BLOCK
-policies, and the unit of work is one bucket of quotes with one block.  A task holds the
-quotes of one bucket and walks them once per policy of the block; what buckets hand on is one
-row per (key, bucket, policy), scanned and composed as for a list (see `debounce`).  Two passes
-read the arranged stream, whatever the number of policies; neither quotes nor policies come to
-the driver, and quotes are never multiplied by policies: only accepted signals are rows.
+(policy, base_ns, max_ns, stress_bps) stays a table: the unit of work is one bucket of quotes
+with one block of policies.  A task holds the quotes of one bucket and walks its signals once per
+policy of the block.  What buckets hand on is one row per (key, bucket, policy), scanned and
+composed as for a list (see `debounce`); where that would be many rows, buckets are joined to
+wider ones of at most WIDE_ROWS quotes of a key, and a key with one bucket hands on nothing.
+Policies with equal settings are walked once.  Quotes are shuffled once per block, of which there
+are no more than keep the cores busy; neither quotes nor policies come to the driver, and quotes
+are never multiplied by policies: only accepted signals are rows.
 
 Every row of the table is a policy of its own, rows with equal names too.  A policy with
 base_ns = max_ns = 0 accepts all that passes.  Unusable rows are set aside by
@@ -16,7 +18,10 @@ table besides these four are kept.  An empty stream accepts nothing; an empty ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from types import SimpleNamespace
 
 import numpy as np
@@ -27,17 +32,21 @@ from pyspark.sql import types as T
 
 from tidegate.functions import quotes as q
 from tidegate.operators import spacing
-from tidegate.operators.buckets import Bucket, arrow_type, each_bucket, pack, passing, quotes
+from tidegate.operators.buckets import ROWS, arrow_type, passing
 from tidegate.operators.debounce import STEPS, _carried_signals, group_bits
 from tidegate.operators.metrics import FAULT_COLUMNS
-from tidegate.operators.scan import AUTO, BUCKET, Arranged, Layout, arrange, join_carried
+from tidegate.operators.scan import AUTO, BUCKET, Arranged, Layout, arrange
 from tidegate.session import cut
 
-BLOCK = 64
-SENT_POLICIES = 1_000_000  # of 40 bytes each, counted; a longer table is shuffled instead
+BLOCK = 64  # policies of a block at least
+UNITS = 4  # blocks and buckets to work on per core
+HANDED_ROWS = 2**16  # rows that buckets hand on before they are widened
+WIDE_ROWS = 2**20  # quotes of a key in a widened bucket
+SENT_ROWS = 1_000_000  # of some 40 bytes each, counted; a longer table is shuffled instead
 OUT_VALUES = 2**20  # numbers gathered before a task hands a batch on
 
 _SETTINGS = ["_policy", "base_ns", "max_ns", "stress_bps"]
+_CARRIED = {"mid_in": "double", "end_in": "bigint", "entry": "bigint"}
 
 
 def _numbered(policies: DataFrame) -> DataFrame:
@@ -52,39 +61,83 @@ def _numbered(policies: DataFrame) -> DataFrame:
     return cut(typed.withColumn("_policy", F.monotonically_increasing_id()))
 
 
+def _classes(numbered: DataFrame) -> DataFrame:
+    """Different settings, each with the least number of its policies."""
+    return cut(numbered.groupBy(*_SETTINGS[1:]).agg(F.min("_policy").alias("_policy")))
+
+
+def _per_policy(numbered: DataFrame, classes: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of the table with what was found for their settings (`_policy` of `found`)."""
+    named = classes.select(F.col("_policy").alias("_class"), *[F.col(c).alias(f"_{c}") for c in _SETTINGS[1:]])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _SETTINGS[1:]])
+    rows = numbered.drop("_policy").join(named, same).drop(*[f"_{c}" for c in _SETTINGS[1:]])
+    return rows.join(found.withColumnRenamed("_policy", "_class"), "_class", how)
+
+
 def _block_of(blocks: int) -> Column:
     return F.pmod(F.xxhash64("_policy"), F.lit(blocks)).cast("int").alias("_block")
 
 
-def _walk(packed: DataFrame, layout: Layout, extra: list[str], schema: T.StructType, walked) -> DataFrame:
-    """Rows that `walked(bucket, policy, row)` gives for each bucket and policy of its block.
+class _Quotes:
+    """The passing quotes of one bucket in arrival order."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]], before: float | None) -> None:
+        whole = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+        self.ts, self.mid = whole["timestamp_ns"], whole["mid"]
+        self.arrival = whole.get("arrival")
+        self.times = self.ts.tolist()
+        self.move = spacing.moves(self.mid, before)
+
+    def open(self, p: dict, blocked_until: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return spacing.open_ranges(
+            self.ts, self.move, p["base_ns"], p["max_ns"], p["stress_bps"], blocked_until
+        )
+
+
+def _walk(
+    packed: DataFrame, policies: DataFrame, layout: Layout, blocks: int, tasks: int, schema: T.StructType, walked
+) -> DataFrame:
+    """Rows that `walked(quotes, policy)` gives for each bucket and policy.
 
-    `walked` returns a list of values and how many numbers they hold; batches stay bounded.
+    `policies` has the cell, the settings and what is carried into the cell.  Partitions bring
+    the quotes of a cell, part by part, and then its policies; `walked` returns a list of
+    values and how many numbers they hold, and batches stay bounded.
     """
-    kept = [*layout.cells, *extra]
+    place = [*layout.cells, "_block"]
+    names = [f.name for f in packed.schema["_quotes"].dataType.fields]
+    each = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(0).alias("_kind"))
+    given = F.struct(*_SETTINGS, *_CARRIED).alias("_given")
+    asking = policies.select(*layout.cells, _block_of(blocks), F.lit(1).alias("_kind"), given)
+    both = each.unionByName(asking, allowMissingColumns=True).repartition(tasks, *place)
     arrow = arrow_type(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, bucket = None, [], None
         out: list[list] = []
         held = 0
         for batch in batches:
-            rows = batch.select(kept).to_pylist()
-            policies = batch.column("_policies")
-            for at, bucket in enumerate(each_bucket(batch.column("_quotes"))):
-                if len(bucket.ts) == 0:
+            cells = zip(*[batch.column(n).to_pylist() for n in place])
+            lists, asked = batch.column("_quotes"), batch.column("_given")
+            for at, (here, kind) in enumerate(zip(cells, batch.column("_kind").to_pylist())):
+                if here != cell:
+                    cell, parts, bucket = here, [], None
+                if kind == 0:
+                    row = lists[at]
+                    parts.append({n: row[n].values.to_numpy(zero_copy_only=False) for n in names})
                     continue
-                place = [rows[at][n] for n in layout.cells]
-                for p in policies[at].as_py():
-                    found, size = walked(bucket, p, rows[at])
-                    out.append([*place, *found])
-                    held += size + len(schema)
-                    if held >= OUT_VALUES:
-                        yield _batch(out, arrow)
-                        out, held = [], 0
+                p = asked[at].as_py()
+                if bucket is None:
+                    bucket, parts = _Quotes(parts, p["mid_in"]), []
+                found, size = walked(bucket, p)
+                out.append([*here[:-1], *found])
+                held += size + len(schema)
+                if held >= OUT_VALUES:
+                    yield _batch(out, arrow)
+                    out, held = [], 0
         if out:
             yield _batch(out, arrow)
 
-    return packed.select(*kept, "_policies", quotes().alias("_quotes")).mapInArrow(run, schema)
+    return both.sortWithinPartitions(*place, "_kind", "_at").mapInArrow(run, schema)
 
 
 def _batch(records: list[list], kind: pa.StructType) -> pa.RecordBatch:
@@ -92,60 +145,80 @@ def _batch(records: list[list], kind: pa.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kind])
 
 
-def _block_ends(b: Bucket, p: dict, before: float | None) -> np.ndarray:
-    return spacing.block_ends(b.ts, b.mid, p["base_ns"], p["max_ns"], p["stress_bps"], before)
-
-
-def _summary(b: Bucket, p: dict, row: dict) -> tuple[list, int]:
+def _summary(b: _Quotes, p: dict) -> tuple[list, int]:
     """What a bucket hands on under a policy: its block end, and its signals as steps."""
-    ends = _block_ends(b, p, None)
-    reach = min(int(b.ts[0]) + max(p["base_ns"], p["max_ns"]), spacing.ALWAYS)
-    upto, exits = spacing.threshold_steps(b.ts[b.ts >= ends], p["base_ns"], reach)
+    first, behind, end = b.open(p, 0)
+    open_ = spacing.after_last_pause(b.ts[spacing.rows_of(first, behind, len(b.ts))], p["base_ns"])
+    reach = min(b.times[0] + max(p["base_ns"], p["max_ns"]), spacing.ALWAYS)
+    upto, exits = spacing.threshold_steps(open_, p["base_ns"], reach)
     settings = [p[n] for n in _SETTINGS]
-    edges = [int(b.ts[0]), float(b.mid[0]), float(b.mid[-1]), int(ends[-1])]
+    edges = [b.times[0], float(b.mid[0]), float(b.mid[-1]), end]
     return [*settings, *edges, upto, exits], 2 * len(upto)
 
 
-def _accepted(b: Bucket, p: dict, row: dict) -> np.ndarray:
-    end = np.maximum(_block_ends(b, p, row["mid_in"]), p["end_in"])
-    open_ = np.flatnonzero(b.ts >= end)
+def _accepted(b: _Quotes, p: dict) -> np.ndarray | list[int]:
+    first, behind, _ = b.open(p, p["end_in"])
     entry = spacing.entry_threshold(p["entry"], p["base_ns"], p["end_in"])
-    return open_[spacing.accepted_rows(b.ts[open_], p["base_ns"], entry)]
+    return spacing.accepted_in_ranges(b.ts, b.times, first, behind, p["base_ns"], entry)
 
 
-def _counted(b: Bucket, p: dict, row: dict) -> tuple[list, int]:
-    return [p["_policy"], len(_accepted(b, p, row))], 0
+def _counted(b: _Quotes, p: dict) -> tuple[list, int]:
+    return [p["_policy"], len(_accepted(b, p))], 0
 
 
-def _listed(b: Bucket, p: dict, row: dict) -> tuple[list, int]:
-    chosen = b.arrival[_accepted(b, p, row)]
+def _listed(b: _Quotes, p: dict) -> tuple[list, int]:
+    chosen = b.arrival[_accepted(b, p)]
     return [p["_policy"], chosen.tolist()], len(chosen)
 
 
-def _walked(stream: Arranged, numbered: DataFrame, walked, value: T.StructField, steps_per_call: int) -> DataFrame:
+def widening(most: int, cells: int, policies: int) -> int:
+    """Buckets to a wider one, as a power of two; `most` quotes lie in the largest bucket."""
+    if policies * cells <= HANDED_ROWS:
+        return 0
+    return max(0, math.floor(math.log2(WIDE_ROWS / most)))
+
+
+def _walked(stream: Arranged, classes: DataFrame, walked, value: T.StructField, steps_per_call: int) -> DataFrame:
     """(key, bucket, _policy) with what `walked` makes of each bucket's signals."""
-    layout = stream.layout
+    spark, narrow = stream.rows.sparkSession, stream.layout
     long, double = T.LongType(), T.DoubleType()
-    cells = [T.StructField(n, stream.rows.schema[n].dataType) for n in layout.cells]
-    n = numbered.count()
-    blocks = max(1, -(-n // BLOCK))
-    table = cut(
-        numbered.select(_block_of(blocks), F.struct(*_SETTINGS).alias("_p"))
-        .groupBy("_block")
-        .agg(F.collect_list("_p").alias("_policies"))
+    rows = stream.rows.where(passing())
+    n = classes.count()
+    sizes = cut(rows.groupBy(*narrow.cells).agg(F.count("*").alias("_n")))
+    most, some = sizes.agg(F.max("_n"), F.count("*")).first()
+    wider = widening(most or 1, some, n)
+    layout = Layout(narrow.keys, narrow.order, narrow.bits + wider, narrow.parts)
+    wide = F.shiftright(BUCKET, wider).alias(BUCKET)
+    cells = cut(sizes.select(*layout.keys, wide).distinct())
+    chain, total = cells.groupBy(*layout.keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+
+    wanted = UNITS * spark.sparkContext.defaultParallelism
+    blocks = max(1, min(-(-n // BLOCK), -(-wanted // (total or 1))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), narrow.parts * blocks, min(wanted, blocks * (total or 1)))
+    fields = ["timestamp_ns", "mid", *(["arrival"] if walked is _listed else [])]
+    quote = F.struct("arrival", *[c for c in fields if c != "arrival"])
+    packed = rows.groupBy(*narrow.cells).agg(F.array_sort(F.collect_list(quote)).alias(ROWS))
+    packed = packed.select(
+        *layout.keys, wide, F.col(BUCKET).alias("_at"), F.struct(*[F.col(ROWS)[c].alias(c) for c in fields]).alias("_quotes")
     )
-    packed = pack(stream.rows, layout, walked_only=True)
-    each = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = each.join(F.broadcast(table) if n <= SENT_POLICIES else table, "_block")
-
-    settings = [T.StructField(c, double if c == "stress_bps" else long) for c in _SETTINGS]
-    edges = [("first_ts", long), ("first_mid", double), ("last_mid", double), ("end", long)]
-    longs = T.ArrayType(long)
-    schema = T.StructType(
-        [*cells, *settings, *[T.StructField(*e) for e in edges], T.StructField("upto", longs), T.StructField("exits", longs)]
-    )
-    summaries = cut(_walk(both, layout, [], schema, _summary))
-
+    all_cells = F.broadcast(cells) if (total or 0) <= SENT_ROWS else cells
+    start = {"mid_in": F.lit(None), "end_in": F.lit(0), "entry": F.lit(spacing.NEVER)}
+    carried = classes.crossJoin(all_cells).withColumns({c: v.cast(_CARRIED[c]) for c, v in start.items()})
+    places = [T.StructField(n, cells.schema[n].dataType) for n in layout.cells]
+    if (chain or 0) > 1:
+        settings = [T.StructField(c, double if c == "stress_bps" else long) for c in _SETTINGS]
+        edges = [("first_ts", long), ("first_mid", double), ("last_mid", double), ("end", long)]
+        longs = T.ArrayType(long)
+        steps = [T.StructField("upto", longs), T.StructField("exits", longs)]
+        schema = T.StructType([*places, *settings, *[T.StructField(*e) for e in edges], *steps])
+        summaries = cut(_walk(packed, carried, layout, blocks, tasks, schema, _summary))
+        carried = _carried(summaries, layout, steps_per_call)
+    schema = T.StructType([*places, T.StructField("_policy", long), value])
+    return _walk(packed, carried, layout, blocks, tasks, schema, walked)
+
+
+def _carried(summaries: DataFrame, layout: Layout, steps_per_call: int) -> DataFrame:
+    """State in front of each (key, bucket, policy): mid, block end, last signal."""
     earlier = _earlier(layout)
     params = SimpleNamespace(**{c: F.col(c) for c in _SETTINGS})
     state = summaries.withColumn("mid_in", F.last("last_mid").over(earlier))
@@ -159,16 +232,7 @@ def _walked(stream: Arranged, numbered: DataFrame, walked, value: T.StructField,
         F.greatest("end_in", F.coalesce(move, F.lit(0))).alias("end"), "upto", "exits",
     )
     entries = _carried_signals(cut(steps) if several else steps, layout, several)
-    carried = state.select(*layout.cells, *_SETTINGS, "mid_in", "end_in").join(
-        entries, [*layout.cells, "_policy"]
-    )
-    given = F.struct(*_SETTINGS, "end_in", "entry")
-    per_block = carried.groupBy(*layout.cells, _block_of(blocks)).agg(
-        F.first("mid_in").alias("mid_in"), F.collect_list(given).alias("_policies")
-    )
-    joined = join_carried(packed, per_block, layout).where("_policies is not null")
-    schema = T.StructType([*cells, settings[0], value])
-    return _walk(joined, layout, ["mid_in"], schema, walked)
+    return state.select(*layout.cells, *_SETTINGS, "mid_in", "end_in").join(entries, [*layout.cells, "_policy"])
 
 
 def _earlier(layout: Layout):
@@ -181,10 +245,11 @@ def table_signals(
     """Accepted signals of every policy: the table's columns, the key and `arrival`."""
     stream = arrange(gated, bits).withColumns({"mid": q.mid_price()})
     numbered = _numbered(policies)
+    classes = _classes(numbered)
     arrivals = T.StructField("arrivals", T.ArrayType(T.LongType()))
-    found = _walked(stream, numbered, _listed, arrivals, steps_per_call)
+    found = _walked(stream, classes, _listed, arrivals, steps_per_call)
     signals = found.select(*stream.layout.keys, "_policy", F.explode("arrivals").alias("arrival"))
-    return signals.join(numbered, "_policy").select(*policies.columns, *stream.layout.keys, "arrival")
+    return _per_policy(numbered, classes, signals).select(*policies.columns, *stream.layout.keys, "arrival")
 
 
 def table_metrics(
@@ -193,8 +258,9 @@ def table_metrics(
     """One report row per row of the table: its columns, quotes, signals and faults."""
     stream = arrange(gated, bits).withColumns({"mid": q.mid_price()})
     numbered = _numbered(policies)
+    classes = _classes(numbered)
     count = T.StructField("accepted", T.LongType())
-    found = _walked(stream, numbered, _counted, count, steps_per_call)
+    found = _walked(stream, classes, _counted, count, steps_per_call)
     accepted = found.groupBy("_policy").agg(F.sum("accepted").alias("accepted_signals"))
     totals = stream.rows.agg(
         F.struct(
@@ -203,7 +269,7 @@ def table_metrics(
             *[F.count_if(F.col("gate_reason") == r).alias(c) for c, r in FAULT_COLUMNS.items()],
         )
     ).scalar()
-    rows = numbered.join(accepted, "_policy", "left").select(
+    rows = _per_policy(numbered, classes, accepted, "left").select(
         *policies.columns, F.coalesce("accepted_signals", F.lit(0)).alias("accepted_signals"), totals.alias("_t")
     )
     held = F.col("_t.valid") - F.col("accepted_signals")

@@ -13,7 +13,7 @@ Everything here works on numpy arrays of one bucket (at most 2**bits rows).
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 
@@ -72,6 +72,75 @@ def accepted_rows(ts: np.ndarray, base: int, threshold: int = NEVER) -> list[int
     return chain
 
 
+def moves(mid: np.ndarray, before: float | None) -> np.ndarray:
+    """Move of each quote against the one before, in basis points."""
+    previous = np.empty_like(mid)
+    previous[1:] = mid[:-1]
+    previous[:1] = np.nan if before is None else before
+    return np.abs(mid - previous) / previous * 10_000.0
+
+
+def open_ranges(
+    ts: np.ndarray, move: np.ndarray, base: int, longest: int, stress: float, blocked_until: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ranges [first, behind) of quotes outside every stress block, and the end of the last block.
+
+    As `block_ends`, but after one comparison per quote only sharp moves and ranges are touched.
+    """
+    sharp = np.flatnonzero(move >= stress)
+    at, scaled = ts[sharp], base * (1.0 + move[sharp] / stress)
+    rest = np.where(scaled < longest, scaled, 0.0).astype(np.int64)
+    cooldown = np.where(scaled >= longest, np.int64(longest), rest)
+    end = np.where(at > ALWAYS - cooldown, ALWAYS, at + cooldown)
+    ends = np.maximum.accumulate(np.concatenate((np.array([blocked_until], dtype=np.int64), end)))
+    first, behind = np.concatenate(([0], sharp)), np.concatenate((sharp, [len(ts)]))
+    some = np.flatnonzero((behind > first) & (ts[behind - 1] >= ends))
+    first = np.maximum(first[some], np.searchsorted(ts, ends[some], side="left"))
+    return first, behind[some], int(ends[-1])
+
+
+def rows_of(first: np.ndarray, behind: np.ndarray, size: int) -> np.ndarray:
+    """Positions in disjoint ranges."""
+    edge = np.zeros(size + 1, dtype=np.int8)
+    edge[first] += 1
+    edge[behind] -= 1
+    return np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
+
+
+def accepted_in_ranges(
+    ts: np.ndarray, times: list[int], first: np.ndarray, behind: np.ndarray, base: int, threshold: int
+) -> np.ndarray | list[int]:
+    """Positions accepted among the quotes of open ranges; `times` is `ts` as a list.
+
+    A long quiet period leaves few signals, each found by bisection; for a short one the
+    successors of all open quotes are cheaper.
+    """
+    if not len(first):
+        return []
+    if base == 0 or (times[-1] - times[0]) // base * 16 > int((behind - first).sum()):
+        rows = rows_of(first, behind, len(ts))
+        return rows[accepted_rows(ts[rows], base, threshold)]
+    starts, stops = first.tolist(), behind.tolist()
+    chain, place, at = [], 0, bisect_left(times, threshold)
+    while True:
+        if at >= stops[place]:
+            place = bisect_right(stops, at, place + 1)
+            if place == len(stops):
+                return chain
+        at = max(at, starts[place])
+        chain.append(at)
+        at = bisect_left(times, times[at] + base, at + 1)
+
+
+def after_last_pause(ts: np.ndarray, base: int) -> np.ndarray:
+    """Open quotes from the last one that every chain of signals passes.
+
+    A quote at least `base` after the one before it is accepted whatever came earlier.
+    """
+    pauses = np.flatnonzero(np.diff(ts) >= base)
+    return ts[pauses[-1] + 1 :] if len(pauses) else ts
+
+
 def _merged(upto: list[int], exits: list[int]) -> Steps:
     out_upto: list[int] = []
     out_exits: list[int] = []
