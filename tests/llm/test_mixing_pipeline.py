@@ -121,5 +121,5 @@ def test_query_agrees_with_sql(spark, tables, name):
 
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
-    assert numbers == set(range(1, 11)) and not set(queries.QUERIES) & set(catalog.QUERIES)
+    assert numbers == set(range(1, 14)) and not set(queries.QUERIES) & set(catalog.QUERIES)
     assert toxicity.FOLDS == 5
