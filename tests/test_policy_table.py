@@ -84,6 +84,25 @@ def test_many_policies_widen_buckets(spark, monkeypatch, wide):
     assert [n < 12 * 60 for n in summaries] == ([True] if wide == 16 else [])
 
 
+@pytest.mark.parametrize("wide", [16, 64])
+def test_a_long_table_hands_on_no_step_functions(spark, monkeypatch, wide):
+    """Its buckets follow each other in a task, a block of policies at a time."""
+    monkeypatch.setattr(policy_table, "BLOCK", 4)
+    monkeypatch.setattr(policy_table, "HANDED_ROWS", 0)
+    monkeypatch.setattr(policy_table, "WIDE_ROWS", wide)
+    monkeypatch.setattr(policy_table, "_carried", lambda *a: pytest.fail("step functions were made"))
+    ticks, quotes = passing_quotes(spark, 5, 300, 2, ("hot", "hot", "cold"))
+    settings, policies = made(spark, 5, 21)
+    found = {}
+    for r in policy_table.table_signals(quotes, policies, 2).collect():
+        found.setdefault(r.policy, set()).add(r.arrival)
+    report = {r.policy: r for r in policy_table.table_metrics(quotes, policies, 2).collect()}
+    for name, base, longest, stress, _ in settings:
+        rows = model.run(ticks, [], Policy(name, base, longest, stress), 0, 0, gate=False)
+        assert found[name] == {a for a, e in rows.items() if e[0]}
+        assert report[name].accepted_signals == len(found[name])
+
+
 def test_open_ranges_and_chains_equal_the_walk_over_all_quotes():
     rng = np.random.default_rng(4)
     for _ in range(300):

@@ -6,6 +6,9 @@ with one block of policies.  A task holds the quotes of one bucket and walks its
 policy of the block.  What buckets hand on is one row per (key, bucket, policy), scanned and
 composed as for a list (see `debounce`); where that would be many rows, buckets are joined to
 wider ones of at most WIDE_ROWS quotes of a key, and a key with one bucket hands on nothing.
+Step functions grow with the quotes of a quiet period, so a long table hands on none: with BLOCK
+policies and more, a task takes the buckets of a key one after the other, a bucket at a time, and
+keeps the state of its block's policies; keys and blocks are enough to keep the cores busy.
 Policies with equal settings are walked once.  Quotes are shuffled once per block, of which there
 are no more than keep the cores busy; neither quotes nor policies come to the driver, and quotes
 are never multiplied by policies: only accepted signals are rows.
@@ -40,6 +43,8 @@ from tidegate.session import cut
 
 BLOCK = 64  # policies of a block at least
 UNITS = 4  # blocks and buckets to work on per core
+CHAINS = 2  # keys and blocks to work on per core where buckets follow each other in a task
+COPIES = 16  # blocks there at most, as each is a copy of the quotes
 HANDED_ROWS = 2**16  # rows that buckets hand on before they are widened
 WIDE_ROWS = 2**20  # quotes of a key in a widened bucket
 SENT_ROWS = 1_000_000  # of some 40 bytes each, counted; a longer table is shuffled instead
@@ -140,6 +145,61 @@ def _walk(
     return both.sortWithinPartitions(*place, "_kind", "_at").mapInArrow(run, schema)
 
 
+def _follow(
+    packed: DataFrame, policies: DataFrame, layout: Layout, blocks: int, tasks: int, schema: T.StructType, walked
+) -> DataFrame:
+    """The same, where a task takes all buckets of a key in order with the policies of a block.
+
+    Partitions bring the policies first and then the quotes; one bucket of these is held at a
+    time, and of each policy the state in front of it.
+    """
+    place = [*layout.keys, "_block"]
+    names = [f.name for f in packed.schema["_quotes"].dataType.fields]
+    each = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(1).alias("_kind"))
+    given = F.struct(*_SETTINGS, *_CARRIED).alias("_given")
+    asking = policies.select(*layout.keys, _block_of(blocks), F.lit(0).alias("_kind"), given)
+    both = asking.unionByName(each, allowMissingColumns=True).repartition(tasks, *place)
+    arrow = arrow_type(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, given, cell, parts, before = None, [], None, [], None
+        out: list[list] = []
+        held = 0
+
+        def walk() -> Iterator[pa.RecordBatch]:
+            nonlocal held, out, parts, before
+            bucket, parts = _Quotes(parts, before), []
+            before = float(bucket.mid[-1])
+            for p in given:
+                found, size = walked(bucket, p)
+                out.append([*cell, *found])
+                held += size + len(schema)
+                if held >= OUT_VALUES:
+                    yield _batch(out, arrow)
+                    out, held = [], 0
+
+        for batch in batches:
+            units = zip(*[batch.column(n).to_pylist() for n in place])
+            kinds, numbers = batch.column("_kind").to_pylist(), batch.column(BUCKET).to_pylist()
+            lists, asked = batch.column("_quotes"), batch.column("_given")
+            for at, (here, kind, number) in enumerate(zip(units, kinds, numbers)):
+                if parts and (here != unit or number != cell[-1]):
+                    yield from walk()
+                if here != unit:
+                    unit, given, before = here, [], None
+                if kind == 0:
+                    given.append(asked[at].as_py())
+                    continue
+                cell, row = (*here[:-1], number), lists[at]
+                parts.append({n: row[n].values.to_numpy(zero_copy_only=False) for n in names})
+        if parts:
+            yield from walk()
+        if out:
+            yield _batch(out, arrow)
+
+    return both.sortWithinPartitions(*place, "_kind", "_at").mapInArrow(run, schema)
+
+
 def _batch(records: list[list], kind: pa.StructType) -> pa.RecordBatch:
     arrays = [pa.array(list(c), type=f.type) for f, c in zip(kind, zip(*records))]
     return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kind])
@@ -157,9 +217,14 @@ def _summary(b: _Quotes, p: dict) -> tuple[list, int]:
 
 
 def _accepted(b: _Quotes, p: dict) -> np.ndarray | list[int]:
-    first, behind, _ = b.open(p, p["end_in"])
+    """Positions accepted; `p` then holds what the next bucket is entered with."""
+    first, behind, end = b.open(p, p["end_in"])
     entry = spacing.entry_threshold(p["entry"], p["base_ns"], p["end_in"])
-    return spacing.accepted_in_ranges(b.ts, b.times, first, behind, p["base_ns"], entry)
+    chosen = spacing.accepted_in_ranges(b.ts, b.times, first, behind, p["base_ns"], entry)
+    p["end_in"] = end
+    if len(chosen):
+        p["entry"] = b.times[chosen[-1]]
+    return chosen
 
 
 def _counted(b: _Quotes, p: dict) -> tuple[list, int]:
@@ -190,10 +255,15 @@ def _walked(stream: Arranged, classes: DataFrame, walked, value: T.StructField,
     layout = Layout(narrow.keys, narrow.order, narrow.bits + wider, narrow.parts)
     wide = F.shiftright(BUCKET, wider).alias(BUCKET)
     cells = cut(sizes.select(*layout.keys, wide).distinct())
-    chain, total = cells.groupBy(*layout.keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    keys = cells.groupBy(*layout.keys).agg(F.count("*").alias("n"))
+    chain, total, chains = keys.agg(F.max("n"), F.sum("n"), F.count("*")).first()
+    follow = (chain or 0) > 1 and n >= BLOCK and n * some > HANDED_ROWS
 
     wanted = UNITS * spark.sparkContext.defaultParallelism
     blocks = max(1, min(-(-n // BLOCK), -(-wanted // (total or 1))))
+    if follow:
+        wanted = CHAINS * spark.sparkContext.defaultParallelism
+        blocks = min(-(-n // BLOCK), -(-wanted // chains), COPIES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), narrow.parts * blocks, min(wanted, blocks * (total or 1)))
     fields = ["timestamp_ns", "mid", *(["arrival"] if walked is _listed else [])]
     quote = F.struct("arrival", *[c for c in fields if c != "arrival"])
@@ -201,11 +271,12 @@ def _walked(stream: Arranged, classes: DataFrame, walked, value: T.StructField,
     packed = packed.select(
         *layout.keys, wide, F.col(BUCKET).alias("_at"), F.struct(*[F.col(ROWS)[c].alias(c) for c in fields]).alias("_quotes")
     )
-    all_cells = F.broadcast(cells) if (total or 0) <= SENT_ROWS else cells
+    all_cells = keys.drop("n") if follow else cells
+    all_cells = F.broadcast(all_cells) if (total or 0) <= SENT_ROWS else all_cells
     start = {"mid_in": F.lit(None), "end_in": F.lit(0), "entry": F.lit(spacing.NEVER)}
     carried = classes.crossJoin(all_cells).withColumns({c: v.cast(_CARRIED[c]) for c, v in start.items()})
     places = [T.StructField(n, cells.schema[n].dataType) for n in layout.cells]
-    if (chain or 0) > 1:
+    if (chain or 0) > 1 and not follow:
         settings = [T.StructField(c, double if c == "stress_bps" else long) for c in _SETTINGS]
         edges = [("first_ts", long), ("first_mid", double), ("last_mid", double), ("end", long)]
         longs = T.ArrayType(long)
@@ -214,7 +285,7 @@ def _walked(stream: Arranged, classes: DataFrame, walked, value: T.StructField,
         summaries = cut(_walk(packed, carried, layout, blocks, tasks, schema, _summary))
         carried = _carried(summaries, layout, steps_per_call)
     schema = T.StructType([*places, T.StructField("_policy", long), value])
-    return _walk(packed, carried, layout, blocks, tasks, schema, walked)
+    return (_follow if follow else _walk)(packed, carried, layout, blocks, tasks, schema, walked)
 
 
 def _carried(summaries: DataFrame, layout: Layout, steps_per_call: int) -> DataFrame:
